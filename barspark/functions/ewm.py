@@ -29,6 +29,10 @@ def decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
+def _decay_column(span: float | Column) -> Column:
+    return F.lit(1.0) - F.lit(2.0) / (span + F.lit(1.0)) if isinstance(span, Column) else F.lit(decay(span))
+
+
 def memory(span: float) -> int:
     """Rows after which an older value no longer changes the mean."""
     r = decay(span)
@@ -43,11 +47,21 @@ def block_rows(spans: list[float]) -> int:
     return min(max(BLOCK, need), room)
 
 
-def ewm(df: DataFrame, means: dict[str, tuple[Column, float]], series: Series) -> DataFrame:
-    """Add one smoothed column per entry of ``means``: name -> (non-null value, span)."""
+def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series: Series) -> DataFrame:
+    """Add one smoothed column per entry of ``means``: name -> (non-null value, span).
+
+    A span may be a column that is constant in each series, if a series is at most 512
+    rows long.
+    """
     had_position = POSITION in df.columns
     df = positioned(df, series)
-    m = block_rows([span for _, span in means.values()])
+    fixed = [span for _, span in means.values() if not isinstance(span, Column)]
+    if len(fixed) < len(means):
+        if series.max_rows > 512:
+            raise ValueError("spans in a column need series of at most 512 rows")
+        m = 512
+    else:
+        m = block_rows(fixed)
     pos = F.col(POSITION)
     one_block = series.max_rows <= m
     if one_block:
@@ -61,9 +75,9 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float]], series: Series) -
 
     weighted = {}
     for name, (value, span) in means.items():
-        r = decay(span)
-        share = F.when(pos == 0, F.lit(1.0)).otherwise(F.lit(1.0 - r))
-        weighted[f"_u_{name}"] = value * share * F.pow(F.lit(1.0 / r), k)
+        r = _decay_column(span)
+        share = F.when(pos == 0, F.lit(1.0)).otherwise(F.lit(1.0) - r)
+        weighted[f"_u_{name}"] = value * share * F.pow(F.lit(1.0) / r, k)
     df = df.withColumns(weighted)
     sums = {f"_s_{n}": F.sum(f"_u_{n}").over(within) for n in means}
     df = df.withColumns(sums)
@@ -72,11 +86,10 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float]], series: Series) -
 
     out = {}
     for name, (_, span) in means.items():
-        r = decay(span)
         total = F.col(f"_s_{name}")
         if not one_block:
-            total = total + F.lit(r ** m) * F.col(f"_p_{name}")
-        out[name] = F.pow(F.lit(r), k) * total
+            total = total + F.lit(decay(span) ** m) * F.col(f"_p_{name}")
+        out[name] = F.pow(_decay_column(span), k) * total
     df = df.withColumns(out)
     scratch = [f"_{p}_{n}" for n in means for p in "usp"] + ["_blk"]
     if not had_position:

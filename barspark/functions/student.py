@@ -25,7 +25,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _beta_inc(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by Simpson-free continued fraction (even/odd steps)."""
+    """Regularised incomplete beta function by its continued fraction."""
     flip = x > (a + 1) / (a + b + 2)
     x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
     tiny = 1e-300

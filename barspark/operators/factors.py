@@ -31,8 +31,9 @@ def with_forward(rows: DataFrame, horizons: Sequence[int] = (1, 5, 10)) -> DataF
     series = Series(("factor", "ticker"), "date", DAILY.max_rows)
     ahead = rows.withColumns({f"_f{h}": change(following("close", series, h), F.col("close")) for h in horizons})
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
+    kept = [c for c in rows.columns if c != "close"]
     return ahead.withColumn("_h", F.explode(pairs)).select(
-        "factor", "ticker", "date", "value", F.col("_h.horizon").alias("horizon"), F.col("_h.fwd").alias("fwd"))
+        *kept, F.col("_h.horizon").alias("horizon"), F.col("_h.fwd").alias("fwd"))
 
 
 def correlation(a: str, b: str) -> Column:
@@ -60,23 +61,22 @@ def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("t_stat", F.coalesce(t, F.lit(0.0)))
 
 
-def quantile_bins(pairs: DataFrame, q: int = 5) -> DataFrame:
-    """Add the 1-based quantile of ``value`` within its date.
+def quantile_bins(rows: DataFrame, q: int = 5) -> DataFrame:
+    """Add the 1-based quantile of ``value`` within its factor and date.
 
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
     date whose values are all equal has none.
     """
-    rows = pairs.select("factor", "ticker", "date", "value").distinct() if "horizon" in pairs.columns else pairs
     edges = quantiles(rows, ["factor", "date"], "value", [i / q for i in range(q + 1)], "_edges")
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    df = pairs.join(edges, ["factor", "date"])
+    df = rows.join(edges, ["factor", "date"])
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
     return df.withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
 
 
-def quantile_returns(pairs: DataFrame, q: int = 5) -> DataFrame:
-    """Mean forward return of each quantile over all dates."""
-    return (quantile_bins(pairs, q).filter(F.col("quantile").isNotNull())
+def quantile_returns(binned_pairs: DataFrame) -> DataFrame:
+    """Mean forward return of each quantile over all dates; input is ``with_forward(quantile_bins(rows))``."""
+    return (binned_pairs.filter(F.col("quantile").isNotNull())
             .groupBy("factor", "horizon", "quantile")
             .agg(F.avg("fwd").alias("mean_return"), F.count("fwd").alias("rows")))
 
@@ -90,8 +90,8 @@ def spread(by_quantile: DataFrame) -> DataFrame:
 
 def evaluate(table: DataFrame, factors: Sequence[str], horizons: Sequence[int] = (1, 5, 10), q: int = 5) -> DataFrame:
     """IC summary and spread of every factor and horizon, best mean IC first."""
-    pairs = with_forward(factor_rows(table, factors), horizons)
-    out = ic_summary(daily_ic(pairs)).join(spread(quantile_returns(pairs, q)), ["factor", "horizon"], "left")
+    pairs = with_forward(quantile_bins(factor_rows(table, factors), q), horizons)
+    out = ic_summary(daily_ic(pairs)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
     return out.orderBy(F.desc("mean_ic"), "factor", "horizon")
 
 
