@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -63,13 +64,13 @@ def quantile(probability: float, freedom: np.ndarray) -> np.ndarray:
     return np.where(v > 0, (low + high) / 2, np.nan)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _p_value(t: pd.Series, freedom: pd.Series) -> pd.Series:
     p = pd.Series(two_sided(t.to_numpy(dtype=float), freedom.to_numpy(dtype=float)))
     return p.where(p.notna(), None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _q975(freedom: pd.Series) -> pd.Series:
     distinct, where = np.unique(freedom.to_numpy(dtype=float), return_inverse=True)
     q = pd.Series(quantile(0.975, distinct)[where])

@@ -36,9 +36,17 @@ def with_forward(rows: DataFrame, horizons: Sequence[int] = (1, 5, 10)) -> DataF
         *kept, F.col("_h.horizon").alias("horizon"), F.col("_h.fwd").alias("fwd"))
 
 
-def correlation(a: str, b: str) -> Column:
-    """Aggregate: Pearson correlation, NULL when either side is constant."""
-    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def rank_correlation(a: str, b: str) -> Column:
+    """Aggregate: correlation of two rank columns, NULL when either side is constant.
+
+    Ranks are multiples of one half, so the sums are exact and an unrelated pair gives
+    exactly 0; their spread is of the order of their mean, so nothing cancels badly.
+    """
+    x, y, n = F.col(a), F.col(b), F.count(F.lit(1))
+    cross = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+    spread_x = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    spread_y = n * F.sum(y * y) - F.sum(y) * F.sum(y)
+    return ratio(cross, F.sqrt(spread_x) * F.sqrt(spread_y))
 
 
 def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (),
@@ -48,7 +56,7 @@ def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (
     valid = pairs.filter(F.col("fwd").isNotNull())
     ranked = average_rank(valid, group, "value", "_rv", small_groups)
     ranked = average_rank(ranked, group, "fwd", "_rf", small_groups)
-    return (ranked.groupBy(*group).agg(correlation("_rv", "_rf").alias("ic"), F.count(F.lit(1)).alias("names"))
+    return (ranked.groupBy(*group).agg(rank_correlation("_rv", "_rf").alias("ic"), F.count(F.lit(1)).alias("names"))
             .filter(F.col("names") >= min_names))
 
 
@@ -104,10 +112,10 @@ def factor_returns(pairs: DataFrame) -> DataFrame:
         ratio(F.sum(F.col("_w") * F.col("fwd")), F.sum(F.abs("_w"))).alias("factor_return"))
 
 
-def cumulative_factor_returns(daily: DataFrame) -> DataFrame:
-    """Running product of daily factor returns; one series per factor and horizon, one row per date."""
+def cumulative_factor_returns(daily: DataFrame, gross: float = 1.0) -> DataFrame:
+    """Running product of daily factor returns at a gross exposure; one row per factor, horizon and date."""
     w = Series(("factor", "horizon"), "date", DAILY.max_rows).running()
-    growth = F.product(F.lit(1.0) + F.coalesce(F.col("factor_return"), F.lit(0.0))).over(w)
+    growth = F.product(F.lit(1.0) + F.coalesce(F.col("factor_return") * gross, F.lit(0.0))).over(w)
     return daily.withColumn("cumulative_return", growth - 1.0)
 
 
@@ -120,7 +128,7 @@ def ranked(rows: DataFrame, small_groups: bool = False) -> DataFrame:
 
 def rank_autocorrelation(rows: DataFrame, min_names: int = MIN_NAMES) -> DataFrame:
     df = ranked(rows).filter(F.col("rank_before").isNotNull())
-    return (df.groupBy("factor", "date").agg(correlation("rank", "rank_before").alias("autocorrelation"),
+    return (df.groupBy("factor", "date").agg(rank_correlation("rank", "rank_before").alias("autocorrelation"),
                                              F.count(F.lit(1)).alias("names"))
             .filter(F.col("names") >= min_names))
 

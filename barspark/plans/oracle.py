@@ -7,6 +7,6 @@ def check(ctes: list[str], body: str, plain: str = "", rounded: str = "", digits
           special: dict[str, int] | None = None) -> str:
     """``WITH ctes SELECT plain columns, round(doubles) FROM (body)``; columns are space-separated names."""
     special = special or {}
-    cols = plain.split() + [f"round({c}, {special.get(c, digits)}) + 0.0 AS {c}" for c in rounded.split()]
+    cols = plain.split() + [f"round(CAST({c} AS DOUBLE), {special.get(c, digits)}) + 0.0 AS {c}" for c in rounded.split()]
     head = f"WITH {', '.join(ctes)} " if ctes else ""
     return f"{head}SELECT {', '.join(cols)} FROM ({body}) q"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import series_queries, table_queries
+from . import research_queries, series_queries, table_queries
 
-_MODULES = (table_queries, series_queries)
+_MODULES = (table_queries, series_queries, research_queries)
 
 
 def _prepared(plan):
