@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import DAILY, Series, following
 from ..functions.numeric import change, ratio
-from .ranking import average_rank, quantiles
+from .ranking import average_ranks, quantiles
 
 MIN_NAMES = 10
 _BY_DAY = ["factor", "horizon", "date"]
@@ -54,8 +54,7 @@ def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (
     """Rank correlation of value and forward return per factor, horizon and date (and ``by``)."""
     group = [*_BY_DAY, *by]
     valid = pairs.filter(F.col("fwd").isNotNull())
-    ranked = average_rank(valid, group, "value", "_rv", small_groups)
-    ranked = average_rank(ranked, group, "fwd", "_rf", small_groups)
+    ranked = average_ranks(valid, group, {"value": "_rv", "fwd": "_rf"}, small_groups)
     return (ranked.groupBy(*group).agg(rank_correlation("_rv", "_rf").alias("ic"), F.count(F.lit(1)).alias("names"))
             .filter(F.col("names") >= min_names))
 
@@ -121,7 +120,7 @@ def cumulative_factor_returns(daily: DataFrame, gross: float = 1.0) -> DataFrame
 
 def ranked(rows: DataFrame, small_groups: bool = False) -> DataFrame:
     """Rank of each name on its date and the rank it had on its row before."""
-    df = average_rank(rows, ["factor", "date"], "value", "rank", small_groups)
+    df = average_ranks(rows, ["factor", "date"], {"value": "rank"}, small_groups)
     series = Series(("factor", "ticker"), "date", DAILY.max_rows)
     return df.withColumn("rank_before", F.lag("rank").over(series.ordered()))
 

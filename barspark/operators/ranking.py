@@ -44,21 +44,26 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int =
             .select(*group, value, "_n", "_below", "_total"))
 
 
-def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, small_groups: bool = False) -> DataFrame:
-    """Add the 1-based rank, ties sharing their mean; rows with a NULL value get NULL.
+def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], small_groups: bool = False) -> DataFrame:
+    """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL.
 
-    ``small_groups=True`` states that every group fits one task; it then takes a plain
-    window over the group, which saves two exchanges.
+    ``small_groups=True`` states that every group fits one task; it then takes plain
+    windows over the group, which needs one exchange for all ranks together.
     """
     group = list(group)
     if small_groups:
-        # NULLs sort last, so they never shift the rank of a value
-        w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
-    ranks = value_ranks(df, group, value).select(
-        *group, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*group, value], "left")
+        def rank(value: str) -> Column:
+            # NULLs sort last, so they never shift the rank of a value
+            w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+            return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
+        return df.withColumns({out: rank(value) for value, out in columns.items()})
+    # every rank table is derived from the input alone, not from a frame that already has another rank
+    tables = {value: value_ranks(df, group, value).select(
+        *group, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out)) for value, out in columns.items()}
+    for value, ranks in tables.items():
+        df = df.join(ranks, [*group, value], "left")
+    return df
 
 
 def _at(index: Column, value: str) -> Column:

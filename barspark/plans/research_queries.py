@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numeric import rounded
 from ..operators import capm, factors as fac, indicators as ind, ml, risk, signals
 from ..sources import datasets
+from ..sources.folders import work_folder
 from ..streaming import bars as streams
 from .oracle import check
 from .series_queries import TECH, days, last, macd_sql
-from .table_queries import DAYBARS, DERIVED, with_returns
+from .table_queries import DAYBARS, DERIVED, tradable_sql, with_returns
 from .tables import BARS, FACTORS, MARKET, MINUTES, RETS, bars_daily as daily, bars_minute as minute, factor_returns, market
 
 
@@ -258,7 +259,7 @@ def _importance(s, rows):
 
 
 def _saved_model(s, rows):
-    path = streams.work_folder(s, "model")
+    path = work_folder(s, "model")
     ml.save(ml.fit_linear(rows, ML_FEATURES, "ridge", 1.0), path)
     return rounded(ml.coefficients(ml.load(path), ML_FEATURES, s).select("feature", "coefficient"))
 
@@ -284,7 +285,7 @@ def event_stream(s, d, file: str = "events.parquet") -> DataFrame:
 
 
 def _stream_bars(s, d):
-    target, checkpoint = streams.work_folder(s, "bars"), streams.work_folder(s, "bars-checkpoint")
+    target, checkpoint = work_folder(s, "bars"), work_folder(s, "bars-checkpoint")
     streams.run_to_table(streams.resampled(event_stream(s, d)), target, checkpoint)
     return rounded(s.read.parquet(target))
 
@@ -292,8 +293,8 @@ def _stream_bars(s, d):
 def _stream_ingest(s, d):
     """The events as feed files, ingested twice: the second run finds nothing new."""
     from .table_queries import raw_minutes
-    source = streams.work_folder(s, "feed")
-    target, checkpoint = streams.work_folder(s, "minutes"), streams.work_folder(s, "minutes-checkpoint")
+    source = work_folder(s, "feed")
+    target, checkpoint = work_folder(s, "minutes"), work_folder(s, "minutes-checkpoint")
     feed = raw_minutes(s, d).select("ticker", "volume", "open", "high", "low", "close", "window_start")
     feed.write.csv(source, header=True, compression="gzip")
     for _ in range(2):
@@ -303,10 +304,10 @@ def _stream_ingest(s, d):
 
 def _stream_crosses(s, d):
     """Minute bars as a stream of files, smoothed over each ticker's whole history."""
-    source = streams.work_folder(s, "closes")
+    source = work_folder(s, "closes")
     minute(s, d).select("ticker", "dt", "close").write.parquet(source)
     stream = s.readStream.schema("ticker string, dt timestamp, close double").parquet(source)
-    target, checkpoint = streams.work_folder(s, "crosses"), streams.work_folder(s, "crosses-checkpoint")
+    target, checkpoint = work_folder(s, "crosses"), work_folder(s, "crosses-checkpoint")
     streams.run_to_table(streams.macd_crosses(stream), target, checkpoint)
     return rounded(s.read.parquet(target))
 
@@ -526,8 +527,8 @@ QUERIES = {
     # --- streams -------------------------------------------------------------------------------------
     "st1_incremental_ingest": (
         _stream_ingest,
-        """SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS date, count(*) AS bars FROM events
-           WHERE event_id % 7 <> 0 GROUP BY 1, 2"""),
+        f"""SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS date, count(*) AS bars FROM events
+           WHERE event_id % 7 <> 0 AND {tradable_sql('event_type')} GROUP BY 1, 2"""),
     "st2_streaming_bars": (
         _stream_bars,
         """SELECT ticker, dt, round(arg_min(value, ts), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,

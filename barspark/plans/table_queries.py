@@ -8,7 +8,8 @@ from ..functions.numeric import rounded
 from ..functions.predicates import apply_filters
 from ..functions.tickers import is_tradable, tradable_only, with_chart_links
 from ..operators import intraday, labels, returns, screens
-from ..sources import bars as feeds, datasets
+from ..sources import bars as feeds, datasets, sinks
+from ..sources.folders import work_folder
 from .oracle import check
 from .tables import (BARS, FIVES, MINUTES, RETS, bars_daily as daily, bars_minute as minute, table)
 
@@ -147,6 +148,46 @@ def _low_price(s, d):
     return rounded(labels.low_price_tickers(daily(s, d), 48.0, 850_000))
 
 
+def _written(s, d):
+    path = work_folder(s, "bars")
+    with_keys = daily(s, d).withColumns({"year": F.year("date"), "month": F.month("date")})
+    sinks.write_parquet(with_keys, path, ["year", "month"])
+    return s.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
+
+
+def _by_date(s, d, label):
+    """Written twice: the second run replaces the dates of the first."""
+    path = work_folder(s, "days")
+    for _ in range(2):
+        sinks.write_by_date(minute(s, d), path, label)
+    return s.read.parquet(path).groupBy("mode", "date").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
+
+
+def _event_folders(s, d):
+    path = work_folder(s, "events")
+    sinks.write_by_date(minute(s, d).filter(F.col("close") > F.col("open")), path)
+    return s.read.parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _macd_partitions(s, d):
+    from ..operators.macd import macd
+    path = work_folder(s, "macd")
+    lines = macd(minute(s, d)).withColumns({"year": F.year("date"), "month": F.month("date")})
+    sinks.write_parquet(lines, path, ["year", "month"], "snappy", tradable=False)
+    return s.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("bars"))
+
+
+def _exported(s, d, kind):
+    path = work_folder(s, kind)
+    df = returns.daily_returns(daily(s, d)).select("ticker", "date", "ret_d")
+    schema = "ticker string, date string, ret_d double"
+    if kind == "json":
+        sinks.export_json(df, path)
+        return rounded(s.read.schema(schema).json(path))
+    sinks.export_csv(df, path)
+    return rounded(s.read.schema(schema).csv(path, header=True))
+
+
 QUERIES = {
     # --- sources -----------------------------------------------------------------
     "src1_daily_feed": (
@@ -201,6 +242,25 @@ QUERIES = {
         lambda s, d: datasets.needs_rebuild(daily(s, d), table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"))),
         f"""WITH {BARS} SELECT a AS input_date, b AS output_date, a > b AS rebuild FROM
             (SELECT (SELECT max(date) FROM bars) AS a, (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) AS b) q"""),
+    # --- sinks: written and read back ----------------------------------------------
+    "snk1_partitioned_parquet": (
+        _written,
+        f"""WITH {BARS} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, count(*) AS bars,
+            CAST(sum(volume) AS BIGINT) AS volume FROM bars WHERE {tradable_sql('ticker')} GROUP BY 1, 2"""),
+    "snk2_date_folders": (
+        lambda s, d: _by_date(s, d, "core"),
+        f"WITH {MINUTES} SELECT 'core' AS mode, date, count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume FROM mins GROUP BY 2"),
+    "snk3_event_folders": (
+        lambda s, d: _event_folders(s, d), f"WITH {MINUTES} SELECT date, count(*) AS rows FROM mins WHERE close > open GROUP BY 1"),
+    "snk4_macd_partitions": (
+        _macd_partitions,
+        f"WITH {MINUTES} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, count(*) AS bars FROM mins GROUP BY 1, 2"),
+    "snk5_json_export": (
+        lambda s, d: _exported(s, d, "json"),
+        check([BARS, RETS], "SELECT ticker, strftime(date, '%Y-%m-%d') AS date, ret_d FROM rets", "ticker date", "ret_d")),
+    "snk5_csv_export": (
+        lambda s, d: _exported(s, d, "csv"),
+        check([BARS, RETS], "SELECT ticker, strftime(date, '%Y-%m-%d') AS date, ret_d FROM rets", "ticker date", "ret_d")),
     # --- filters and projections -------------------------------------------------
     "flt1_filter_document": (
         lambda s, d: rounded(apply_filters(daily(s, d), FILTERS).select("ticker", "date", "close", "volume")),

@@ -34,18 +34,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), co
     writer.parquet(path)
 
 
-def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, spread: int = 1) -> None:
+def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, spread: int = 8) -> None:
     """One folder per date (``mode=…/date=…``), replaced date by date.
 
-    Rows are shuffled by date plus ``spread`` ticker buckets: each date ends in a few
-    files, and a heavy date is still written by several tasks.
+    Rows are shuffled by date and one of ``spread`` row buckets: a date ends in a few
+    files, and a heavy date or ticker is still written by several tasks.
     """
     keys = ["date"]
     if mode_label is not None:
         df = df.withColumn("mode", F.lit(mode_label))
         keys = ["mode", "date"]
-    bucket = F.pmod(F.xxhash64("ticker"), F.lit(spread))
-    df = df.repartition(F.col("date"), bucket)
+    within = [c for c in ("ticker", "dt") if c in df.columns]
+    df = df.repartition(F.col("date"), F.pmod(F.xxhash64(*within), F.lit(spread)))
     write_parquet(df, path, partition_by=keys, tradable=False)
 
 

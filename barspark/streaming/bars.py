@@ -7,8 +7,6 @@ the same plans run continuously with another trigger.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,17 +18,6 @@ from ..sources import bars as feeds
 from ..sources.sinks import write_by_date
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A folder all executors see: under ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only without that setting (tests, one machine) a new local folder is taken.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
-    return os.path.join(tempfile.mkdtemp(prefix="barspark-"), name)
-
-
 def feed_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New CSV files of the flat-file feed, all columns as text."""
     return (spark.readStream.schema(feeds.FEED_SCHEMA).option("header", True).option("recursiveFileLookup", True)
