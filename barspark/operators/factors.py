@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import DAILY, Series, following
 from ..functions.numeric import change, ratio
-from .ranking import average_ranks, quantiles
+from .ranking import average_ranks, fits_one_task, quantiles
 
 MIN_NAMES = 10
 _BY_DAY = ["factor", "horizon", "date"]
@@ -50,9 +50,15 @@ def rank_correlation(a: str, b: str) -> Column:
 
 
 def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (),
-             small_groups: bool = False) -> DataFrame:
-    """Rank correlation of value and forward return per factor, horizon and date (and ``by``)."""
+             small_groups: bool | None = None) -> DataFrame:
+    """Rank correlation of value and forward return per factor, horizon and date (and ``by``).
+
+    Unless told, the size of the groups is looked up first (see ``ranking``).
+    """
     group = [*_BY_DAY, *by]
+    if small_groups is None:
+        # counted before the forward returns, which are not needed for it
+        small_groups = fits_one_task(pairs, group)
     valid = pairs.filter(F.col("fwd").isNotNull())
     ranked = average_ranks(valid, group, {"value": "_rv", "fwd": "_rf"}, small_groups)
     return (ranked.groupBy(*group).agg(rank_correlation("_rv", "_rf").alias("ic"), F.count(F.lit(1)).alias("names"))
@@ -68,13 +74,13 @@ def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("t_stat", F.coalesce(t, F.lit(0.0)))
 
 
-def quantile_bins(rows: DataFrame, q: int = 5) -> DataFrame:
+def quantile_bins(rows: DataFrame, q: int = 5, small_groups: bool | None = None) -> DataFrame:
     """Add the 1-based quantile of ``value`` within its factor and date.
 
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
     date whose values are all equal has none.
     """
-    edges = quantiles(rows, ["factor", "date"], "value", [i / q for i in range(q + 1)], "_edges")
+    edges = quantiles(rows, ["factor", "date"], "value", [i / q for i in range(q + 1)], "_edges", small_groups)
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     df = rows.join(edges, ["factor", "date"])
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
@@ -118,7 +124,7 @@ def cumulative_factor_returns(daily: DataFrame, gross: float = 1.0) -> DataFrame
     return daily.withColumn("cumulative_return", growth - 1.0)
 
 
-def ranked(rows: DataFrame, small_groups: bool = False) -> DataFrame:
+def ranked(rows: DataFrame, small_groups: bool | None = None) -> DataFrame:
     """Rank of each name on its date and the rank it had on its row before."""
     df = average_ranks(rows, ["factor", "date"], {"value": "rank"}, small_groups)
     series = Series(("factor", "ticker"), "date", DAILY.max_rows)

@@ -14,6 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 512
+TASK_ROWS = 5_000_000
+
+
+def fits_one_task(df: DataFrame, group: Sequence[str], rows: int = TASK_ROWS) -> bool:
+    """Is every group small enough to be ordered by one task?  One counting job over the group columns."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= rows
 
 
 def _squash(value: Column, scale: Column) -> Column:
@@ -44,13 +51,16 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int =
             .select(*group, value, "_n", "_below", "_total"))
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], small_groups: bool = False) -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], small_groups: bool | None = None) -> DataFrame:
     """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL.
 
-    ``small_groups=True`` states that every group fits one task; it then takes plain
-    windows over the group, which needs one exchange for all ranks together.
+    Groups that fit one task take plain windows, with one exchange for all ranks
+    together; larger ones take ``value_ranks``.  ``small_groups`` answers which it is,
+    otherwise ``fits_one_task`` looks.
     """
     group = list(group)
+    if small_groups is None:
+        small_groups = fits_one_task(df, group)
     if small_groups:
         def rank(value: str) -> Column:
             # NULLs sort last, so they never shift the rank of a value
@@ -70,8 +80,12 @@ def _at(index: Column, value: str) -> Column:
     return F.max(F.when((F.col("_below") <= index) & (index < F.col("_below") + F.col("_n")), F.col(value)))
 
 
-def quantiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], out: str) -> DataFrame:
-    """One row per group with an array of exact, linearly interpolated quantiles."""
+def quantiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], out: str,
+              small_groups: bool | None = None) -> DataFrame:
+    """One row per group with an array of exact, linearly interpolated quantiles (see ``average_ranks``)."""
+    if fits_one_task(df, group) if small_groups is None else small_groups:
+        return (df.filter(F.col(value).isNotNull()).groupBy(*group)
+                .agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in points])).alias(out)))
     ranked = value_ranks(df, group, value)
     aggs, picks = [], []
     for i, q in enumerate(points):

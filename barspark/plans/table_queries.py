@@ -165,8 +165,9 @@ def _by_date(s, d, label):
 
 def _event_folders(s, d):
     path = work_folder(s, "events")
-    sinks.write_by_date(minute(s, d).filter(F.col("close") > F.col("open")), path)
-    return s.read.parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    rising = minute(s, d).filter(F.col("close") > F.col("open"))
+    sinks.write_by_date(rising, path)
+    return s.read.schema(rising.schema).parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _macd_partitions(s, d):
