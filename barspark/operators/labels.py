@@ -50,19 +50,18 @@ def _events(bars: DataFrame, tf: str, move: float, ahead: int, up: bool, down: b
     df = label_moves(forward_extremes(df, ahead), move, ahead)  # labels first: they need every bar
     kind = F.when(F.lit(up) & (F.col("cross_up") == 1), "cross_up").when(
         F.lit(down) & (F.col("cross_down") == 1), "cross_down")
-    return df.withColumns({"event_type": kind, "tf": F.lit(tf)}).filter(F.col("event_type").isNotNull())
+    name = f"{round(move * 10_000)}bp_{ahead}m"
+    return df.withColumns({"event_type": kind, "tf": F.lit(tf)}).filter(F.col("event_type").isNotNull()).select(
+        "ticker", "dt", "date", "tf", "event_type", "macd", "signal", "hist", "hist_prev",
+        F.col("close").alias("entry_close"), f"label_up_{name}", f"label_dn_{name}",
+        f"fwd_up_ret_{ahead}m", f"fwd_dn_ret_{ahead}m", f"fwd_max_high_{ahead}", f"fwd_min_low_{ahead}")
 
 
 def macd_events(minute: DataFrame, five: DataFrame, move: float = 0.008, ahead: int = 30,
                 up: bool = True, down: bool = True, exchange: str | None = None) -> DataFrame:
     """MACD histogram crossings on both timeframes with their forward labels and chart links."""
     both = _events(minute, "1m", move, ahead, up, down).unionByName(_events(five, "5m", move, ahead, up, down))
-    name = f"{round(move * 10_000)}bp_{ahead}m"
-    out = both.select(
-        "ticker", "dt", "date", "tf", "event_type", "macd", "signal", "hist", "hist_prev",
-        F.col("close").alias("entry_close"), f"label_up_{name}", f"label_dn_{name}",
-        f"fwd_up_ret_{ahead}m", f"fwd_dn_ret_{ahead}m", f"fwd_max_high_{ahead}", f"fwd_min_low_{ahead}")
-    return with_chart_links(out, exchange)
+    return with_chart_links(both, exchange)
 
 
 def event_features(events: DataFrame) -> DataFrame:

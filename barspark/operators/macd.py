@@ -64,8 +64,9 @@ def history_macd_features(minute: DataFrame, five: DataFrame) -> DataFrame:
     joining two filtered copies to the distinct keys.
     """
     keys = ["ticker", "date"]
-    stacked = macd_history(minute).withColumn("tf", F.lit("1m")).unionByName(
-        macd_history(five).withColumn("tf", F.lit("5m")))
+    needed = [*keys, "dt", "close"]
+    stacked = macd_history(minute.select(*needed)).withColumn("tf", F.lit("1m")).unionByName(
+        macd_history(five.select(*needed)).withColumn("tf", F.lit("5m")))
     aggs = []
     for tf in ("1m", "5m"):
         def mine(c, tf=tf):

@@ -47,8 +47,10 @@ def market_data(root: str) -> Datasets:
         "daily": [f"{root}/daily_all.parquet", f"{root}/daily_2*.parquet"],
         "weekly": [f"{root}/weekly_all.parquet", f"{root}/weekly_2*.parquet"],
         "filtered": [f"{root}/daily_filtered_scored.parquet", f"{root}/daily_filtered.parquet"],
-        "minute_features": [f"{root}/minute_features_all.parquet", f"{root}/minute_features*.parquet"],
-        "macd_day": [f"{root}/macd_day_features"],
+        "minute": [f"{root}/minute.parquet"],
+        "minute_features": [f"{root}/minute_features_all.parquet", f"{root}/minute_features.parquet"],
+        "macd_day": [f"{root}/macd_day_features.parquet"],
+        "events": [f"{root}/events.parquet"],
         "technical": [f"{root}/technical_features.parquet"],
         "scoring_index": [f"{root}/scoring_index.parquet"],
     })
