@@ -162,8 +162,8 @@ def walk_forward(daily: DataFrame, grid: Sequence[tuple[int, int, int]], train_m
         (F.product(F.lit(1.0) + F.col("ret")) - 1.0).alias("total_return"), risk.sharpe("ret").alias("sharpe_ratio"),
         F.first("fast").alias("fast"), F.first("slow").alias("slow"), F.first("signal_span").alias("signal_span"))
     result = F.struct("param", "fast", "slow", "signal_span", "total_return", "sharpe_ratio")
-    # best by metric; among equals the first set of the grid
-    order = F.struct(F.col(metric), -F.col("param"))
+    # best by metric; among equals (to nine digits) the first set of the grid
+    order = F.struct(F.round(metric, 9), -F.col("param"))
     both = stats.groupBy("ticker", "window").agg(
         F.max_by(F.when(F.col("phase") == "train", result), F.when(F.col("phase") == "train", order)).alias("best"),
         F.collect_list(F.when(F.col("phase") == "test", result)).alias("tests"))  # one entry per parameter set

@@ -91,6 +91,47 @@ def factor_table(s, d) -> DataFrame:
     return capm.factor_table(factor_returns(s, d))
 
 
+FROWS_ALIGNED = """fal AS (SELECT ticker, r.date, ret - rf / 100 AS y, 1.0::DOUBLE AS one, mkt_rf / 100 AS mkt_rf, smb / 100 AS smb,
+   hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma FROM ret r JOIN facs f ON r.date = f.date
+  WHERE mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND rmw IS NOT NULL AND cma IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY ticker) >= 30)"""
+
+
+def ols_sql(name: str, model: str) -> list[str]:
+    """Least squares per ticker by successive projection: each term is projected off all the others."""
+    factors = capm.MODELS[model]
+    terms = ["one", *factors]
+    over = "OVER (PARTITION BY ticker)"
+
+    def projected(order: list[str]) -> str:
+        source = f"(SELECT ticker, y, y AS e, {', '.join(order)} FROM fal)"
+        for i, z in enumerate(order[:-1]):
+            rest = [*order[i + 1:], "e"]
+            cols = ", ".join(f"{c} - sum({c} * {z}) {over} / sum({z} * {z}) {over} * {z} AS {c}" for c in rest)
+            source = f"(SELECT ticker, y, {cols} FROM {source} s{i})"
+        return source
+
+    fits = []
+    k = len(factors)
+    for t in terms:
+        last_term = [x for x in terms if x != t] + [t]
+        fits.append(f"""SELECT ticker, '{"alpha" if t == "one" else t}' AS term, count(*) AS n_observations,
+            sum(e * {t}) / sum({t} * {t}) AS coefficient, sum({t} * {t}) AS zz,
+            sum(e * e) - sum(e * {t}) ** 2 / sum({t} * {t}) AS rss, var_pop(y) * count(*) AS tss
+            FROM {projected(last_term)} p GROUP BY ticker""")
+    return [f"""{name} AS (SELECT *, coefficient / std_error AS t_stat FROM (SELECT *, '{model}' AS model,
+      sqrt(rss / (n_observations - {k + 1}) / zz) AS std_error, 1 - rss / tss AS r_squared,
+      1 - rss / tss * (n_observations - 1) / (n_observations - {k + 1}) AS adj_r_squared FROM ({' UNION ALL '.join(fits)}) u) v)""",
+            f"""{name}w AS (SELECT ticker, model, max(n_observations) AS n_observations, max(r_squared) AS r_squared,
+      max(adj_r_squared) AS adj_r_squared, max(coefficient * 252) FILTER (term = 'alpha') AS alpha,
+      max(t_stat) FILTER (term = 'alpha') AS alpha_t_stat,
+      {', '.join(f"max(coefficient) FILTER (term = '{t}') AS beta_{t}" for t in capm.MODELS['5-factor'])} FROM {name} GROUP BY ticker, model)"""]
+
+
+FITS = [BARS, RETS, RET, FACTORS, FROWS_ALIGNED]
+_FIT = "coefficient std_error t_stat r_squared adj_r_squared"
+
+
 # --- factor evaluation ---------------------------------------------------------------------------
 FACTOR_COLUMNS = ["ret_d", "volume"]
 HORIZONS = (1, 5)
@@ -228,6 +269,31 @@ def _sql(ctes, body):
     return f"WITH {', '.join(ctes)} {body}"
 
 
+def walk_sql() -> list[str]:
+    """Every parameter set smoothed, traded and measured in every slice."""
+    keys = "ticker, win, phase"
+    out = [BARS, """slices AS (SELECT ticker, date, close, CAST(k AS INTEGER) AS win, unnest(CASE WHEN date = mid THEN ['train', 'test']
+       WHEN date < mid THEN ['train'] ELSE ['test'] END) AS phase
+      FROM (SELECT ticker, date, close, k, CAST(first + to_months(k) AS DATE) AS a, CAST(first + to_months(k + 6) AS DATE) AS mid,
+              CAST(first + to_months(k + 7) AS DATE) AS z, final
+            FROM (SELECT *, min(date) OVER (PARTITION BY ticker) AS first, max(date) OVER (PARTITION BY ticker) AS final,
+                    unnest(range(0, 100))::INTEGER AS k FROM bars) b) c WHERE date BETWEEN a AND z AND z <= final)"""]
+    stats = []
+    for i, (fast, slow, span) in enumerate(GRID):
+        out += [macd_sql("slices", f"w{i}", keys, "date", fast, slow, span),
+                f"g{i} AS (SELECT *, cross_up = 1 AS entry, cross_down = 1 AS \"exit\" FROM w{i}x)",
+                simulate_sql(f"g{i}", f"v{i}", keys)]
+        stats.append(f"""SELECT {keys}, {i} AS param, {fast}.0::DOUBLE AS fast, {slow}.0::DOUBLE AS slow, {span}.0::DOUBLE AS signal,
+          product(1.0 + ret) - 1 AS total_return, coalesce(avg(ret) / nullif(stddev(ret), 0), 0.0) * sqrt(252.0) AS sharpe
+          FROM v{i} GROUP BY {keys}""")
+    return [*out, f"wst AS ({' UNION ALL '.join(stats)})",
+            """best AS (SELECT * FROM wst WHERE phase = 'train'
+              QUALIFY row_number() OVER (PARTITION BY ticker, win ORDER BY round(sharpe, 9) DESC, param) = 1)""",
+            """walk AS (SELECT b.ticker, b.win AS "window", b.fast, b.slow, b.signal, b.sharpe AS train_metric,
+              t.total_return AS test_return, t.sharpe AS test_sharpe FROM best b JOIN wst t ON t.ticker = b.ticker
+              AND t.win = b.win AND t.param = b.param AND t.phase = 'test')"""]
+
+
 # --- models -----------------------------------------------------------------------------------------
 ML_FEATURES = ["rsi_14", "stoch_d", "roc_10", "adx_14", "bb_pct", "hist_vol_20", "strong_trend"]
 
@@ -396,11 +462,20 @@ QUERIES = {
         check([BARS, RETS, RET, FACTORS], """SELECT ticker, r.date, ret, mkt_rf / 100 AS mkt_rf, cma / 100 AS cma FROM ret r
               JOIN facs f ON r.date = f.date WHERE mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND rmw IS NOT NULL
               AND cma IS NOT NULL""", "ticker date", "ret mkt_rf cma")),
-    "fm4_factor_exposures": (lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "5-factor")), None),
+    "fm4_factor_exposures": (
+        lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "5-factor").drop("p_value"), 5),
+        check([*FITS, *ols_sql("fit5", "5-factor")], "SELECT * FROM fit5", "ticker model n_observations term", _FIT, 5)),
+    "fm4_factor_inference": (lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor")), None),
     "fm5_factor_report": (
-        lambda s, d: rounded(capm.factor_report(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor"))), None),
+        lambda s, d: rounded(capm.factor_report(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor")), 5),
+        check([*FITS, *ols_sql("fit3", "3-factor")], "SELECT * FROM fit3w", "ticker model n_observations",
+              "r_squared adj_r_squared alpha alpha_t_stat beta_mkt_rf beta_smb beta_hml beta_rmw beta_cma", 5)),
     "fm6_model_comparison": (
-        lambda s, d: rounded(capm.compare_models(pairs(s, d), ret(s, d), factor_table(s, d))), None),
+        lambda s, d: rounded(capm.compare_models(pairs(s, d), ret(s, d), factor_table(s, d)), 5),
+        check([*FITS, *CAPM[3:], *ols_sql("fit3", "3-factor"), *ols_sql("fit5", "5-factor")],
+              """SELECT ticker, 'CAPM' AS model, alpha, r_squared, beta FROM capm
+                 UNION ALL SELECT ticker, model, alpha, r_squared, beta_mkt_rf FROM fit3w
+                 UNION ALL SELECT ticker, model, alpha, r_squared, beta_mkt_rf FROM fit5w""", "ticker model", "alpha r_squared beta", 5)),
     # --- factor evaluation --------------------------------------------------------------------
     "fe1_factor_rows": (
         lambda s, d: rounded(factor_rows(s, d)),
@@ -493,9 +568,14 @@ QUERIES = {
     "sg6_run_rsi": (
         lambda s, d: rounded(signals.run_strategy(daily(s, d), "rsi"), 6, **_STATS_SPECIAL),
         check([*RSI_SIG, *stats_sql()], "SELECT * FROM st", "ticker total_trades", _STATS, 6, _STATS_SPECIAL)),
-    "sg7_walk_forward": (lambda s, d: rounded(signals.walk_forward(daily(s, d), GRID), 5), None),
+    "sg7_walk_forward": (
+        lambda s, d: rounded(signals.walk_forward(daily(s, d), GRID), 5),
+        check(walk_sql(), "SELECT * FROM walk", 'ticker "window"', "fast slow signal train_metric test_return test_sharpe", 5)),
     "sg7_walk_forward_summary": (
-        lambda s, d: rounded(signals.walk_forward_summary(signals.walk_forward(daily(s, d), GRID)), 5), None),
+        lambda s, d: rounded(signals.walk_forward_summary(signals.walk_forward(daily(s, d), GRID)), 5),
+        check(walk_sql(), """SELECT ticker, count(*) AS num_windows, avg(test_return) AS avg_test_return,
+              stddev_pop(test_return) AS std_test_return FROM walk GROUP BY ticker""", "ticker num_windows",
+              "avg_test_return std_test_return", 5)),
     "sg8_position_size": (
         lambda s, d: rounded(signals.position_size(technical(s, d)).select(
             "ticker", "date", "stop_distance", "stop_price", "shares", "position_value", "risk_amount"), 4),
