@@ -97,19 +97,18 @@ FROWS_ALIGNED = """fal AS (SELECT ticker, r.date, ret - rf / 100 AS y, 1.0::DOUB
   QUALIFY count(*) OVER (PARTITION BY ticker) >= 30)"""
 
 
-def ols_sql(name: str, model: str) -> list[str]:
-    """Least squares per ticker by successive projection: each term is projected off all the others."""
-    factors = capm.MODELS[model]
+def fit_sql(source: str, factors: list[str]) -> str:
+    """Least squares of y per ticker by successive projection: each term is projected off all the others."""
     terms = ["one", *factors]
     over = "OVER (PARTITION BY ticker)"
 
     def projected(order: list[str]) -> str:
-        source = f"(SELECT ticker, y, y AS e, {', '.join(order)} FROM fal)"
+        inner = f"(SELECT ticker, y, y AS e, {', '.join(order)} FROM {source})"
         for i, z in enumerate(order[:-1]):
             rest = [*order[i + 1:], "e"]
             cols = ", ".join(f"{c} - sum({c} * {z}) {over} / sum({z} * {z}) {over} * {z} AS {c}" for c in rest)
-            source = f"(SELECT ticker, y, {cols} FROM {source} s{i})"
-        return source
+            inner = f"(SELECT ticker, y, {cols} FROM {inner} s{i})"
+        return inner
 
     fits = []
     k = len(factors)
@@ -119,9 +118,13 @@ def ols_sql(name: str, model: str) -> list[str]:
             sum(e * {t}) / sum({t} * {t}) AS coefficient, sum({t} * {t}) AS zz,
             sum(e * e) - sum(e * {t}) ** 2 / sum({t} * {t}) AS rss, var_pop(y) * count(*) AS tss
             FROM {projected(last_term)} p GROUP BY ticker""")
-    return [f"""{name} AS (SELECT *, coefficient / std_error AS t_stat FROM (SELECT *, '{model}' AS model,
+    return f"""SELECT *, coefficient / std_error AS t_stat FROM (SELECT *,
       sqrt(rss / (n_observations - {k + 1}) / zz) AS std_error, 1 - rss / tss AS r_squared,
-      1 - rss / tss * (n_observations - 1) / (n_observations - {k + 1}) AS adj_r_squared FROM ({' UNION ALL '.join(fits)}) u) v)""",
+      1 - rss / tss * (n_observations - 1) / (n_observations - {k + 1}) AS adj_r_squared FROM ({' UNION ALL '.join(fits)}) u) v"""
+
+
+def ols_sql(name: str, model: str) -> list[str]:
+    return [f"{name} AS (SELECT *, '{model}' AS model FROM ({fit_sql('fal', list(capm.MODELS[model]))}) m)",
             f"""{name}w AS (SELECT ticker, model, max(n_observations) AS n_observations, max(r_squared) AS r_squared,
       max(adj_r_squared) AS adj_r_squared, max(coefficient * 252) FILTER (term = 'alpha') AS alpha,
       max(t_stat) FILTER (term = 'alpha') AS alpha_t_stat,
@@ -298,6 +301,15 @@ def walk_sql() -> list[str]:
 ML_FEATURES = ["rsi_14", "stoch_d", "roc_10", "adx_14", "bb_pct", "hist_vol_20", "strong_trend"]
 
 
+# the training rows with standardised features, as one group
+ML_FIT = [*TECH, f"""mrow AS (SELECT * FROM (SELECT *, lead(close) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS target,
+    count(*) OVER (PARTITION BY ticker) AS cnt FROM tech) a WHERE cnt >= 100 AND target IS NOT NULL
+    AND {' AND '.join(f'{c} IS NOT NULL' for c in ML_FEATURES)})""",
+          "mstd AS (SELECT 'all' AS ticker, target AS y, 1.0::DOUBLE AS one, "
+          + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in ML_FEATURES) + " FROM mrow)",
+          f"mfit AS ({fit_sql('mstd', ML_FEATURES)})"]
+
+
 def model_rows(s, d) -> DataFrame:
     from ..operators.labels import next_day_dataset
     return next_day_dataset(technical(s, d), ML_FEATURES, 100)
@@ -595,8 +607,17 @@ QUERIES = {
     # --- models ------------------------------------------------------------------------------------
     "ml1_time_folds": (lambda s, d: ml.fold_table(daily(s, d)), FOLD_SQL.format(bars=BARS)),
     "ml2_ml3_linear_cross_validation": (_cv(lambda n: ml.linear_stage(None, rows=n)), None),
-    "ml3_linear_coefficients": (_ml(lambda s, rows: rounded(ml.coefficients(ml.fit_linear(rows, ML_FEATURES), ML_FEATURES, s))), None),
-    "ml3_linear_fit": (_ml(lambda s, rows: rounded(ml.fit_summary(ml.fit_linear(rows, ML_FEATURES), s, len(ML_FEATURES)))), None),
+    "ml3_linear_coefficients": (
+        _ml(lambda s, rows: rounded(ml.coefficients(ml.fit_linear(rows, ML_FEATURES), ML_FEATURES, s)
+                                    .select("feature", "coefficient", "abs_coefficient", "t_stat"), 5)),
+        check(ML_FIT, """SELECT term AS feature, coefficient, abs(coefficient) AS abs_coefficient, t_stat FROM mfit WHERE term <> 'alpha'""",
+              "feature", "coefficient abs_coefficient t_stat", 5)),
+    "ml3_linear_inference": (_ml(lambda s, rows: rounded(ml.coefficients(ml.fit_linear(rows, ML_FEATURES), ML_FEATURES, s))), None),
+    "ml3_linear_fit": (
+        _ml(lambda s, rows: rounded(ml.fit_summary(ml.fit_linear(rows, ML_FEATURES), s, len(ML_FEATURES)), 5)),
+        check(ML_FIT, f"""SELECT n_observations AS rows, r_squared, adj_r_squared,
+              r_squared / {len(ML_FEATURES)} / ((1 - r_squared) / (n_observations - {len(ML_FEATURES) + 1})) AS f_statistic
+              FROM mfit WHERE term = 'alpha'""", "rows", "r_squared adj_r_squared f_statistic", 5)),
     "ml4_logistic_cross_validation": (_cv(lambda n: ml.logistic_stage("l2", 1.0, n), True), None),
     "ml5_regularisation_path": (_ml(lambda s, rows: rounded(ml.tune(rows, ML_FEATURES, "lasso")[1])), None),
     "ml6_tree_classifier": (_ml(lambda s, rows: _trees(s, rows, True)), None),
