@@ -8,10 +8,6 @@ from ..functions.frames import DAILY, INTRADAY, Series, full, positioned, previo
 from ..functions.numeric import change, ratio
 
 
-def five_minute_start(dt: Column, minutes: int = 5) -> Column:
-    return F.window(dt, f"{minutes} minutes").getField("start")
-
-
 def resample(minute: DataFrame, minutes: int = 5) -> DataFrame:
     """OHLCV bars, left-closed and left-labelled; only windows that hold a row."""
     return (minute

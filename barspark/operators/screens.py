@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.predicates import apply_filters
-from ..functions.tickers import is_tradable
+from ..functions.frames import DAILY
+from ..functions.tickers import is_tradable, tradable_only
 from .returns import price_band
 
 
@@ -28,8 +29,6 @@ def page_total(df: DataFrame, filters: dict | None = None) -> DataFrame:
 
 
 def newest_per_ticker(df: DataFrame, n: int, order: str = "date") -> DataFrame:
-    from ..functions.frames import DAILY
-    from pyspark.sql import Window
     w = Window.partitionBy(*DAILY.keys).orderBy(F.desc(order))
     # Spark prunes rows above n before the exchange (window group limit)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
@@ -148,6 +147,24 @@ def removed_tickers(df: DataFrame, column: str = "ticker", limit: int = 50) -> D
     return df.filter(~is_tradable(F.col(column))).select(column).distinct().orderBy(column).limit(limit)
 
 
+def clean(df: DataFrame, column: str = "ticker", dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The report on symbols that are not ordinary shares, and the table without them (as it is on a dry run)."""
+    return clean_report(df, column), df if dry_run else tradable_only(df, column)
+
+
+def distinct_count(column: str, approximate: bool = False) -> Column:
+    """Aggregate: exact unless asked; the estimate keeps a small sketch instead of all values."""
+    return F.approx_count_distinct(column) if approximate else F.countDistinct(column)
+
+
+def register_views(daily: DataFrame, as_of: Column) -> None:
+    """The standing views ``daily``, ``ticker_summary``, ``recent_daily`` and ``high_volume_tickers``."""
+    daily.createOrReplaceTempView("daily")
+    ticker_summary(daily).createOrReplaceTempView("ticker_summary")
+    recent(daily, as_of).createOrReplaceTempView("recent_daily")
+    high_volume_tickers(daily, as_of).createOrReplaceTempView("high_volume_tickers")
+
+
 # Ready-made reports over a view named ``daily``; :as_of is the day they look back from.
 REPORTS = {
     "total_rows": "SELECT count(*) AS total_rows FROM daily",

@@ -130,6 +130,12 @@ def _register_views(s, d):
         FROM daily GROUP BY year(date)""", {"daily": df})
 
 
+def _views(s, d):
+    screens.register_views(daily(s, d), as_of())
+    return s.sql("""SELECT count(*) AS tickers, sum(days) AS bars FROM ticker_summary
+                    WHERE ticker IN (SELECT ticker FROM high_volume_tickers)""")
+
+
 def _datasets(s, d):
     """The registry over the given files: a missing first choice falls back to the second."""
     registry = datasets.Datasets({"lines": [f"{d}/lineitem_all.parquet", f"{d}/lineitem.parquet"],
@@ -419,12 +425,17 @@ QUERIES = {
         _register_views,
         f"""WITH {BARS} SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT ticker) AS tickers,
             CAST(sum(volume) AS BIGINT) AS volume, round(max(high), 4) AS top FROM bars GROUP BY 1"""),
+    "agg17_views": (
+        _views,
+        f"""WITH {BARS}, v AS (SELECT ticker, avg(volume) AS av FROM bars WHERE date >= DATE '{AS_OF}' - 90 GROUP BY ticker HAVING avg(volume) >= 100000)
+            SELECT count(*) AS tickers, CAST(sum(n) AS BIGINT) AS bars FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY 1) s
+            WHERE ticker IN (SELECT ticker FROM v)"""),
     "agg18_distinct_dates": (
         lambda s, d: daily(s, d).select("date").distinct(),
         f"WITH {BARS} SELECT DISTINCT date FROM bars"),
     "agg19_distinct_counts": (
         lambda s, d: daily(s, d).groupBy(F.year("date").alias("year")).agg(
-            F.countDistinct("ticker").alias("tickers"), F.countDistinct("date").alias("dates")),
+            screens.distinct_count("ticker").alias("tickers"), screens.distinct_count("date").alias("dates")),
         f"""WITH {BARS} SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT ticker) AS tickers,
             count(DISTINCT date) AS dates FROM bars GROUP BY 1"""),
     "agg20_ticker_detail": (

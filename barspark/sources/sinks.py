@@ -49,6 +49,20 @@ def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, sprea
     write_parquet(df, path, partition_by=keys, tradable=False)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("ticker",),
+                   order: Sequence[str] = ("date",), path: str | None = None, mode: str = "overwrite") -> None:
+    """A catalog table whose files are hashed by ``keys`` and sorted.
+
+    Per-ticker windows, groupings and joins over such a table need no exchange at all,
+    which is what a large archive that is read every day should be stored as.
+    """
+    writer = (df.repartition(buckets, *keys).write.mode(mode).format("parquet").option("compression", "zstd")
+              .bucketBy(buckets, *keys).sortBy(*keys, *order))
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def _readable(df: DataFrame) -> DataFrame:
     """NaN and infinities become NULL, dates ISO text."""
     cols = []

@@ -136,3 +136,32 @@ def test_chart_range_counts_back_from_the_newest_row(spark, period):
     rows = [("A", newest - datetime.timedelta(days=i), 1.0) for i in range(500)]
     got = indicators.chart_range(spark.createDataFrame(rows, "ticker string, date date, close double"), period).count()
     assert got == {"1d": 2, "12mo": 367}[period]
+
+
+def test_bucketed_bars_need_no_exchange(spark, tmp_path):
+    from barspark.sources.sinks import write_bucketed
+    write_bucketed(bars_daily(spark, SMALL), "bucketed_bars", 4, path=str(tmp_path / "b"))
+    try:
+        df = indicators.technical_features(spark.table("bucketed_bars"))
+        assert exchanges(df) == 0 and df.count() == bars_daily(spark, SMALL).count()
+    finally:
+        spark.sql("DROP TABLE bucketed_bars")
+
+
+def test_no_query_multiplies_tables(spark):
+    """No registered plan holds a cross or nested-loop join, or an ungrouped window over a table."""
+    import __spark_entry__ as entry
+    acts = ("ml", "snk", "st1", "st2", "st3")  # these run jobs while they are built
+    single = {"rk11_portfolio_report"}  # one portfolio: a series with one row per date
+    for name, query in entry.queries().items():
+        if not name.startswith(acts) or name == "ml1_time_folds":
+            text = plan(query(spark, SMALL))
+            assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
+            assert not re.search(r"Window \[[^\n]*windowspecdefinition\((specifiedwindowframe|[a-z_]+#\d+ (ASC|DESC))", text) or name in single, name
+
+
+def test_approximate_counts_are_asked_for(spark):
+    from barspark.operators.screens import distinct_count
+    df = spark.range(1000)
+    assert df.agg(distinct_count("id").alias("n")).first()["n"] == 1000
+    assert abs(df.agg(distinct_count("id", True).alias("n")).first()["n"] - 1000) < 150
