@@ -41,9 +41,15 @@ def _long(row: DataFrame, names: list[str], columns: dict[str, str]) -> DataFram
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def column_info(df: DataFrame) -> DataFrame:
-    """Name, type and whether any value is NULL, from one pass over the table."""
+def column_info(df: DataFrame, check_nulls: bool = True) -> DataFrame:
+    """Name, type and whether any value is NULL, from one pass over the table.
+
+    Without ``check_nulls`` every column counts as nullable and no data is read.
+    """
     names = df.columns
+    if not check_nulls:
+        kinds = [(f.name, f.dataType.simpleString(), True) for f in df.schema.fields]
+        return df.sparkSession.createDataFrame(kinds, "column string, type string, nullable boolean")
     row = df.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(f"{n}__nulls") for n in names])
     types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
     return (_long(row, names, {"nulls": "nulls"})

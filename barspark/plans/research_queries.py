@@ -373,7 +373,7 @@ def _stream_ingest(s, d):
     from .table_queries import raw_minutes
     source = work_folder(s, "feed")
     target, checkpoint = work_folder(s, "minutes"), work_folder(s, "minutes-checkpoint")
-    feed = raw_minutes(s, d).select("ticker", "volume", "open", "high", "low", "close", "window_start")
+    feed = raw_minutes(s, d, True).select("ticker", "volume", "open", "high", "low", "close", "window_start")
     feed.write.csv(source, header=True, compression="gzip")
     for _ in range(2):
         streams.ingest_days(s, source, target, checkpoint)
@@ -629,7 +629,7 @@ QUERIES = {
     "st1_incremental_ingest": (
         _stream_ingest,
         f"""SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS date, count(*) AS bars FROM events
-           WHERE event_id % 7 <> 0 AND {tradable_sql('event_type')} GROUP BY 1, 2"""),
+           WHERE event_type <> 'error' AND {tradable_sql('event_type')} GROUP BY 1, 2"""),
     "st2_streaming_bars": (
         _stream_bars,
         """SELECT ticker, dt, round(arg_min(value, ts), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,

@@ -57,18 +57,18 @@ def raw_feed(s, d) -> DataFrame:
         F.col("l_quantity").cast("long").cast("string").alias("volume"))
 
 
-def raw_minutes(s, d) -> DataFrame:
-    """Events as a minute feed; every seventh time stamp does not parse."""
+def raw_minutes(s, d, broken: bool = False) -> DataFrame:
+    """Events as a minute feed; when ``broken``, those of errors have no readable time."""
     ev = table(s, d, "events")
     ns = (F.unix_micros(F.date_trunc("minute", F.col("ts").cast("timestamp"))) * 1000).cast("string")
-    return ev.select(F.upper("event_type").alias("ticker"),
-                     F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(ns).alias("window_start"),
+    when = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(ns) if broken else ns
+    return ev.select(F.upper("event_type").alias("ticker"), when.alias("window_start"),
                      *[F.col("value").cast("string").alias(p) for p in feeds.PRICES],
                      F.col("user_id").cast("string").alias("volume"))
 
 
-RAW_MINUTES = """raw AS (SELECT upper(event_type) AS ticker, date_trunc('minute', ts) AS dt, value, user_id AS volume
-  FROM events WHERE event_id % 7 <> 0)"""
+RAW_MINUTES = """raw AS (SELECT upper(event_type) AS ticker, date_trunc('minute', ts) AS dt, value, user_id AS volume FROM events)"""
+READABLE = "readable AS (SELECT * FROM raw WHERE ticker <> 'ERROR')"
 
 FILTERS = {"close": {"min": 1.0, "max": 50.0}, "ticker": "^S[1-4]", "volume": {"min": 60000}, "missing": 3, "low": None}
 
@@ -203,23 +203,23 @@ QUERIES = {
            CAST(l_quantity AS BIGINT) AS volume, CAST(year(l_shipdate) AS INTEGER) AS year,
            CAST(month(l_shipdate) AS INTEGER) AS month FROM lineitem"""),
     "src2_minute_feed": (
-        lambda s, d: feeds.minute_bars(raw_minutes(s, d).filter(F.col("window_start") != "n/a"))
+        lambda s, d: feeds.minute_bars(raw_minutes(s, d))
         .groupBy("ticker", "date", "hour").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"),
                                                F.max("minute").alias("last_minute")),
         f"""WITH {RAW_MINUTES} SELECT ticker, CAST(dt AS DATE) AS date, CAST(hour(dt) AS INTEGER) AS hour,
             count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume, CAST(max(minute(dt)) AS INTEGER) AS last_minute
             FROM raw GROUP BY 1, 2, 3"""),
     "src3_lenient_day_reader": (
-        lambda s, d: rounded(feeds.minute_bars(raw_minutes(s, d), lenient=True, tradable=True)
+        lambda s, d: rounded(feeds.minute_bars(raw_minutes(s, d, True), lenient=True, tradable=True)
                              .groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("bars"),
                                                             F.max("close").alias("top"))),
-        f"""WITH {RAW_MINUTES} SELECT ticker, CAST(dt AS DATE) AS date, count(*) AS bars, round(max(value), 6) AS top
-            FROM raw WHERE {tradable_sql('ticker')} GROUP BY 1, 2"""),
+        f"""WITH {RAW_MINUTES}, {READABLE} SELECT ticker, CAST(dt AS DATE) AS date, count(*) AS bars, round(max(value), 6) AS top
+            FROM readable WHERE {tradable_sql('ticker')} GROUP BY 1, 2"""),
     "src4_minute_scan_years": (
-        lambda s, d: feeds.minute_bars(raw_minutes(s, d), lenient=True).groupBy("ticker", "year", "month")
+        lambda s, d: feeds.minute_bars(raw_minutes(s, d, True), lenient=True).groupBy("ticker", "year", "month")
         .agg(F.count(F.lit(1)).alias("bars"), F.min("dt").alias("first_dt")),
-        f"""WITH {RAW_MINUTES} SELECT ticker, CAST(year(dt) AS INTEGER) AS year, CAST(month(dt) AS INTEGER) AS month,
-            count(*) AS bars, min(dt) AS first_dt FROM raw GROUP BY 1, 2, 3"""),
+        f"""WITH {RAW_MINUTES}, {READABLE} SELECT ticker, CAST(year(dt) AS INTEGER) AS year, CAST(month(dt) AS INTEGER) AS month,
+            count(*) AS bars, min(dt) AS first_dt FROM readable GROUP BY 1, 2, 3"""),
     "src5_minute_ohlcv_scan": (
         lambda s, d: rounded(minute(s, d).select("ticker", "dt", "date", "open", "high", "low", "close", "volume")),
         check([MINUTES], "SELECT * FROM mins", "ticker dt date volume", "open high low close")),

@@ -6,9 +6,12 @@ import json
 import os
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 
 from barspark.plans import registry
+from barspark.plans.tables import bars_daily
 from barspark.session import RECOMMENDED
 
 HEADLINE = [
@@ -24,6 +27,39 @@ HEADLINE = [
 ]
 
 
+def loop_seconds(bars: pd.DataFrame) -> dict[str, float]:
+    """The same figures by a single-process loop over tickers, for the ratio only."""
+    def indicators(g: pd.DataFrame) -> pd.DataFrame:
+        c, h, l, v = g["close"], g["high"], g["low"], g["volume"]
+        step, before = c.diff(), c.shift()
+        smooth = lambda x: x.ewm(span=14, adjust=False).mean()
+        tr = pd.concat([h - l, (h - before).abs(), (l - before).abs()], axis=1).max(axis=1)
+        up, down = h.diff(), -l.diff()
+        plus = 100 * smooth(up.where((up > down) & (up > 0), 0.0)) / smooth(tr)
+        minus = 100 * smooth(down.where((down > up) & (down > 0), 0.0)) / smooth(tr)
+        k = 100 * (c - l.rolling(14).min()) / (h.rolling(14).max() - l.rolling(14).min())
+        mean, sd = c.rolling(20).mean(), c.rolling(20).std()
+        out = {"rsi": smooth(step.clip(lower=0).fillna(0)) / smooth((-step).clip(lower=0).fillna(0)), "k": k, "d": k.rolling(3).mean(),
+               "roc": c.pct_change(10), "adx": smooth(100 * (plus - minus).abs() / (plus + minus)), "up": mean + 2 * sd, "low": mean - 2 * sd,
+               "s50": c.rolling(50).mean(), "s200": c.rolling(200).mean(), "obv": (np.sign(step).fillna(0) * v).cumsum(),
+               "vwap": ((h + l + c) / 3 * v).cumsum() / v.cumsum(), "atr": smooth(tr), "hv": np.log(c / before).rolling(20).std()}
+        return g.assign(**out)
+
+    def metrics(g: pd.DataFrame) -> dict:
+        r, width = g["close"].pct_change(), g["high"] - g["low"]
+        return {"vol": r.std(), "swing": r.abs().mean(), "volume": g["volume"].mean(), "range": width.mean(), "median": width.median(),
+                "sd": width.std(), "sweet": width.between(0.2, 0.6).sum(), "min": g["close"].min(), "max": g["close"].max(),
+                "slope": np.polyfit(np.arange(len(g)), g["close"], 1)[0]}
+
+    seconds = {}
+    for name, work in (("ind13_technical_features", indicators), ("agg9_sql_metrics", metrics)):
+        start = time.perf_counter()
+        for ticker in bars["ticker"].unique():
+            work(bars[bars["ticker"] == ticker].sort_values("date"))
+        seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,8 +77,10 @@ def main() -> None:
         start = time.perf_counter()
         plans[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    loops = loop_seconds(bars_daily(spark, folder).toPandas())
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                      "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+                      "queries": seconds, "per_ticker_loop": loops,
+                      "speedup_over_loop": {n: round(t / seconds[n], 2) for n, t in loops.items()}, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
