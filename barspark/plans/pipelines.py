@@ -52,13 +52,8 @@ def build_prefiltered(spark: SparkSession, root: str, price_min: float = 1.0, pr
 
 def _pending(spark: SparkSession, root: str, source: DataFrame, target: str) -> DataFrame:
     """Source rows of dates the target table does not have yet."""
-    try:
-        done = _read(spark, root, target)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return source
-    return datasets.not_yet_done(source, done)
+    done = datasets.read_if_there(spark, f"{root}/{target}.parquet")
+    return source if done is None else datasets.not_yet_done(source, done)
 
 
 def build_minute_features(spark: SparkSession, root: str, band: tuple[float, float] | None = (1.0, 9.99),

@@ -15,6 +15,16 @@ class UnknownDataset(KeyError):
     pass
 
 
+def read_if_there(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame | None:
+    """The table, or None when the path does not exist or holds no file yet."""
+    try:
+        return read_tables(spark, paths)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 @dataclass
 class Datasets:
     """Dataset name -> candidate path groups, tried in order.
@@ -29,11 +39,9 @@ class Datasets:
         if name not in self.groups:
             raise UnknownDataset(f"{name}; known: {', '.join(sorted(self.groups))}")
         for group in self.groups[name]:
-            try:
-                return read_tables(spark, group)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
+            found = read_if_there(spark, group)
+            if found is not None:
+                return found
         raise FileNotFoundError(f"dataset {name}: none of {self.groups[name]} exists")
 
     def register(self, spark: SparkSession, *names: str) -> None:

@@ -34,16 +34,21 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), co
     writer.parquet(path)
 
 
-def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, spread: int = 8) -> None:
-    """One folder per date (``mode=…/date=…``), replaced date by date.
+def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, spread: int = 8,
+                  batch: int | None = None) -> None:
+    """One folder per date (``mode=…/date=…/batch=…``), replaced folder by folder.
 
     Rows are shuffled by date and one of ``spread`` row buckets: a date ends in a few
-    files, and a heavy date or ticker is still written by several tasks.
+    files, and a heavy date or ticker is still written by several tasks.  With a
+    ``batch`` number only that batch's part of a date is replaced.
     """
     keys = ["date"]
     if mode_label is not None:
         df = df.withColumn("mode", F.lit(mode_label))
-        keys = ["mode", "date"]
+        keys.insert(0, "mode")
+    if batch is not None:
+        df = df.withColumn("batch", F.lit(batch))
+        keys.append("batch")
     within = [c for c in ("ticker", "dt") if c in df.columns]
     df = df.repartition(F.col("date"), F.pmod(F.xxhash64(*within), F.lit(spread)))
     write_parquet(df, path, partition_by=keys, tradable=False)

@@ -26,15 +26,15 @@ def feed_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 
 def ingest_days(spark: SparkSession, source: str, target: str, checkpoint: str, unit: str = "ns",
                 files_per_batch: int = 100) -> None:
-    """Append new feed files to a minute table in date folders.
+    """Append new feed files to a minute table in folders ``date=…/batch=…``.
 
-    A date is overwritten as a whole, so a batch that is retried after a failure
-    writes the same result.
+    A batch that is retried after a failure replaces what it wrote before and nothing
+    else, so files of one date may arrive in any number of batches.
     """
     stream = feed_stream(spark, source, files_per_batch)
 
-    def write(batch: DataFrame, _: int) -> None:
-        write_by_date(feeds.minute_bars(batch, unit, lenient=True, tradable=True), target)
+    def write(batch: DataFrame, number: int) -> None:
+        write_by_date(feeds.minute_bars(batch, unit, lenient=True, tradable=True), target, batch=number)
 
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -87,13 +87,15 @@ def test_unknown_codec(spark, tmp_path):
         sinks.write_parquet(spark.range(1), str(tmp_path / "x"), compression="zip")
 
 
-def test_shared_folder_is_used_where_the_cluster_names_one(spark):
+def test_shared_folder_is_used_where_the_cluster_names_one():
     from types import SimpleNamespace
-    conf = {"spark.checkpoint.dir": "hdfs://shared/work"}
-    cluster = SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(applicationId="app"))
+    def session(**conf):
+        settings = {k.replace("_", "."): v for k, v in conf.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(applicationId="app"))
+    cluster = session(spark_checkpoint_dir="hdfs://shared/work")
     assert work_folder(cluster, "x").startswith("hdfs://shared/work/x-app-")
     assert work_folder(cluster, "x") != work_folder(cluster, "x")
-    assert "barspark-" in work_folder(spark, "x")
+    assert "barspark-" in work_folder(session(), "x")
 
 
 def test_ingest_takes_only_new_files(spark, tmp_path):
@@ -104,6 +106,10 @@ def test_ingest_takes_only_new_files(spark, tmp_path):
     write_feed(source, "2024-01-03", [("A", 10, 1, 2, 0.5, 1.5, T0 + 86_400_000_000_000)])
     streams.ingest_days(spark, str(source), target, checkpoint)
     assert spark.read.parquet(target).select("date").distinct().count() == 2
+    # a late second file of a date adds to it
+    write_feed(source, "2024-01-02-b", [("B", 10, 1, 2, 0.5, 1.5, T0)])
+    streams.ingest_days(spark, str(source), target, checkpoint)
+    assert spark.read.parquet(target).filter("date = '2024-01-02'").count() == 2
 
 
 def test_streaming_crosses_continue_over_batches(spark, tmp_path):
