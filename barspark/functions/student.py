@@ -5,6 +5,8 @@ Used on result rows only (one per fitted model), never on the data itself.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -12,17 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling series after shifting the argument above 8."""
-    x = np.asarray(x, dtype=float).copy()
-    shift = np.zeros_like(x)
-    for _ in range(8):
-        low = x < 8
-        shift[low] -= np.log(x[low])
-        x[low] += 1
-    inv = 1.0 / x
-    series = inv / 12 - inv**3 / 360 + inv**5 / 1260 - inv**7 / 1680 + inv**9 / 1188
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def _beta_inc(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import DAILY, Series, following
 from ..functions.numeric import change, ratio
+from ..sources.folders import written
 from .ranking import average_ranks, fits_one_task, quantiles
 
 MIN_NAMES = 10
@@ -80,9 +81,14 @@ def quantile_bins(rows: DataFrame, q: int = 5, small_groups: bool | None = None)
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
     date whose values are all equal has none.
     """
-    edges = quantiles(rows, ["factor", "date"], "value", [i / q for i in range(q + 1)], "_edges", small_groups)
+    group = ["factor", "date"]
+    if small_groups is None:
+        small_groups = fits_one_task(rows, group)
+    if not small_groups:
+        rows = written(rows, "quantiles")  # read for the edges and again for the rows
+    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", small_groups)
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    df = rows.join(edges, ["factor", "date"])
+    df = rows.join(edges, group)
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
     return df.withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
 

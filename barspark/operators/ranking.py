@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.folders import written
+
 BUCKETS = 512
 TASK_ROWS = 5_000_000
 
@@ -68,7 +70,8 @@ def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str],
             ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
             return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
         return df.withColumns({out: rank(value) for value, out in columns.items()})
-    # every rank table is derived from the input alone, not from a frame that already has another rank
+    # read several times below: computed once and kept in the shared work folder
+    df = written(df, "ranking")
     tables = {value: value_ranks(df, group, value).select(
         *group, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out)) for value, out in columns.items()}
     for value, ranks in tables.items():

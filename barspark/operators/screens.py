@@ -171,28 +171,38 @@ def register_views(daily: DataFrame, as_of: Column) -> None:
     high_volume_tickers(daily, as_of).createOrReplaceTempView("high_volume_tickers")
 
 
-# Ready-made reports over a view named ``daily``; :as_of is the day they look back from.
-REPORTS = {
-    "total_rows": "SELECT count(*) AS total_rows FROM daily",
-    "unique_tickers": "SELECT count(DISTINCT ticker) AS unique_tickers FROM daily",
-    "top_volume": """
-        SELECT ticker, CAST(floor(avg(volume)) AS BIGINT) AS avg_volume, count(*) AS days FROM daily
-        WHERE date >= :as_of - INTERVAL '90' DAY GROUP BY ticker HAVING count(*) >= :min_days
-        ORDER BY avg_volume DESC, ticker LIMIT 10""",
-    "price_and_volume": """
-        SELECT ticker, round(avg(close), 2) AS avg_price, CAST(floor(avg(volume)) AS BIGINT) AS avg_volume,
-               count(*) AS days
-        FROM daily WHERE date >= :as_of - INTERVAL '90' DAY GROUP BY ticker
-        HAVING avg(close) BETWEEN 1 AND 10 AND avg(volume) > 500000 AND count(*) >= :min_days
-        ORDER BY avg_volume DESC, ticker LIMIT 20""",
-    "range_to_price": """
-        SELECT ticker, round(price, 2) AS avg_price, CAST(floor(shares) AS BIGINT) AS avg_volume,
-               round(width, 3) AS avg_daily_range, days
-        FROM (SELECT ticker, avg(close) AS price, avg(volume) AS shares, avg(high - low) AS width, count(*) AS days
-              FROM daily WHERE date >= :as_of - INTERVAL '90' DAY GROUP BY ticker) t
-        WHERE price BETWEEN 1 AND 10 AND shares > 100000 AND days >= :min_days
-        ORDER BY width / price DESC, ticker LIMIT 50""",
-}
+def recent_averages(daily: DataFrame, as_of: Column, days: int = 90, min_days: int = 40) -> DataFrame:
+    """Mean close, volume (whole shares) and dollar range per ticker over the last days."""
+    out = recent(daily, as_of, days).groupBy("ticker").agg(
+        F.avg("close").alias("price"), F.avg("volume").alias("shares"),
+        F.avg(F.col("high") - F.col("low")).alias("width"), F.count(F.lit(1)).alias("days"))
+    return out.filter(F.col("days") >= min_days).withColumns({
+        "avg_price": F.round("price", 2), "avg_volume": F.floor("shares"), "avg_daily_range": F.round("width", 3)})
+
+
+def volume_leaders(daily: DataFrame, as_of: Column, min_days: int = 40, top: int = 10) -> DataFrame:
+    found = recent_averages(daily, as_of, min_days=min_days)
+    return found.orderBy(F.desc("avg_volume"), "ticker").limit(top).select("ticker", "avg_volume", "days")
+
+
+def cheap_and_liquid(daily: DataFrame, as_of: Column, min_days: int = 40, price: tuple[float, float] = (1, 10),
+                     min_volume: float = 500_000, top: int = 20) -> DataFrame:
+    found = recent_averages(daily, as_of, min_days=min_days).filter(
+        F.col("price").between(*price) & (F.col("shares") > min_volume))
+    return found.orderBy(F.desc("avg_volume"), "ticker").limit(top).select("ticker", "avg_price", "avg_volume", "days")
+
+
+def widest_for_price(daily: DataFrame, as_of: Column, min_days: int = 40, price: tuple[float, float] = (1, 10),
+                     min_volume: float = 100_000, top: int = 50) -> DataFrame:
+    """Scoring candidates: the largest dollar range relative to the price."""
+    found = recent_averages(daily, as_of, min_days=min_days).filter(
+        F.col("price").between(*price) & (F.col("shares") > min_volume))
+    return found.orderBy(F.desc(F.col("width") / F.col("price")), "ticker").limit(top).select(
+        "ticker", "avg_price", "avg_volume", "avg_daily_range", "days")
+
+
+def totals(daily: DataFrame) -> DataFrame:
+    return daily.agg(F.count(F.lit(1)).alias("total_rows"), distinct_count("ticker").alias("unique_tickers"))
 
 
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], **values) -> DataFrame:
@@ -200,9 +210,3 @@ def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], **valu
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=values or None)
-
-
-def report(spark: SparkSession, name: str, daily: DataFrame, as_of, min_days: int = 40) -> DataFrame:
-    text = REPORTS[name]
-    values = {k: v for k, v in {"as_of": as_of, "min_days": min_days}.items() if f":{k}" in text}
-    return run_sql(spark, text, {"daily": daily}, **values)

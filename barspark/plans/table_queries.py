@@ -111,6 +111,10 @@ WEEKS = """weeks AS (SELECT *, close_w / nullif(lag(close_w) OVER w, 0) - 1 AS r
         FROM bars GROUP BY 1, 2) a WINDOW w AS (PARTITION BY ticker ORDER BY week_start))"""
 
 
+AVERAGES = f"""av AS (SELECT ticker, avg(close) AS price, avg(volume) AS shares, avg(high - low) AS width, count(*) AS days
+  FROM bars WHERE date >= DATE '{AS_OF}' - 90 GROUP BY ticker HAVING count(*) >= 15)"""
+
+
 def _column_info(s, d):
     return screens.column_info(with_returns(s, d))
 
@@ -410,17 +414,22 @@ QUERIES = {
         check([BARS], f"""SELECT ticker, avg(volume) AS avg_volume, avg(close) AS avg_close, count(*) AS days FROM bars
               WHERE date >= DATE '{AS_OF}' - 90 GROUP BY ticker HAVING avg(volume) >= 100000""",
               "ticker days", "avg_volume avg_close", 6, {"avg_close": 10})),
-    "agg16_report_total_rows": (
-        lambda s, d: screens.report(s, "total_rows", daily(s, d), None),
-        f"WITH {BARS} SELECT count(*) AS total_rows FROM bars"),
-    "agg16_report_unique_tickers": (
-        lambda s, d: screens.report(s, "unique_tickers", daily(s, d), None),
-        f"WITH {BARS} SELECT count(DISTINCT ticker) AS unique_tickers FROM bars"),
-    **{f"agg16_report_{n}": (
-        lambda s, d, n=n: screens.report(s, n, daily(s, d), _day(AS_OF), 15),
-        f"WITH {BARS}, daily AS (SELECT * FROM bars) " + screens.REPORTS[n]
-        .replace(":as_of", f"DATE '{AS_OF}'").replace(":min_days", "15"))
-       for n in ("top_volume", "price_and_volume", "range_to_price")},
+    "agg16_totals": (
+        lambda s, d: screens.totals(daily(s, d)),
+        f"WITH {BARS} SELECT count(*) AS total_rows, count(DISTINCT ticker) AS unique_tickers FROM bars"),
+    "agg16_volume_leaders": (
+        lambda s, d: screens.volume_leaders(daily(s, d), as_of(), 15),
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, CAST(floor(shares) AS BIGINT) AS avg_volume, days FROM av
+            ORDER BY avg_volume DESC, ticker LIMIT 10"""),
+    "agg16_cheap_and_liquid": (
+        lambda s, d: screens.cheap_and_liquid(daily(s, d), as_of(), 15),
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(floor(shares) AS BIGINT) AS avg_volume, days
+            FROM av WHERE price BETWEEN 1 AND 10 AND shares > 500000 ORDER BY avg_volume DESC, ticker LIMIT 20"""),
+    "agg16_widest_for_price": (
+        lambda s, d: screens.widest_for_price(daily(s, d), as_of(), 15),
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(floor(shares) AS BIGINT) AS avg_volume,
+            round(width, 3) AS avg_daily_range, days FROM av WHERE price BETWEEN 1 AND 10 AND shares > 100000
+            ORDER BY width / price DESC, ticker LIMIT 50"""),
     "agg17_ad_hoc_sql": (
         _register_views,
         f"""WITH {BARS} SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT ticker) AS tickers,
@@ -490,11 +499,6 @@ QUERIES = {
 }
 
 
-def _day(text):
-    import datetime
-    return datetime.date.fromisoformat(text)
-
-
 def _since_newest(s, d):
     from ..operators.scoring import since_newest
     return since_newest(daily(s, d)).select("ticker", "date", "close")

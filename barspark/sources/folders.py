@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -15,5 +16,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return os.path.join(shared, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
+        return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
     return os.path.join(tempfile.mkdtemp(prefix="barspark-"), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the work folder and read back: computed once, lineage cut, safe from executor loss."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ def loop_seconds(bars: pd.DataFrame) -> dict[str, float]:
         c, h, l, v = g["close"], g["high"], g["low"], g["volume"]
         step, before = c.diff(), c.shift()
         smooth = lambda x: x.ewm(span=14, adjust=False).mean()
-        tr = pd.concat([h - l, (h - before).abs(), (l - before).abs()], axis=1).max(axis=1)
+        tr = np.fmax(h - l, np.fmax(np.abs(h - before), np.abs(l - before)))
         up, down = h.diff(), -l.diff()
         plus = 100 * smooth(up.where((up > down) & (up > 0), 0.0)) / smooth(tr)
         minus = 100 * smooth(down.where((down > up) & (down > 0), 0.0)) / smooth(tr)

@@ -121,13 +121,20 @@ def test_bars_are_combined_before_the_shuffle(spark):
     assert text.count("HashAggregate") >= 2 and "SortAggregate" not in text
 
 
-def test_a_third_of_the_ticks_in_one_ticker(spark):
+def test_a_third_of_the_ticks_in_one_ticker(spark, tmp_path):
     line = table(spark, SMALL, "lineitem")
     hot = line.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("l_suppkey")))
-    days = hot.filter("l_suppkey = 1").select(F.to_date("l_shipdate").alias("d")).distinct().count()
+    hot.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = bars_daily(spark, str(tmp_path)).filter("ticker = 'S1'").orderBy("date").toPandas()
+    raw = hot.filter("l_suppkey = 1").toPandas()
+    raw["date"] = raw["l_shipdate"].dt.date
     # however hot the ticker, its series is bounded by its trading days
-    per = hot.groupBy("l_suppkey", F.to_date("l_shipdate").alias("d")).count().groupBy("l_suppkey").count()
-    assert per.filter("l_suppkey = 1").first()["count"] == days
+    assert got["date"].tolist() == sorted(raw["date"].unique())
+    raw["px"] = np.floor(raw["l_extendedprice"] / raw["l_quantity"] * 10) / 10000
+    raw = raw.sort_values(["date", "l_orderkey", "l_linenumber", "px"])
+    by = raw.groupby("date")
+    assert np.allclose(got["open"], by["px"].first()) and np.allclose(got["close"], by["px"].last())
+    assert got["volume"].tolist() == (by["l_quantity"].sum() * 30000).astype(int).tolist()
 
 
 @pytest.mark.parametrize("period", ["1d", "12mo"])

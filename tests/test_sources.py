@@ -91,9 +91,9 @@ def test_shared_folder_is_used_where_the_cluster_names_one():
     from types import SimpleNamespace
     def session(**conf):
         settings = {k.replace("_", "."): v for k, v in conf.items()}
-        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(applicationId="app"))
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
     cluster = session(spark_checkpoint_dir="hdfs://shared/work")
-    assert work_folder(cluster, "x").startswith("hdfs://shared/work/x-app-")
+    assert work_folder(cluster, "x").startswith("hdfs://shared/work/x-")
     assert work_folder(cluster, "x") != work_folder(cluster, "x")
     assert "barspark-" in work_folder(session(), "x")
 
