@@ -106,13 +106,29 @@ def _tradability(liquidity: Column, avg_range: Column, cv: Column) -> Column:
     return F.least(liquidity / 10.0, F.lit(1.0)) * 40.0 + range_points + steady
 
 
+def _dated(bars: DataFrame) -> DataFrame:
+    """Weekly tables under the column names of daily ones."""
+    return bars.withColumnsRenamed({"week_start": "date", "close_w": "close"}) if "week_start" in bars.columns else bars
+
+
+def _complete(bars: DataFrame) -> DataFrame:
+    """Tables may lack columns: what depends on a missing one becomes NULL, and without
+    ``abs_ret_d`` the bar's range over its close stands in for the swing."""
+    df = _dated(bars)
+    if "abs_ret_d" not in df.columns and {"high", "low"} <= set(df.columns):
+        df = df.withColumn("abs_ret_d", F.when(F.col("close") > 0, ratio(F.col("high") - F.col("low"), F.col("close"))))
+    missing = [c for c in ("open", "high", "low", "volume", "ret_d", "abs_ret_d") if c not in df.columns]
+    return df.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else df
+
+
 def ticker_metrics(recent: DataFrame, dialect: str = "sql") -> DataFrame:
     """One row per ticker from one grouping; ``recent`` is already cut to the period.
 
-    Needs ticker, date, OHLCV, ret_d and abs_ret_d; bars are one per ticker and date,
-    so the exact median below counts at most a calendar of values per ticker.
+    Needs ticker, date and close; other columns may be missing.  Bars are one per ticker
+    and date, so the exact median below counts at most a calendar of values per ticker.
     """
     sql = dialect == "sql"
+    recent = _complete(recent)
     dollars = F.col("high") - F.col("low")
     if not sql:
         dollars = F.when((F.col("high") > 0) & (F.col("low") > 0), dollars)
@@ -146,7 +162,7 @@ def ticker_metrics(recent: DataFrame, dialect: str = "sql") -> DataFrame:
         "sweet_spot_range_pct": ratio(F.col("sweet_spot_range_days"), n if sql else F.col("_range_days")) * 100.0,
         "liquidity_multiple": volume / F.lit(float(TARGET_SHARES)),
         "position_pct_of_volume": F.when(volume > 0, ratio(F.lit(float(TARGET_SHARES)), volume) * 100.0)
-                                   .otherwise(100.0),
+                                   .when(volume.isNotNull(), 100.0),
         "daily_range_cv": cv,
         "large_swing_frequency": ratio(F.col("large_swing_days"), n if sql else F.col("_swings")),
         "trend_slope": slope,
@@ -156,8 +172,10 @@ def ticker_metrics(recent: DataFrame, dialect: str = "sql") -> DataFrame:
     })
     liquidity = F.col("liquidity_multiple")
     m = m.withColumns({
-        "profit_potential_score": F.when(volume > 0, mean_range * F.least(liquidity, F.lit(10.0))).otherwise(0.0),
-        "tradability_score": _tradability(liquidity, mean_range, F.col("daily_range_cv")),
+        "profit_potential_score": F.when(volume > 0, mean_range * F.least(liquidity, F.lit(10.0)))
+                                   .when(volume.isNotNull(), 0.0),
+        "tradability_score": F.when(volume.isNotNull() & mean_range.isNotNull(),
+                                    _tradability(liquidity, mean_range, F.col("daily_range_cv"))),
     })
     if not sql:
         m = m.withColumns({c: F.col(c).cast("long") for c in ("avg_volume", "min_volume", "max_volume")})
@@ -219,12 +237,19 @@ def scoring_index(daily: DataFrame, criteria=DEFAULT_CRITERIA, months_back: int
 def score_filtered(daily: DataFrame, as_of: Column, filters: dict | None = None, criteria=DEFAULT_CRITERIA,
                    months_back: int = MONTHS_BACK, min_days: int = MIN_DAYS, min_avg_volume: float = 0.0,
                    price: tuple[float, float] | None = None) -> DataFrame:
-    """Score on the fly; filters choose the bars, but the current price is that of all recent bars."""
-    recent = since(daily, as_of, months_back)
+    """Score on the fly; filters choose the bars, but the current price is that of all recent bars.
+
+    A weekly table has no volumes, so its volume gate is left out.
+    """
+    if "volume" not in daily.columns:
+        min_avg_volume = None
+    recent = since(_dated(daily), as_of, months_back)
     prices = recent.groupBy("ticker").agg(F.max_by("close", "date").alias("_now"))
     m = ticker_metrics(apply_filters(recent, filters), "metrics").join(prices, "ticker")
     m = m.withColumn("current_price", F.col("_now")).drop("_now")
-    m = m.filter((F.col("days_analyzed") >= min_days) & (F.col("avg_volume") >= min_avg_volume))
+    m = m.filter(F.col("days_analyzed") >= min_days)
+    if min_avg_volume is not None:
+        m = m.filter(F.col("avg_volume") >= min_avg_volume)
     if price is not None:
         m = m.filter(F.col("current_price").between(*price))
     return score(m, criteria).orderBy(F.desc("total_score"), "ticker")

@@ -193,3 +193,13 @@ def test_account_pays_fees_and_ignores_repeated_entries(spark):
 def test_factor_rows_drop_missing(spark):
     df = bars(spark, [1.0, 2.0]).withColumn("f", F.when(F.col("close") > 1, F.col("close")))
     assert factor_rows(df, ["f"]).count() == 1
+
+
+def test_metrics_of_tables_with_missing_columns(spark):
+    weekly = returns.weekly_returns(bars(spark, [float(i + 1) for i in range(28)]))
+    row = scoring.score_filtered(weekly, F.lit("2024-02-01").cast("date"), min_days=1, min_avg_volume=500_000.0).first()
+    assert row["current_price"] == 28.0 and row["tradability_score"] is None and row["avg_volume"] is None
+    assert row["total_score"] == 10.0  # only the price criterion has a value
+    plain = bars(spark, [10.0, 10.0], spread=1.0).drop("volume")
+    row = scoring.ticker_metrics(plain, "metrics").first()
+    assert row["avg_daily_swing_pct"] == pytest.approx(0.2) and row["volatility"] is None and row["position_pct_of_volume"] is None
