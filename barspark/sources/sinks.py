@@ -1,4 +1,4 @@
-"""Writers.  Output is spread by a sized repartition, never by ``coalesce(1)``."""
+"""Writers."""
 
 from __future__ import annotations
 
@@ -11,9 +11,19 @@ from ..functions.tickers import tradable_only
 CODECS = ("zstd", "snappy", "gzip", "lz4", "none")
 
 
+def rebalanced(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows brought together by partition folder, in tasks of even size.
+
+    Adaptive execution merges small folders into one task and splits a heavy one over
+    several, so a folder ends in a few well-sized files, never one per upstream task.
+    """
+    columns = ", ".join(f"`{k}`" for k in keys)
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({columns}) */ * FROM {{rows}}", rows=df)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str = "zstd",
                   tradable: bool = True, mode: str = "overwrite", rows_per_file: int = 20_000_000,
-                  sort_within: Sequence[str] = ("ticker",)) -> None:
+                  sort_within: Sequence[str] = ("ticker", "date", "dt")) -> None:
     """Write a bar table; symbols that are not ordinary shares are left out on the way.
 
     Rows are sorted by ticker inside each file, so that row-group statistics let later
@@ -23,7 +33,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), co
         raise ValueError(f"compression {compression}; one of {CODECS}")
     if tradable and "ticker" in df.columns:
         df = tradable_only(df)
-    order = [*partition_by, *[c for c in sort_within if c in df.columns]]
+    if partition_by:
+        df = rebalanced(df, partition_by)
+    order = [*partition_by, *[c for c in sort_within if c in df.columns and c not in partition_by]]
     if order:
         df = df.sortWithinPartitions(*order)
     writer = (df.write.mode(mode).option("compression", compression)
@@ -34,13 +46,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), co
     writer.parquet(path)
 
 
-def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, spread: int = 8,
-                  batch: int | None = None) -> None:
+def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, batch: int | None = None) -> None:
     """One folder per date (``mode=…/date=…/batch=…``), replaced folder by folder.
 
-    Rows are shuffled by date and one of ``spread`` row buckets: a date ends in a few
-    files, and a heavy date or ticker is still written by several tasks.  With a
-    ``batch`` number only that batch's part of a date is replaced.
+    With a ``batch`` number only that batch's part of a date is replaced.
     """
     keys = ["date"]
     if mode_label is not None:
@@ -49,8 +58,6 @@ def write_by_date(df: DataFrame, path: str, mode_label: str | None = None, sprea
     if batch is not None:
         df = df.withColumn("batch", F.lit(batch))
         keys.append("batch")
-    within = [c for c in ("ticker", "dt") if c in df.columns]
-    df = df.repartition(F.col("date"), F.pmod(F.xxhash64(*within), F.lit(spread)))
     write_parquet(df, path, partition_by=keys, tradable=False)
 
 

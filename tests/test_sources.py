@@ -149,3 +149,10 @@ def test_late_rows_are_dropped_from_streaming_bars(spark, tmp_path):
     feed("2024-01-01 10:02:00", "2024-01-01 11:00:00")
     got = {r.dt.strftime("%H:%M"): r.volume for r in spark.read.parquet(target).collect()}
     assert got == {"10:00": 2, "10:30": 1}
+
+
+def test_folders_hold_few_files(spark, tmp_path):
+    df = spark.range(20_000, numPartitions=8).select(
+        F.concat(F.lit("T"), F.col("id") % 50).alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 4).cast("int")).alias("date"))
+    sinks.write_by_date(df, str(tmp_path / "t"))
+    assert len(spark.read.parquet(str(tmp_path / "t")).inputFiles()) <= 8 and spark.read.parquet(str(tmp_path / "t")).count() == 20_000
