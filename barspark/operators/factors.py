@@ -109,8 +109,10 @@ def spread(by_quantile: DataFrame) -> DataFrame:
 
 def evaluate(table: DataFrame, factors: Sequence[str], horizons: Sequence[int] = (1, 5, 10), q: int = 5) -> DataFrame:
     """IC summary and spread of every factor and horizon, best mean IC first."""
-    pairs = with_forward(quantile_bins(factor_rows(table, factors), q), horizons)
-    out = ic_summary(daily_ic(pairs)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
+    rows = factor_rows(table, factors)
+    small = fits_one_task(rows, ["factor", "date"])  # a date's rows per horizon are no more than that
+    pairs = with_forward(quantile_bins(rows, q, small), horizons)
+    out = ic_summary(daily_ic(pairs, small_groups=small)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
     return out.orderBy(F.desc("mean_ic"), "factor", "horizon")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import DAILY, Series, full, positioned, previous
 from ..functions.numeric import TRADING_DAYS, change, ratio
@@ -57,8 +57,8 @@ def curve(returns: DataFrame, series: Series = DAILY) -> DataFrame:
                          "drawdown": ratio(F.col("_wealth") - F.col("_peak"), F.col("_peak"))})
     high = F.when(~(F.col("drawdown") < 0), F.col("_pos"))
     df = df.withColumn("_high", high)
-    df = df.withColumn("_last_high", F.last("_high", ignorenulls=True).over(series.ordered().rowsBetween(
-        -series.max_rows, -1)))
+    df = df.withColumn("_last_high", F.last("_high", ignorenulls=True).over(
+        series.ordered().rowsBetween(Window.unboundedPreceding, -1)))
     return (df.withColumn("recovered_after", F.when(
         F.col("_high").isNotNull() & (F.col("_high") - F.col("_last_high") > 1), F.col("_high") - F.col("_last_high") - 1))
         .drop("_wealth", "_peak", "_high", "_last_high", "_pos"))
