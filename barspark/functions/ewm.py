@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import POSITION, Series, positioned
+from .frames import BLOCK_COLUMN, POSITION, Series, positioned, unpositioned
 
 BLOCK = 2_048
 _NEGLIGIBLE = 40.0   # e**-40 is below the resolution of a double
@@ -51,7 +51,8 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series:
     """Add one smoothed column per entry of ``means``: name -> (non-null value, span).
 
     A span may be a column that is constant in each series, if a series is at most 512
-    rows long.
+    rows long.  On a ``positioned`` frame the block column stays for further means, which
+    then share its sort; ``unpositioned`` removes both.
     """
     had_position = POSITION in df.columns
     df = positioned(df, series)
@@ -67,11 +68,15 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series:
     if one_block:
         k, within = pos, series.running()
     else:
-        df = df.withColumn("_blk", F.floor(pos / F.lit(m)).cast("int"))
-        k = pos - F.col("_blk") * F.lit(m)
-        within = (Window.partitionBy(*series.keys, "_blk").orderBy(series.order)
+        blk = f"{BLOCK_COLUMN}{m}"
+        if blk not in df.columns:
+            df = df.withColumn(blk, F.floor(pos / F.lit(m)).cast("int"))
+        k = pos - F.col(blk) * F.lit(m)
+        within = (Window.partitionBy(*series.keys, blk).orderBy(series.order)
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        before = Window.partitionBy(*series.keys).orderBy("_blk").rangeBetween(-1, -1)
+        # blocks grow with the order, so this is the same row order and needs no sort of its own
+        before = (Window.partitionBy(*series.keys).orderBy(blk, series.order)
+                  .rowsBetween(Window.unboundedPreceding, -1))
 
     weighted = {}
     for name, (value, span) in means.items():
@@ -82,7 +87,11 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series:
     sums = {f"_s_{n}": F.sum(f"_u_{n}").over(within) for n in means}
     df = df.withColumns(sums)
     if not one_block:
-        df = df.withColumns({f"_p_{n}": F.coalesce(F.sum(f"_u_{n}").over(before), F.lit(0.0)) for n in means})
+        # the newest finished block is the one before
+        ends = {n: F.when(k == m - 1, F.col(f"_s_{n}")) for n in means}
+        df = df.withColumns({f"_e_{n}": e for n, e in ends.items()})
+        df = df.withColumns({f"_p_{n}": F.coalesce(F.last(f"_e_{n}", ignorenulls=True).over(before), F.lit(0.0))
+                             for n in means})
 
     out = {}
     for name, (_, span) in means.items():
@@ -91,7 +100,5 @@ def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series:
             total = total + F.lit(decay(span) ** m) * F.col(f"_p_{name}")
         out[name] = F.pow(_decay_column(span), k) * total
     df = df.withColumns(out)
-    scratch = [f"_{p}_{n}" for n in means for p in "usp"] + ["_blk"]
-    if not had_position:
-        scratch.append(POSITION)
-    return df.drop(*scratch)
+    df = df.drop(*[f"_{p}_{n}" for n in means for p in "usep"])
+    return df if had_position else unpositioned(df)

@@ -54,6 +54,7 @@ WEEKLY = Series(("ticker",), "week_start", 5_300)
 INTRADAY = Series(("ticker", "date"), "dt", 1_440)
 
 POSITION = "_pos"
+BLOCK_COLUMN = "_blk"
 
 
 def positioned(df: DataFrame, series: Series) -> DataFrame:
@@ -63,6 +64,11 @@ def positioned(df: DataFrame, series: Series) -> DataFrame:
     return df.withColumn(POSITION, F.row_number().over(series.ordered()) - 1)
 
 
+def unpositioned(df: DataFrame) -> DataFrame:
+    """Drop the position and what was derived from it."""
+    return df.drop(POSITION, *[c for c in df.columns if c.startswith(BLOCK_COLUMN)])
+
+
 def full(value: Column, n: int, offset: int = 0) -> Column:
     """NULL until ``n`` rows are there (``offset`` rows later for layered windows)."""
     return F.when(F.col(POSITION) >= n - 1 + offset, value)

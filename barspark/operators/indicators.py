@@ -62,7 +62,7 @@ def rsi(df: DataFrame, period: int = 14, series: Series = DAILY) -> DataFrame:
 def adx(df: DataFrame, period: int = 14, series: Series = DAILY) -> DataFrame:
     """Trend strength and average true range."""
     keep = [*df.columns, f"adx_{period}", f"atr_{period}"]
-    return _with_smoothed(_with_moves(df, series), series, period).select(*keep)
+    return _with_smoothed(_with_moves(positioned(df, series), series), series, period).select(*keep)
 
 
 def _mean(column: str, n: int, series: Series) -> Column:

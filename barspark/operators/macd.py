@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ewm import ewm, memory
-from ..functions.frames import DAILY, INTRADAY, Series, previous
+from ..functions.frames import DAILY, INTRADAY, Series, positioned, previous, unpositioned
 from .long_series import over_blocks
 
 
 def macd(df: DataFrame, series: Series = INTRADAY, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Add macd, signal and hist.  Rows without a close must be filtered out before."""
     close = F.col("close")
+    df = positioned(df, series)
     df = ewm(df, {"_fast": (close, fast), "_slow": (close, slow)}, series)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ewm(df, {"signal": (F.col("macd"), signal)}, series)
-    return df.withColumn("hist", F.col("macd") - F.col("signal"))
+    return unpositioned(df.withColumn("hist", F.col("macd") - F.col("signal")))
 
 
 def macd_history(minute: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
