@@ -134,15 +134,15 @@ class Counter(dict):
 _WORKER: dict = {}
 
 
-def token_count(text: Column, vocabulary) -> Column:
-    """Tokens of a text column as a long; null counts as the empty text. ``vocabulary``: a broadcast Vocabulary."""
+def token_count(text: Column, vocabulary, path: str) -> Column:
+    """Tokens of a text column as a long; null counts as the empty text. ``vocabulary``: the broadcast Vocabulary of the path."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if vocabulary.id not in _WORKER:
+        if path not in _WORKER:
             _WORKER.clear()
-            _WORKER[vocabulary.id] = Counter(vocabulary.value)
-        counter = _WORKER[vocabulary.id]
+            _WORKER[path] = Counter(vocabulary.value)
+        counter = _WORKER[path]
         for texts in batches:
             yield pd.Series([0 if t is None else counter.text(t) for t in texts], dtype="int64")
 
@@ -159,5 +159,5 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
     return (df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-            .withColumn("n_tokens", token_count(F.col(text), vocabulary))
+            .withColumn("n_tokens", token_count(F.col(text), vocabulary, path))
             .withColumn("over_limit", F.col("n_tokens") > limit))
