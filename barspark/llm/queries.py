@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import secrets, tokens
 from .common import table
 
 
@@ -25,8 +25,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", "over_limit"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
 QUERIES: dict = {
     "op5_token_counts": (op5, None),
+    "op6_secret_scan": (op6, None),
 }
 
 
