@@ -114,20 +114,22 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[label, cell], pa.int64())], ["label", "cell", "n"])
 
 
-def train(df: DataFrame, text: str = "text", prior: float = 40.0, per_letter: float = 0.5, total: float = 15.0) -> Models:
+def train(df: DataFrame, text: str = "text", even: float = 0.5, per_letter: float = 0.5, total: float = 15.0) -> Models:
     """Both models from all texts: the values that the base patterns find are the samples of random strings, the
     other runs of eight and more known characters those of ordinary identifiers.
 
     Each partition sends its transition counts, at most two for each pair of characters, which are added up in Spark;
-    the result has the size of the alphabet squared whatever the input. ``prior`` counts of evenly spread characters
-    are added to each row, so that without any sample the random model is the uniform one.
+    the result has the size of the alphabet squared whatever the input. The random model is mixed with evenly spread
+    characters by the share ``even`` (all of it where there is no sample), the ordinary one by a thousandth.
     """
     rows = df.select(text).mapInArrow(_samples, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, _N, _N))
     for r in rows:
         counts[r["label"], r["cell"] // _N, r["cell"] % _N] = r["n"]
-    counts[:, :, 1:] += prior / (_N - 1)
-    share = counts / np.maximum(counts.sum(axis=2, keepdims=True), 1e-9)
+    flat = 1 / (_N - 1)
+    total_of = counts.sum(axis=2, keepdims=True)
+    share = np.where(total_of > 0, counts / np.maximum(total_of, 1), flat)
+    share[1], share[0] = (1 - even) * share[1] + even * flat, 0.999 * share[0] + 0.001 * flat
     ratio = np.zeros((_N, _N))
     ratio[:, 1:] = np.log(share[1, :, 1:]) - np.log(share[0, :, 1:])
     return Models(ratio, per_letter, total)
