@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, tokens
+from . import quality, secrets, tokens
 from .common import table
 
 
@@ -19,6 +19,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.RuleEnsemble:
+    """Learnt from the labelled documents that are not held out."""
+    return quality.fit(quality.labelled(docs.where(~quality.held_out(F.col("doc_id"))), labels, bound=10_000))
+
+
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, folder, "labels"))
+    return (quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return (tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
@@ -31,6 +42,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op2_quality_rules": (op2, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
 }
