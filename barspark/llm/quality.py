@@ -29,6 +29,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "letters": share(gone(r"\p{L}+"), chars),
         "digits": share(gone(r"[0-9]+"), chars),
         "marks": share(gone(r"[#$%&*|!~^<>{}=+\\@]+"), chars),
+        "lone_marks": share(F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")).cast("double"), n),
         "stops": share(gone(r"[.,;:?]+"), n),
         "twins": share(F.regexp_count(t, F.lit(r"(?<!\S)(\S+)\s\1(?!\S)")).cast("double"), n),
         "lines": share(gone(r"\n+"), n),
@@ -96,7 +97,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, key: str = "doc_id"
     return docs.select(F.col(key).alias("key"), "text").join(F.broadcast(one), "key").select("text", "label")
 
 
-def fit(sample: DataFrame, trees: int = 12, depth: int = 3, strength: float = 0.002, seed: int = 5) -> RuleEnsemble:
+def fit(sample: DataFrame, trees: int = 12, depth: int = 4, strength: float = 0.0005, seed: int = 5) -> RuleEnsemble:
     """Rules from a forest of shallow trees over the statistics, and their weights from a logistic fit with an L1 penalty.
 
     Rules with weight zero are dropped. Without both labels in the sample the ensemble has no rules, and its score is
