@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, secrets, tokens
+from . import pages, quality, secrets, tokens
 from .common import table
 
 
@@ -41,10 +41,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict = {
     "op2_quality_rules": (op2, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
+    "op10_html_extraction": (op10, None),
 }
 
 
