@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pages, quality, secrets, tokens
+from . import pages, quality, search, secrets, tokens
 from .common import table
 
 
@@ -19,6 +19,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", search.integers(F.col("embedding")).alias("vector"))
+    return search.top_k(vectors, lambda key: key % 50 == 0)
+
+
+OP1_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.RuleEnsemble:
     """Learnt from the labelled documents that are not held out."""
     return quality.fit(quality.labelled(docs.where(~quality.held_out(F.col("doc_id"))), labels, bound=10_000))
@@ -47,6 +63,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op1_exact_topk_search": (op1, OP1_SQL),
     "op2_quality_rules": (op2, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
