@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pages, quality, search, secrets, tokens
+from . import contamination, pages, quality, search, secrets, tokens
 from .common import table
 
 
@@ -57,6 +57,30 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination.find(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+       FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM bw),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT p.r, p.i, p.size, bw.item_id FROM places p JOIN bw ON p.size = bw.size AND array_to_string(p.w[p.i:p.i + p.size - 1], ' ') = bw.win),
+covered AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS x FROM hits) GROUP BY r),
+listed AS (SELECT r, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(listed.n, 0) AS n_items, coalesce(listed.h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -67,6 +91,7 @@ QUERIES: dict = {
     "op2_quality_rules": (op2, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
+    "op8_decontamination": (op8, OP8_SQL),
     "op10_html_extraction": (op10, None),
 }
 
