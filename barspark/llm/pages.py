@@ -6,9 +6,10 @@ import html as entities
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import fresh, written
+from .urls import host
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^'">]++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[/a-zA-Z][^<>]*\Z""", re.DOTALL)
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -180,12 +181,6 @@ def main_text(pages: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([Page(p).text(path) if p else "" for p, path in zip(pages, paths)], dtype=object)
 
 
-def host(url: Column) -> Column:
-    """The host in lower case; NULL where the address has none."""
-    found = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.when(found != "", found)
-
-
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the container path that most pages of a host vote for; ties to the first path in order.
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, pages, quality, search, secrets, tokens
+from . import contamination, pages, quality, search, secrets, tokens, urls
 from .common import table
 
 
@@ -46,6 +46,49 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return (quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted"))
 
 
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a day of fetch; the tables have none, so it follows from the page's number."""
+    return table(spark, folder, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") * 7 % 730).cast("int")).alias("fetched"))
+
+
+def list_entries(pages_seen: DataFrame) -> DataFrame:
+    """A dated list derived from all addresses: hosts are blocked and allowed in turn, domains blocked once, folders listed once."""
+    known = pages_seen.select("page_id", *[c.alias(k) for k, c in urls.patterns(F.col("url")).items()])
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), (n % 730).cast("int")).alias("listed")
+    action = lambda n: F.when(n % 2 == 0, F.lit("block")).otherwise(F.lit("allow")).alias("action")
+    turn = F.col("page_id") % 8
+    hosts = (known.groupBy(F.col("host").alias("pattern"), turn.alias("turn")).agg(F.min("page_id").alias("n"))
+             .select(F.lit("host").alias("kind"), "pattern", day(F.col("n") * 11), action(F.col("turn"))))
+    folders = (known.groupBy(F.col("path").alias("pattern")).agg(F.min("page_id").alias("n"))
+               .select(F.lit("path").alias("kind"), "pattern", day(F.col("n") * 3 + 300), action(F.col("n"))))
+    domains = (known.groupBy(F.col("domain").alias("pattern")).agg(F.min("page_id").alias("n"))
+               .select(F.lit("domain").alias("kind"), "pattern", day(F.col("n") * 5), F.lit("block").alias("action")))
+    return hosts.unionAll(folders).unionAll(domains)
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    seen = captures(spark, folder)
+    return urls.filter_urls(seen, list_entries(seen))
+
+
+OP3_SQL = """
+WITH c AS (SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 7 % 730 AS INTEGER) AS fetched,
+                  nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+                  nullif(regexp_extract(url, '^[^:]+://[^/?#]+/([^/?#]+)', 1), '') AS folder FROM pages),
+k AS (SELECT *, host || '/' || folder AS path, nullif(regexp_extract(host, '([^.]+[.][^.]+)[.]?$', 1), '') AS domain FROM c),
+e AS (SELECT 2 AS place, 'host' AS kind, host AS pattern, min(page_id) * 11 AS n, page_id % 8 % 2 = 0 AS blocked FROM k GROUP BY host, page_id % 8
+      UNION ALL SELECT 1, 'path', path, min(page_id) * 3 + 300, min(page_id) % 2 = 0 FROM k GROUP BY path
+      UNION ALL SELECT 3, 'domain', domain, min(page_id) * 5, true FROM k GROUP BY domain),
+days AS (SELECT place, kind, pattern, DATE '2023-01-01' + CAST(n % 730 AS INTEGER) AS since, bool_or(blocked) AS blocked FROM e WHERE pattern IS NOT NULL GROUP BY ALL),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY kind, pattern ORDER BY since) AS until FROM days),
+m AS (SELECT k.page_id, s.* FROM k JOIN spans s ON s.pattern = CASE s.kind WHEN 'host' THEN k.host WHEN 'path' THEN k.path ELSE k.domain END
+      AND k.fetched >= s.since AND (s.until IS NULL OR k.fetched < s.until)),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) = 1)
+SELECT k.page_id, k.url, k.fetched, b.kind AS listed_kind, b.pattern AS listed_pattern, b.since AS listed_since, coalesce(b.blocked, false) AS blocked
+FROM k LEFT JOIN best b USING (page_id)
+"""
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return (tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
@@ -89,6 +132,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict = {
     "op1_exact_topk_search": (op1, OP1_SQL),
     "op2_quality_rules": (op2, None),
+    "op3_url_list_join": (op3, OP3_SQL),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
     "op8_decontamination": (op8, OP8_SQL),
