@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, pages, quality, search, secrets, tokens, urls
+from . import contamination, pages, pieces, quality, search, secrets, tokens, urls
 from .common import table
 
 
@@ -89,6 +89,12 @@ FROM k LEFT JOIN best b USING (page_id)
 """
 
 
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pieces.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_pieces", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "same")
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return (tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
@@ -133,6 +139,7 @@ QUERIES: dict = {
     "op1_exact_topk_search": (op1, OP1_SQL),
     "op2_quality_rules": (op2, None),
     "op3_url_list_join": (op3, OP3_SQL),
+    "op4_sentencepiece": (op4, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
     "op8_decontamination": (op8, OP8_SQL),
