@@ -104,5 +104,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents that hold no window of the benchmark, with their own columns."""
+    if not {"n_words", "n_hit", "hit_words", "items"} & {c.lower() for c in docs.columns}:
+        return find(docs, benchmark, n).where("n_hit = 0").select(*docs.columns)
     (whole,) = fresh(docs, "whole")
     return find(docs.select("text", F.struct("*").alias(whole)), benchmark, n).where("n_hit = 0").select(f"{whole}.*")

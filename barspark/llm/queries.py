@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, pages, pieces, quality, search, secrets, tokens, urls
+from . import contamination, jaccard, pages, pieces, quality, search, secrets, tokens, urls
 from .common import table
 
 
@@ -130,6 +130,23 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a) SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(reach.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id
+"""
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -143,6 +160,7 @@ QUERIES: dict = {
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
     "op8_decontamination": (op8, OP8_SQL),
+    "op9_ngram_jaccard": (op9, OP9_SQL),
     "op10_html_extraction": (op10, None),
 }
 
