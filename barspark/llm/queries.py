@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, jaccard, pages, pieces, quality, search, secrets, tokens, urls
+from . import contamination, jaccard, pages, passages, pieces, quality, search, secrets, tokens, urls
 from .common import table
 
 
@@ -106,6 +106,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.digest(passages.remove(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+v AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM v),
+again AS (SELECT g FROM h GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h SEMI JOIN again USING (g)),
+listed AS (SELECT r, list(p) AS p FROM gone GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(p, []), i)), lambda i: w[i]), ' ')) AS kept_sha256
+FROM d LEFT JOIN listed USING (r)
+"""
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = contamination.find(docs, table(spark, folder, "benchmark"))
@@ -159,6 +176,7 @@ QUERIES: dict = {
     "op4_sentencepiece": (op4, None),
     "op5_token_counts": (op5, None),
     "op6_secret_scan": (op6, None),
+    "op7_substring_dedup": (op7, OP7_SQL),
     "op8_decontamination": (op8, OP8_SQL),
     "op9_ngram_jaccard": (op9, OP9_SQL),
     "op10_html_extraction": (op10, None),
