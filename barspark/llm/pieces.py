@@ -15,7 +15,7 @@ MARK = "▁"
 #: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark.
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Remembered words of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 1_000_000, 1_000_000, 4_000_000
+_WORDS, _PAIRS, _BLOCK = 300_000, 200_000, 2_000_000
 _NEVER = float("-inf")
 
 
