@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import fresh
 
 MARK = "▁"
-#: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark.
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
+#: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark, and none has a line feed.
+_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Remembered words of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 300_000, 200_000, 2_000_000
+_WORDS, _PAIRS, _BLOCK = 500_000, 500_000, 2_000_000
 _NEVER = float("-inf")
 
 
@@ -33,14 +33,19 @@ class Model:
         scores = {names[i]: sp.get_score(i) for i in plain}
         # merges prefer high scores: those of a BPE file are the negative places of its merges
         merged = [scores[names[i]] for i in plain if len(names[i]) > 1]
-        if not all(sp.is_byte(i) for i in self.bytes) or not all(s == int(s) for s in merged) or any(MARK in t.lstrip(MARK) for t in scores):
+        if not all(sp.is_byte(i) for i in self.bytes) or not all(s == int(s) for s in merged) or any(MARK in t.lstrip(MARK) or "\n" in t for t in scores):
             raise ValueError("a BPE model with byte fallback and words marked at the front is needed")
         if sp.encode("a  b", out_type=str)[0][0] != MARK or sp.decode(sp.encode(" Ａﬁ  b ")) != " Ａﬁ  b ":
             raise ValueError("a model without normalisation and with a mark before the text is needed")
         self.score, self.id = scores, {names[i]: i for i in plain}
-        self.longest = max(map(len, scores))
         #: Pieces that the merges make of their own letters.
         self.alone = {t for t in scores if len(t) == 1 or len(self.merged(t)) == 1}
+        #: Lengths of longer pieces by their last three characters, longest first.
+        tails: dict[str, set[int]] = {}
+        for t in self.alone:
+            if len(t) > 2:
+                tails.setdefault(t[-3:], set()).add(len(t))
+        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         unknown = " ⁇ ".encode()
         byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.output = [byte.get(i) or (unknown if sp.is_unknown(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode()) for i in range(n)]
@@ -78,11 +83,11 @@ class Encoder(dict):
     """
 
     def __init__(self, model: Model):
-        self.m, self.pairs = model, {}
+        self.m, self.pairs, self.known = model, {}, 0
 
     def learn(self, words: list[str]) -> None:
         """Adds the words that are not yet known, in one traversal of their trie."""
-        m, pairs, alone, longest = self.m, self.pairs, self.m.alone, self.m.longest
+        m, pairs, alone, tails = self.m, self.pairs, self.m.alone, self.m.tails
         last: list[str] = [""]  # last piece of the path to each prefix of the current word
         before = ""
         for word in sorted(words):
@@ -101,15 +106,21 @@ class Encoder(dict):
                 shared = low
             del last[shared + 1:]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
+                for size in (*tails.get(word[end - 3:end], ()), 2, 1) if end > 2 else (2, 1) if end > 1 else (1,):
+                    start = end - size
+                    if start < 0:
+                        continue
                     piece = word[start:end]
-                    if piece in alone or start + 1 == end:
+                    if size == 1 or piece in alone:
                         if start == 0:
                             break
-                        pair = (last[start], piece)
-                        good = pairs.get(pair)
+                        follows = pairs.get(last[start])
+                        if follows is None:
+                            pairs[last[start]] = follows = {}
+                        good = follows.get(piece)
                         if good is None:
-                            pairs[pair] = good = m.merged(pair[0] + piece) == [*pair]
+                            follows[piece] = good = m.merged(last[start] + piece) == [last[start], piece]
+                            self.known += 1
                         if good:
                             break
                 last.append(piece)
@@ -125,8 +136,9 @@ class Encoder(dict):
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self) > _WORDS:
             self.clear()
-        if len(self.pairs) > _PAIRS:
+        if self.known > _PAIRS:
             self.pairs.clear()
+            self.known = 0
         self.learn([w for w in {w for words in split for w in words} if w not in self])
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
