@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barspark.llm import contamination, jaccard, pieces, quality, secrets
-from barspark.llm.common import shared_path, table
+from barspark.llm.common import fresh, shared_path, table
 from barspark.llm.queries import quality_model, tokenizer_file
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labelled ones, doesn't reject."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.select("*", F.col("text").alias("_scored")), model, "_scored").where("predicted = 1").select(*docs.columns)
+    (whole,) = fresh(docs, "whole")
+    return quality.score(docs.select("text", F.struct("*").alias(whole)), model).where("predicted = 1").select(f"{whole}.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret and n_chars counted anew where one was found."""
-    found = secrets.scan(docs, secrets.train(docs))
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    out = found.withColumn("text", text)
+    (whole,) = fresh(docs, "whole")
+    found = secrets.scan(docs.select("text", F.struct("*").alias(whole)), secrets.train(docs))
+    marked = F.col(whole).withField("text", secrets.redacted(F.col("text"), F.col("spans")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        marked = marked.withField("n_chars", F.when(F.col("spans") == "", F.col(whole)["n_chars"]).otherwise(F.length(marked["text"]).cast("long")))
+    return found.select(marked.alias(whole)).select(f"{whole}.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
