@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,11 +23,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, named by the cluster in spark.checkpoint.dir."""
+    """A new path in the folder that driver and executors share, named by the cluster in spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests) gets a folder of its own; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="llm-"))
+        folder = _LOCAL[0]
     return f"{folder.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
