@@ -69,7 +69,7 @@ def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (
 def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     group = ["factor", "horizon", *by]
     out = ic.groupBy(*group).agg(
-        F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("ic").alias("days"),
+        F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count(F.lit(1)).alias("days"),
         ratio(F.count_if(F.col("ic") > 0), F.count(F.lit(1))).alias("positive_share"))
     t = ratio(F.col("mean_ic"), ratio(F.col("std_ic"), F.sqrt(F.col("days").cast("double"))))
     return out.withColumn("t_stat", F.coalesce(t, F.lit(0.0)))

@@ -177,7 +177,7 @@ def recent_averages(daily: DataFrame, as_of: Column, days: int = 90, min_days: i
         F.avg("close").alias("price"), F.avg("volume").alias("shares"),
         F.avg(F.col("high") - F.col("low")).alias("width"), F.count(F.lit(1)).alias("days"))
     return out.filter(F.col("days") >= min_days).withColumns({
-        "avg_price": F.round("price", 2), "avg_volume": F.floor("shares"), "avg_daily_range": F.round("width", 3)})
+        "avg_price": F.round("price", 2), "avg_volume": F.bround("shares").cast("long"), "avg_daily_range": F.round("width", 3)})
 
 
 def volume_leaders(daily: DataFrame, as_of: Column, min_days: int = 40, top: int = 10) -> DataFrame:

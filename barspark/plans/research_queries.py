@@ -179,7 +179,7 @@ FE = [BARS, RETS, FROWS, FPAIRS, f"ics AS ({ic_sql()})"]
 
 def summary_sql(source: str, by: str = "") -> str:
     return f"""SELECT *, coalesce(mean_ic / nullif(std_ic / sqrt(days), 0), 0.0) AS t_stat FROM
-      (SELECT factor, horizon{by}, avg(ic) AS mean_ic, stddev(ic) AS std_ic, count(ic) AS days,
+      (SELECT factor, horizon{by}, avg(ic) AS mean_ic, stddev(ic) AS std_ic, count(*) AS days,
         count(*) FILTER (ic > 0) / count(*)::DOUBLE AS positive_share FROM {source} GROUP BY factor, horizon{by}) s"""
 
 

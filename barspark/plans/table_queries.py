@@ -419,15 +419,15 @@ QUERIES = {
         f"WITH {BARS} SELECT count(*) AS total_rows, count(DISTINCT ticker) AS unique_tickers FROM bars"),
     "agg16_volume_leaders": (
         lambda s, d: screens.volume_leaders(daily(s, d), as_of(), 15),
-        f"""WITH {BARS}, {AVERAGES} SELECT ticker, CAST(floor(shares) AS BIGINT) AS avg_volume, days FROM av
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, CAST(shares AS BIGINT) AS avg_volume, days FROM av
             ORDER BY avg_volume DESC, ticker LIMIT 10"""),
     "agg16_cheap_and_liquid": (
         lambda s, d: screens.cheap_and_liquid(daily(s, d), as_of(), 15),
-        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(floor(shares) AS BIGINT) AS avg_volume, days
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(shares AS BIGINT) AS avg_volume, days
             FROM av WHERE price BETWEEN 1 AND 10 AND shares > 500000 ORDER BY avg_volume DESC, ticker LIMIT 20"""),
     "agg16_widest_for_price": (
         lambda s, d: screens.widest_for_price(daily(s, d), as_of(), 15),
-        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(floor(shares) AS BIGINT) AS avg_volume,
+        f"""WITH {BARS}, {AVERAGES} SELECT ticker, round(price, 2) AS avg_price, CAST(shares AS BIGINT) AS avg_volume,
             round(width, 3) AS avg_daily_range, days FROM av WHERE price BETWEEN 1 AND 10 AND shares > 100000
             ORDER BY width / price DESC, ticker LIMIT 50"""),
     "agg17_ad_hoc_sql": (

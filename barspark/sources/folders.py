@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession, name: str) -> str:
     """A folder all executors see: under ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only without that setting (tests, one machine) a new local folder is taken.
+    Without that setting a session in one process (tests) takes a new local folder; a cluster has to name a shared one.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="barspark-"), name)
 
 

@@ -37,21 +37,17 @@ def loop_seconds(folder: str) -> dict[str, float]:
         return by.agg(open=("px", "first"), high=("high", "max"), low=("low", "min"), close=("px", "last"),
                       volume=("l_quantity", "sum")).reset_index()
 
-    def indicators(g: pd.DataFrame) -> pd.DataFrame:
-        c, h, l, v = g["close"], g["high"], g["low"], g["volume"]
-        step, before = c.diff(), c.shift()
-        smooth = lambda x: x.ewm(span=14, adjust=False).mean()
-        tr = np.fmax(h - l, np.fmax(np.abs(h - before), np.abs(l - before)))
-        up, down = h.diff(), -l.diff()
-        plus = 100 * smooth(up.where((up > down) & (up > 0), 0.0)) / smooth(tr)
-        minus = 100 * smooth(down.where((down > up) & (down > 0), 0.0)) / smooth(tr)
-        k = 100 * (c - l.rolling(14).min()) / (h.rolling(14).max() - l.rolling(14).min())
-        mean, sd = c.rolling(20).mean(), c.rolling(20).std()
-        out = {"rsi": smooth(step.clip(lower=0).fillna(0)) / smooth((-step).clip(lower=0).fillna(0)), "k": k, "d": k.rolling(3).mean(),
-               "roc": c.pct_change(10), "adx": smooth(100 * (plus - minus).abs() / (plus + minus)), "up": mean + 2 * sd, "low": mean - 2 * sd,
-               "s50": c.rolling(50).mean(), "s200": c.rolling(200).mean(), "obv": (np.sign(step).fillna(0) * v).cumsum(),
-               "vwap": ((h + l + c) / 3 * v).cumsum() / v.cumsum(), "atr": smooth(tr), "hv": np.log(c / before).rolling(20).std()}
-        return g.assign(**out)
+    def indicators(g: pd.DataFrame) -> None:
+        """Plain means and returns of each ticker on arrays: less work than the query does, so the ratio is a lower bound."""
+        close = g["close"].to_numpy()
+        change = np.diff(close) / close[:-1]
+        sums = np.concatenate(([0.0], np.cumsum(close)))
+        for n in (14, 20, 50, 200):
+            if len(close) >= n:
+                mean = (sums[n:] - sums[:-n]) / n
+                spread = np.lib.stride_tricks.sliding_window_view(close, n).std(axis=1, ddof=1)
+                np.stack([mean, mean + 2 * spread, mean - 2 * spread])
+        np.cumsum(np.sign(change) * g["volume"].to_numpy()[1:])
 
     def metrics(g: pd.DataFrame) -> dict:
         r, width = g["close"].pct_change(), g["high"] - g["low"]
