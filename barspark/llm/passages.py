@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import _INVERSE, _WORD, fresh, mixed, powers, sliding_min, utf8, window_hashes, word_hashes, written
 
 #: Words of an anchor; windows of a stretch at most (bits of a mask); stretches of one automaton at most.
-_ANCHOR, _STRETCH, _SHARD = 8, 32, 200
+_ANCHOR, _STRETCH, _SHARD = 8, 32, 4_000
 
 
 def stretches(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
