@@ -186,6 +186,7 @@ def repeated_stretches(docs: DataFrame, window: int) -> DataFrame:
     judged = small.repartition("m").sortWithinPartitions("m").mapInArrow(_judged(window), "m long, s long, mask long")
     # anchors of a passage with very many surroundings: their windows are counted, each task adding up its own first
     counted = words.where(F.col("kinds") > _SHARD).select("m", "s", "c", "words").mapInArrow(_windows(window), "m long, s long, c long, bit long, h long")
+    counted = written(counted, "windows")
     again = counted.groupBy("h").agg(F.sum("c").alias("k")).where("k > 1").select("h")
     large = counted.where("c = 1").join(again, "h").groupBy("m", "s").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
     masks = written(full.select("m", "s", "mask").unionAll(judged).unionAll(large).where("mask <> 0"), "masks")
