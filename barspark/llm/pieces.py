@@ -157,40 +157,59 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if path not in _WORKER:
-            _WORKER.clear()
-            _WORKER[path] = Encoder(model.value)
         for texts in batches:
-            out: list = []
-            block, size = [], 0
-            for t in [*texts, None]:
-                block.append(t)
-                size += len(t) if t else 0
-                if size >= _BLOCK:
-                    out += _WORKER[path].encode(block)
-                    block, size = [], 0
-            out += _WORKER[path].encode(block)
-            yield pd.Series([np.frombuffer(b, np.int32) for b in out[:len(texts)]], dtype=object)
+            yield pd.Series([np.frombuffer(b, np.int32) for b in _encoded(texts, path, model)], dtype=object)
 
     return df.withColumn("ids", ids(F.col(text)))
 
 
+def _encoded(texts: pd.Series, path: str, model) -> Iterator[bytes]:
+    """Ids of each text, block by block, with the encoder of this worker."""
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = Encoder(model.value)
+    block, size = [], 0
+    for t in texts:
+        block.append(t)
+        size += len(t) if t else 0
+        if size >= _BLOCK:
+            yield from _WORKER[path].encode(block)
+            block, size = [], 0
+    yield from _WORKER[path].encode(block)
+
+
+def _text(ids: list[int], output: list[bytes]) -> str:
+    return b"".join(map(output.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text of an array of ids; NULL gives NULL, no ids the empty text, and bytes that are no UTF-8 the replacement character."""
     output = df.sparkSession.sparkContext.broadcast(Model(path).output)
 
     @F.pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = output.value.__getitem__
         for lists in batches:
-            yield pd.Series([None if x is None else b"".join(map(of, x.tolist())).decode("utf-8", "replace").removeprefix(" ") for x in lists], dtype=object)
+            yield pd.Series([None if x is None else _text(x.tolist(), output.value) for x in lists], dtype=object)
 
     return df.withColumn(to, text(F.col(ids)))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``ids``, ``n_pieces`` and ``same``: whether decoding gives the text again (marks in it become spaces)."""
-    (back,) = fresh(df, "back")
-    out = decode(encode(df, path, text), path, "ids", back)
-    return (out.withColumn("n_pieces", F.size("ids").cast("long"))
-            .withColumn("same", F.col(back) == F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))).drop(back))
+    """Adds ``ids``, ``n_pieces`` and ``same``: whether decoding gives the text again (marks in it become spaces).
+
+    Rows are handled as by :func:`encode` and :func:`decode`, both in one worker, so that a task holds the pieces once.
+    """
+    model = df.sparkSession.sparkContext.broadcast(Model(path))
+    (both,) = fresh(df, "both")
+
+    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]))
+    def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids, same = [], []
+            for t, b in zip(texts, _encoded(texts, path, model)):
+                ids.append(np.frombuffer(b, np.int32))
+                same.append(_text(ids[-1].tolist(), model.value.output) == (t or "").replace(MARK, " "))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
+
+    out = df.withColumn(both, there_and_back(F.col(text)))
+    return out.withColumn("ids", F.col(both)["ids"]).withColumn("n_pieces", F.size("ids").cast("long")).withColumn("same", F.col(both)["same"]).drop(both)
