@@ -7,15 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import fresh
-
 MARK = "▁"
 #: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark, and none has a line feed.
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Remembered words of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 500_000, 500_000, 2_000_000
+_WORDS, _PAIRS, _BLOCK = 400_000, 400_000, 1_000_000
 _NEVER = float("-inf")
 
 
@@ -153,29 +152,37 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     an empty table gives an empty one. Texts are split into marked words in blocks of bounded size; a worker remembers a bounded number of
     words. There is no shuffle.
     """
-    model = df.sparkSession.sparkContext.broadcast(Model(path))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.frombuffer(b, np.int32) for b in _encoded(texts, path, model)], dtype=object)
+    return _with_ids(df, path, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    return df.withColumn("ids", ids(F.col(text)))
 
-
-def _encoded(texts: pd.Series, path: str, model) -> Iterator[bytes]:
-    """Ids of each text, block by block, with the encoder of this worker."""
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = Encoder(model.value)
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t) if t else 0
-        if size >= _BLOCK:
-            yield from _WORKER[path].encode(block)
-            block, size = [], 0
-    yield from _WORKER[path].encode(block)
+def _with_ids(df: DataFrame, path: str, text: str, added: list[T.StructField]) -> DataFrame:
+    """The table with ids and, where asked for, whether they give the text again; a task holds the ids of one block of texts."""
+    model = df.sparkSession.sparkContext.broadcast(Model(path))
+    names = {f.name for f in added}
+    base = df.drop(*[c for c in df.columns if c.lower() in names and c != text])
+    place = base.columns.index(text)
+    labels = [*base.columns, *[f.name for f in added]]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _WORKER:
+            _WORKER.clear()
+            _WORKER[path] = Encoder(model.value)
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                block, size = [], 0
+                while at + len(block) < len(batch) and size < _BLOCK:
+                    block.append(batch.column(place)[at + len(block)].as_py())
+                    size += len(block[-1] or "")
+                found = _WORKER[path].encode(block)
+                ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in found]))).astype(np.int32)
+                columns = [*batch.slice(at, len(block)).columns, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))]
+                if len(added) > 1:
+                    columns.append(pa.array([_text(np.frombuffer(b, np.int32).tolist(), model.value.output) == (t or "").replace(MARK, " ") for t, b in zip(block, found)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, labels)
+                at += len(block)
+
+    return base.mapInArrow(rows, T.StructType([*base.schema.fields, *added]))
 
 
 def _text(ids: list[int], output: list[bytes]) -> str:
@@ -199,17 +206,5 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Rows are handled as by :func:`encode` and :func:`decode`, both in one worker, so that a task holds the pieces once.
     """
-    model = df.sparkSession.sparkContext.broadcast(Model(path))
-    (both,) = fresh(df, "both")
-
-    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]))
-    def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            ids, same = [], []
-            for t, b in zip(texts, _encoded(texts, path, model)):
-                ids.append(np.frombuffer(b, np.int32))
-                same.append(_text(ids[-1].tolist(), model.value.output) == (t or "").replace(MARK, " "))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
-
-    out = df.withColumn(both, there_and_back(F.col(text)))
-    return out.withColumn("ids", F.col(both)["ids"]).withColumn("n_pieces", F.size("ids").cast("long")).withColumn("same", F.col(both)["same"]).drop(both)
+    out = _with_ids(df.drop("n_pieces"), path, text, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+    return out.withColumn("n_pieces", F.size("ids").cast("long"))
