@@ -37,8 +37,9 @@ class Page:
         self.parent, self.name, self.apart = [-1], ["#"], [False]
         self.tags, self.links = ["#"], 0
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters within links
+        self.anchors: list[int] = []  # links of each block
         self._pieces: list[str] = []
-        self._linked = 0
+        self._linked = self._anchors = 0
         stack, at, n = [0], 0, len(source)
         while at < n:
             m = _TAG.search(source, at)
@@ -77,7 +78,8 @@ class Page:
                 while self.tags[element] not in _BLOCK and element:
                     element = self.parent[element]
                 self.blocks.append((element, text, self._linked))
-            self._pieces, self._linked = [], 0
+                self.anchors.append(self._anchors)
+            self._pieces, self._linked, self._anchors = [], 0, 0
 
     def _pop(self, stack: list[int], to: int) -> None:
         while len(stack) > to:
@@ -126,6 +128,7 @@ class Page:
         self.apart.append(apart)
         stack.append(len(self.tags) - 1)
         self.links += tag == "a"
+        self._anchors += tag == "a"
 
     def path(self, element: int) -> str:
         """Tags and classes from the root, with digits generalised."""
@@ -151,9 +154,42 @@ class Page:
         return found
 
     def best(self) -> str | None:
-        """The path of the container with the highest score, the first in page order in a tie."""
+        """The path of the container around the one with the highest score (the first in page order in a tie); see :meth:`whole`."""
         found = self.scores()
-        return self.path(max(found, key=lambda e: (found[e], -e))) if found and max(found.values()) > 0 else None
+        return self.path(self.whole(max(found, key=lambda e: (found[e], -e)))) if found and max(found.values()) > 0 else None
+
+    def whole(self, element: int) -> int:
+        """The outermost article or main around a container; without one, its furthest parent up to which no link list stands beside it.
+
+        A heading, a lead or a short section outside the container that holds most of the text belongs to the article too. A link list is
+        what stands beside the way up, has two links and more, and half of its characters within links.
+        """
+        around, e = 0, element
+        while e > 0:
+            around = e if self.tags[e] in ("article", "main") else around
+            e = self.parent[e]
+        if around:
+            return around
+        beside: dict[int, list[int]] = {}  # characters, those within links, and links below each element
+        for (e, text, linked), anchors in zip(self.blocks, self.anchors):
+            while e > 0 and not self.apart[e]:
+                n = beside.setdefault(e, [0, 0, 0])
+                n[0], n[1], n[2] = n[0] + len(text), n[1] + linked, n[2] + anchors
+                e = self.parent[e]
+        # a block straight in an element counts as one of the parts beside, too
+        parts: dict[int, list[tuple[int, int, int, int]]] = {}
+        for e, n in beside.items():
+            parts.setdefault(self.parent[e], []).append((e, *n))
+        for (e, text, linked), anchors in zip(self.blocks, self.anchors):
+            if not self.apart[e]:
+                parts.setdefault(e, []).append((-1, len(text), linked, anchors))
+        top, e = element, element
+        while self.parent[e] > 0 and self.tags[e] != "body":
+            if any(child != e and links > 1 and 2 * linked >= n for child, n, linked, links in parts.get(self.parent[e], ())):
+                break
+            e = self.parent[e]
+            top = e if self.tags[e] in _CONTAINERS else top
+        return top
 
     def text(self, path: str | None) -> str:
         """The blocks within the containers of a path, or within the best one where the page has none of them."""

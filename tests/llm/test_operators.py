@@ -249,6 +249,21 @@ def test_pages(spark):
     assert pages.extract(out.select("page_id", "url", "html").limit(0)).count() == 0
 
 
+def test_pages_keep_what_stands_outside_the_largest_container(spark):
+    long, short, menu = "A long sentence of the article. " * 40, "Short part. " * 30, "".join(f"<li><a href='/{i}'>Go there {i}</a>" for i in range(9))
+    inner = f"<h1>Title</h1><div class='content'><p>{long}</div>"
+    split = f"<section class='a'><p>{long}</section><section class='b'><p>{short}</section>"
+    rows = [("a.example", f"<body><nav>{menu}</nav><article>{inner}</article><footer>f</footer>", ["Title", long]),
+            ("b.example", f"<body><main><p>Lead.<article>{inner}</article></main>", ["Lead.", "Title", long]),
+            ("c.example", f"<body><article>{split}</article><div class='ad'>Buy</div>", [long, short]),
+            ("d.example", f"<body><ul>{menu}</ul><div id='x'>{inner}<p><a href='s'>Source</a></div>", ["Title", long, "Source"]),
+            ("e.example", f"<body><ul>{menu}</ul><div id='x'><div>{split}</div></div>", [long, short])]
+    df = spark.createDataFrame([(f"http://{h}/{i}", h, p) for h, p, _ in rows for i in range(3)], "url string, name string, html string")
+    got = pages.extract(df).select("name", "main_text").collect()
+    want = {h: "\n".join(t.strip() for t in parts) for h, _, parts in rows}
+    assert len(got) == 15 and all(r["main_text"] == want[r["name"]] for r in got)
+
+
 # ---- pipeline
 
 def test_pipeline_by_stage(spark):
