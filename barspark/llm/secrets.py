@@ -28,8 +28,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 _N = len(ALPHABET) + 1
-#: Shortest string that the models judge, and shortest identifier that they learn from.
-SHORTEST, IDENTIFIER = 20, 8
+_SEPARATORS = "+/_=-"
+_JOINS = np.isin(np.arange(_N), [ALPHABET.index(c) + 1 for c in _SEPARATORS])
+#: Shortest string that the models judge (at 12 they take ordinary words in capitals), and shortest identifier that they learn from.
+SHORTEST, IDENTIFIER = 16, 8
 
 
 def runs(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,65 @@ class Models:
         score = float(self.ratio[np.concatenate(([0], code[:-1])), code].sum())
         return score >= self.total and score >= self.per_letter * len(run)
 
+    def random_parts(self, run: str) -> list[tuple[int, int]]:
+        """Start and end of the random strings of a run: all of it, or else its maximal segments above ``per_letter`` a character.
+
+        No longer segment that holds a maximal one scores more (Ruzzo and Tompa), so ordinary characters around a key do not weigh
+        against it. Separators tell nothing, and a string starts anew after one. A key's first or last characters may look ordinary: a
+        segment reaches to the separators around it, and over padding at the end. Short numbers are no keys.
+        """
+        if len(run) < 20 and run.isdigit():
+            return []
+        if self.is_random(run):
+            return [(0, len(run))]
+        code = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
+        joins = _JOINS[code]
+        scores = np.where(joins, 0.0, self.ratio[np.concatenate(([0], np.where(joins, 0, code)[:-1])), code]).tolist()
+        found: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum up to its end
+        total = 0.0
+        for i, score in enumerate(scores):
+            before, total = total, total + score - self.per_letter
+            if total <= before:
+                continue
+            start, low, at = i, before, len(found)
+            while at:
+                at -= 1
+                if found[at][2] < low:
+                    if found[at][3] < total:
+                        start, low = found[at][0], found[at][2]
+                        del found[at:]
+                        at = len(found)
+                        continue
+                    break
+            found.append((start, i + 1, low, total))
+        parts: list[tuple[int, int]] = []
+        for a, b, *_ in found:
+            if sum(scores[a:b]) < self.total:
+                continue
+            while a and run[a].isalnum() and run[a - 1].isalnum():
+                a -= 1
+            while b < len(run) and run[b - 1].isalnum() and run[b].isalnum():
+                b += 1
+            if not run[b:].strip("="):
+                b = len(run)
+            if parts and a <= parts[-1][1]:
+                a, _ = parts.pop()
+            parts.append((a, b))
+        return [(a, b) for a, b in parts if b - a >= SHORTEST and not (b - a < 20 and run[a:b].isdigit())]
+
+
+def uncovered(text: str, start: int, end: int, covers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the given spans, in order of start, leave of a run, without the separator at a cut, as far as the models judge it."""
+    cut = False
+    for a, b in [*covers, (end, end)]:
+        stop = min(a, end)
+        first = start + (cut and start < stop and text[start] in _SEPARATORS)
+        last = stop - (a < end and first < stop and text[stop - 1] in _SEPARATORS)
+        if last - first >= SHORTEST:
+            yield first, last
+        start, cut = max(start, b), True
+
+
 
 def _transitions(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Counts of (before, character) within the given runs."""
@@ -136,12 +197,15 @@ def train(df: DataFrame, text: str = "text", even: float = 0.5, per_letter: floa
 
 
 def spans_of(text: str, models: Models | None) -> list[tuple[int, int, int]]:
-    """(start, kind's place, end) in order; the models add long random runs that touch no base span."""
+    """(start, kind's place, end) in order; the models add the random strings in what base spans leave of the long runs."""
     data = text.encode("utf-8", "replace")
     base, long = _all_base(text, data, _CODE[np.frombuffer(data, np.uint8)])
     found = [s[:3] for s in base]
     if models is not None:
-        found += [(a, 3, b) for a, b in long if not any(s < b and a < e for s, _, e, *_ in base) and models.is_random(text[a:b])]
+        covers = sorted((s, e) for s, _, e, *_ in base)
+        for start, end in long:
+            for a, b in uncovered(text, start, end, [c for c in covers if c[0] < end and start < c[1]]):
+                found += [(a + x, 3, a + y) for x, y in models.random_parts(text[a:b])]
     return sorted(found)
 
 

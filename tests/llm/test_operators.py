@@ -144,6 +144,21 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0), secrets.train(df.limit(0))).count() == 0
 
 
+def test_secrets_joined_with_other_strings(spark):
+    rng = random.Random(5)
+    key, other, short = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (40, 40, 16))
+    access, path = "AKIA" + "Z2" * 8, "thethanand" * 40
+    cases = [(f"{access}/{key}", [key]), (f"{access}={key}", [key]), (f"{access}_{key}", [key]), (f"{key}_token=abcdef", [key]), (f"{key}-{access}/{other}", [key, other]),
+             (f"é {path}/{key}", [key]), (f"{path}_{key}", [key]), (f"{path}={key}", [key]), (f"{path}-{key}-{path}/{other}==", [key, other + "=="]), (f"id {short}", [short]),
+             (f"{path}/{path}", []), ("4389501614895928", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOCS)
+    found = secrets.scan(df, secrets.train(spark.read.parquet(f"{FOLDER}/documents.parquet").select("text")))
+    for r in found.withColumn("rest", secrets.redacted(F.col("text"), F.col("spans"))).collect():
+        at = [s.split(":")[1:] for s in r["spans"].split(",") if s.startswith("markov")]
+        assert [r["text"][int(a):int(b)] for a, b in at] == cases[r["doc_id"]][1]
+        assert key not in r["rest"] and other not in r["rest"]
+
+
 # ---- op7
 
 def brute_kept(texts, window):
