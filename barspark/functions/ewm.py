@@ -8,8 +8,10 @@ on long series, so the exponent is counted inside blocks of ``m`` rows:
 
 with ``k`` the position in the block.  Rows two or more blocks back weigh less than
 ``r**m``; ``m`` is chosen so that this is below the resolution of a double (1e-17),
-hence the result is exact to rounding for any length.  Both sums are JVM window
-functions over one shared exchange.
+hence the result is exact to rounding for any length.  Each span has its own ``m``
+(spans whose ``m`` agrees share the blocks), so neither spans that are far apart nor
+series longer than declared overflow.  Both sums are JVM window functions over one
+shared exchange.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ def decay(span: float) -> float:
 
 
 def _decay_column(span: float | Column) -> Column:
-    return F.lit(1.0) - F.lit(2.0) / (span + F.lit(1.0)) if isinstance(span, Column) else F.lit(decay(span))
+    """The decay, NULL for a span of 1 in a column."""
+    return F.nullif(F.lit(1.0) - F.lit(2.0) / (span + F.lit(1.0)), F.lit(0.0)) if isinstance(span, Column) else F.lit(decay(span))
 
 
 def memory(span: float) -> int:
@@ -39,66 +42,71 @@ def memory(span: float) -> int:
     return 1 if r <= 0 else math.ceil(_NEGLIGIBLE / -math.log(r))
 
 
-def block_rows(spans: list[float]) -> int:
-    need = max(memory(s) for s in spans)
-    room = min(int(_OVERFLOW / -math.log(decay(s))) for s in spans if decay(s) > 0)
-    if need > room:
-        raise ValueError(f"spans {spans} are too far apart for one pass; call ewm() once per span")
-    return min(max(BLOCK, need), room)
+def width(span: float) -> int:
+    """Rows of a block: no fewer than the memory, no more than a double holds."""
+    per_row = -math.log(decay(span))
+    return min(max(BLOCK, math.ceil(_NEGLIGIBLE / per_row)), int(_OVERFLOW / per_row))
+
+
+def _width_column(span: Column) -> Column:
+    per_row = -F.log(_decay_column(span))
+    return F.least(F.greatest(F.lit(BLOCK), F.ceil(F.lit(_NEGLIGIBLE) / per_row)), F.floor(F.lit(_OVERFLOW) / per_row))
 
 
 def ewm(df: DataFrame, means: dict[str, tuple[Column, float | Column]], series: Series) -> DataFrame:
-    """Add one smoothed column per entry of ``means``: name -> (non-null value, span).
+    """Add one smoothed column per entry of ``means``: name -> (non-null value, span of at least 1).
 
-    A span may be a column that is constant in each series, if a series is at most 512
-    rows long.  On a ``positioned`` frame the block column stays for further means, which
-    then share its sort; ``unpositioned`` removes both.
+    A span may be a column that is constant in each series.  No length of a series is
+    assumed.  On a ``positioned`` frame the block columns of fixed spans stay for further
+    means, which then share their sort; ``unpositioned`` removes all.
     """
+    if low := [span for _, span in means.values() if not isinstance(span, Column) and span < 1]:
+        raise ValueError(f"spans {low} are below 1")
     had_position = POSITION in df.columns
     df = positioned(df, series)
-    fixed = [span for _, span in means.values() if not isinstance(span, Column)]
-    if len(fixed) < len(means):
-        if series.max_rows > 512:
-            raise ValueError("spans in a column need series of at most 512 rows")
-        m = 512
-    else:
-        m = block_rows(fixed)
     pos = F.col(POSITION)
-    one_block = series.max_rows <= m
-    if one_block:
-        k, within = pos, series.running()
-    else:
-        blk = f"{BLOCK_COLUMN}{m}"
-        if blk not in df.columns:
-            df = df.withColumn(blk, F.floor(pos / F.lit(m)).cast("int"))
-        k = pos - F.col(blk) * F.lit(m)
-        within = (Window.partitionBy(*series.keys, blk).orderBy(series.order)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        # blocks grow with the order, so this is the same row order and needs no sort of its own
-        before = (Window.partitionBy(*series.keys).orderBy(blk, series.order)
-                  .rowsBetween(Window.unboundedPreceding, -1))
+    smoothed = {n: (v, s) for n, (v, s) in means.items() if isinstance(s, Column) or decay(s) > 0}
+    blocks, rows = {}, {}
+    for name, (_, span) in smoothed.items():
+        rows[name] = _width_column(span) if isinstance(span, Column) else F.lit(width(span))
+        blocks[name] = f"{BLOCK_COLUMN}_{name}" if isinstance(span, Column) else f"{BLOCK_COLUMN}{width(span)}"
+    df = df.withColumns({blk: F.coalesce(F.floor(pos / rows[n]), F.lit(0)).cast("int")
+                         for n, blk in blocks.items() if blk not in df.columns})
+    place = {n: pos - F.col(blk) * rows[n] for n, blk in blocks.items()}
 
     weighted = {}
-    for name, (value, span) in means.items():
+    for name, (value, span) in smoothed.items():
         r = _decay_column(span)
         share = F.when(pos == 0, F.lit(1.0)).otherwise(F.lit(1.0) - r)
-        weighted[f"_u_{name}"] = value * share * F.pow(F.lit(1.0) / r, k)
+        weighted[f"_u_{name}"] = value * share * F.pow(F.lit(1.0) / r, place[name])
     df = df.withColumns(weighted)
-    sums = {f"_s_{n}": F.sum(f"_u_{n}").over(within) for n in means}
-    df = df.withColumns(sums)
-    if not one_block:
-        # the newest finished block is the one before
-        ends = {n: F.when(k == m - 1, F.col(f"_s_{n}")) for n in means}
-        df = df.withColumns({f"_e_{n}": e for n, e in ends.items()})
-        df = df.withColumns({f"_p_{n}": F.coalesce(F.last(f"_e_{n}", ignorenulls=True).over(before), F.lit(0.0))
-                             for n in means})
+
+    def within(blk):
+        return (Window.partitionBy(*series.keys, blk).orderBy(series.order)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def before(blk):
+        # blocks grow with the order, so this is the same row order and needs no sort of its own
+        return (Window.partitionBy(*series.keys).orderBy(blk, series.order)
+                .rowsBetween(Window.unboundedPreceding, -1))
+
+    df = df.withColumns({f"_s_{n}": F.sum(f"_u_{n}").over(within(blk)) for n, blk in blocks.items()})
+    # the newest finished block is the one before
+    df = df.withColumns({f"_e_{n}": F.when(place[n] == rows[n] - 1, F.col(f"_s_{n}")) for n in blocks})
+    df = df.withColumns({f"_p_{n}": F.coalesce(F.last(f"_e_{n}", ignorenulls=True).over(before(blk)), F.lit(0.0))
+                         for n, blk in blocks.items()})
 
     out = {}
-    for name, (_, span) in means.items():
-        total = F.col(f"_s_{name}")
-        if not one_block:
-            total = total + F.lit(decay(span) ** m) * F.col(f"_p_{name}")
-        out[name] = F.pow(_decay_column(span), k) * total
+    for name, (value, span) in means.items():
+        if name not in smoothed:  # a span of 1 has no memory
+            out[name] = value.cast("double")
+            continue
+        r = _decay_column(span)
+        mean = F.pow(r, place[name]) * (F.col(f"_s_{name}") + F.pow(r, rows[name]) * F.col(f"_p_{name}"))
+        if isinstance(span, Column):
+            mean = (F.when(span < 1, F.raise_error(F.lit("a span is below 1")).cast("double"))
+                    .when(span.isNotNull() & r.isNull(), value).otherwise(mean))
+        out[name] = mean
     df = df.withColumns(out)
-    df = df.drop(*[f"_{p}_{n}" for n in means for p in "usep"])
+    df = df.drop(*[f"_{p}_{n}" for n in means for p in "usep"], *[f"{BLOCK_COLUMN}_{n}" for n in means])
     return df if had_position else unpositioned(df)

@@ -114,7 +114,7 @@ def run_strategy(daily: DataFrame, name: str, fee: float = FEE, slippage: float
 
 # --- walk-forward -------------------------------------------------------------------
 
-_SLICE = Series(("ticker", "window", "phase", "param"), "date", 512)
+_SLICE = DAILY.with_keys("window", "phase", "param")
 
 
 def windows(daily: DataFrame, train_months: int = 6, test_months: int = 1) -> DataFrame:

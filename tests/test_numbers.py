@@ -35,6 +35,46 @@ def test_ewm_with_spans_in_a_column(spark):
     assert np.allclose(got["e"], pdf["close"].ewm(span=7, adjust=False).mean(), rtol=1e-12)
 
 
+def test_ewm_trusts_no_declared_length(spark):
+    pdf = walk(3_000)
+    sets = [(2.0, 1.0), (13.0, 400.0), (1.0, 3.0)]
+    df = spark.createDataFrame(pd.concat([pdf.assign(ticker=str(i), a=a, b=b) for i, (a, b) in enumerate(sets)]))
+    short = Series(("ticker",), "date", 100)
+    got = ewm(df, {"fixed": (F.col("close"), 2), "same": (F.col("close"), 1), "far": (F.col("close"), 400),
+                   "ea": (F.col("close"), F.col("a")), "eb": (F.col("close"), F.col("b"))}, short).orderBy("date").toPandas()
+    for i, (a, b) in enumerate(sets):
+        g = got[got["ticker"] == str(i)].reset_index(drop=True)
+        for column, span in (("fixed", 2), ("same", 1), ("far", 400), ("ea", a), ("eb", b)):
+            assert np.allclose(g[column], pdf["close"].ewm(span=span, adjust=False).mean(), rtol=1e-11), (column, span)
+    with pytest.raises(ValueError):
+        ewm(df, {"e": (F.col("close"), 0.5)}, short)
+
+
+def test_macd_of_second_bars_and_far_spans(spark):
+    close = walk(20_000)["close"]
+    pdf = pd.DataFrame({"ticker": "A", "date": day(0), "dt": pd.date_range("2024-01-02 09:00", periods=len(close), freq="s"), "close": close})
+    df = spark.createDataFrame(pdf)
+    for fast, slow, span in ((2, 13, 2), (3, 200, 9), (12, 26, 9)):
+        got = macd.macd(df, fast=fast, slow=slow, signal=span).orderBy("dt").toPandas()
+        line = close.ewm(span=fast, adjust=False).mean() - close.ewm(span=slow, adjust=False).mean()
+        assert np.allclose(got["hist"], line - line.ewm(span=span, adjust=False).mean(), atol=1e-9 * close.max())
+
+
+def test_walk_forward_over_long_windows(spark):
+    pdf = walk(1_500, 9)
+    got = signals.walk_forward(spark.createDataFrame(pdf), [(2, 13, 2)], train_months=36, test_months=6, fee=0.0, slippage=0.0).orderBy("window").toPandas()
+    dates, first = pd.to_datetime(pdf["date"]), pd.Timestamp(pdf["date"][0])
+    assert len(got) > 1
+    for _, row in got.iterrows():
+        a = first + pd.DateOffset(months=6 * int(row["window"]))
+        c = pdf["close"][(dates >= a) & (dates <= a + pd.DateOffset(months=36))].reset_index(drop=True)
+        line = c.ewm(span=2, adjust=False).mean() - c.ewm(span=13, adjust=False).mean()
+        hist = line - line.ewm(span=2, adjust=False).mean()
+        said = pd.Series(np.where((hist > 0) & (hist.shift() <= 0), 1.0, np.where((hist < 0) & (hist.shift() >= 0), 0.0, np.nan)))
+        ret = said.ffill().fillna(0).shift().fillna(0) * c.pct_change().fillna(0)
+        assert row["train_metric"] == pytest.approx(ret.mean() / ret.std() * np.sqrt(252), rel=1e-7)
+
+
 def test_indicators_match_pandas(spark):
     pdf = walk(400, 3)
     got = indicators.technical_features(spark.createDataFrame(pdf)).orderBy("date").toPandas()
