@@ -267,6 +267,25 @@ def bars_of_best(daily: DataFrame, min_score: float, min_daily_range: float = 0.
     return daily.join(best.select("ticker"), "ticker", "left_semi")
 
 
-def ranked_or_index(request, index: DataFrame | None, compute) -> DataFrame:
-    """The stored index when the request is the default screen, else ``compute()``."""
-    return index if index is not None and is_default(request) else compute()
+@dataclass(frozen=True)
+class Request:
+    """What decides the result of :func:`scoring_index`; the defaults are the default screen."""
+
+    criteria: tuple[Criterion, ...] = DEFAULT_CRITERIA
+    dataset: str = "daily"
+    months_back: int = MONTHS_BACK
+    min_days: int = MIN_DAYS
+    min_avg_volume: float = MIN_AVG_VOLUME
+    price: tuple[float, float] = (0.0, MAX_PRICE)
+    filters: dict | None = None
+
+    def same(self, other: Request) -> bool:
+        """Equal in everything but the order of the criteria; no filters and empty ones are the same."""
+        def rest(r: Request) -> tuple:
+            return (set(r.criteria), len(r.criteria), r.dataset, r.months_back, r.min_days, r.min_avg_volume, tuple(r.price), r.filters or {})
+        return rest(self) == rest(other)
+
+
+def ranked_or_index(request: Request, index: DataFrame | None, compute, built: Request = Request()) -> DataFrame:
+    """The stored index when the request is all that it was built for, else ``compute()``."""
+    return index if index is not None and request.same(built) else compute()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -47,14 +51,44 @@ def normalise(raw: DataFrame, unit: str = "ns", lenient: bool = False) -> DataFr
     return df.withColumn("dt", epoch_to_timestamp(F.col("window_start"), unit))
 
 
+def _layouts(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files under some paths, those with the same header together."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").text(paths)
+             .select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("_at", F.monotonically_increasing_id()))
+    first = (lines.filter((F.col("file_block_start") == 0) & (F.trim("value") != ""))
+             .groupBy("file_path").agg(F.min_by("value", "_at").alias("header")))
+    files = defaultdict(list)
+    for row in first.orderBy("file_path").collect():
+        # a file's name is no pattern
+        files[row["header"].strip()].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["file_path"])))
+    return list(files.values())
+
+
 def read_feed(spark: SparkSession, path: str | Sequence[str], lenient: bool = False) -> DataFrame:
-    """Raw CSV rows as strings.  One header read per call; no type inference pass."""
-    return (spark.read
-            .option("header", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.csv*")
-            .option("mode", "PERMISSIVE" if lenient else "FAILFAST")
-            .csv(path if isinstance(path, str) else list(path)))
+    """Raw CSV rows as strings; no type inference pass.
+
+    One pass over the lines finds each file's header. Files of several layouts are read layout by layout and put together by the
+    known names of their columns; a further column is NULL where a layout lacks it, a missing feed column raises.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = (spark.read
+              .option("header", True)
+              .option("enforceSchema", False)
+              .option("recursiveFileLookup", True)
+              .option("pathGlobFilter", "*.csv*")
+              .option("mode", "PERMISSIVE" if lenient else "FAILFAST"))
+    layouts = _layouts(spark, paths)
+    if len(layouts) < 2:
+        return reader.csv(paths)
+    parts = []
+    for files in layouts:
+        raw = reader.csv(files)
+        parts.append(raw.withColumnsRenamed({a: n for a, n in ALIASES.items() if a in raw.columns and n not in raw.columns}))
+    known = {c for part in parts for c in part.columns} & {f.name for f in FEED_SCHEMA}
+    for part, files in zip(parts, layouts):
+        if lacks := sorted(known - set(part.columns)):
+            raise ValueError(f"{files[0]} lacks the columns {lacks} of other files")
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
 
 
 def daily_bars(raw: DataFrame, unit: str = "ns") -> DataFrame:

@@ -203,3 +203,13 @@ def test_metrics_of_tables_with_missing_columns(spark):
     plain = bars(spark, [10.0, 10.0], spread=1.0).drop("volume")
     row = scoring.ticker_metrics(plain, "metrics").first()
     assert row["avg_daily_swing_pct"] == pytest.approx(0.2) and row["volatility"] is None and row["position_pct_of_volume"] is None
+
+
+def test_index_only_for_the_request_it_was_built_for():
+    def choice(**other):
+        return scoring.ranked_or_index(scoring.Request(**other), "index", lambda: "computed")
+    assert choice() == choice(criteria=tuple(reversed(scoring.DEFAULT_CRITERIA))) == choice(filters={}) == "index"
+    for other in ({"months_back": 3}, {"min_days": 30}, {"min_avg_volume": 0.0}, {"price": (0.0, 9.0)}, {"dataset": "weekly"},
+                  {"filters": {"close": {"max": 5.0}}}, {"criteria": scoring.DEFAULT_CRITERIA[:-1]}):
+        assert choice(**other) == "computed"
+    assert scoring.ranked_or_index(scoring.Request(), None, lambda: "computed") == "computed"

@@ -39,6 +39,17 @@ def test_strict_and_lenient_numbers(spark, tmp_path):
         feeds.minute_bars(raw).collect()
 
 
+def test_feed_of_mixed_layouts(spark, tmp_path):
+    write_feed(tmp_path / "feed [1]", "2024-01-02", [("A", 10, 1, 4, 0.5, 1.5, T0)])
+    write_feed(tmp_path / "feed [1]", "2024-01-03", [(1.5, 0.5, 4, 1, "B", T1, 10, "x")], "close,low,high,open,symbol,timestamp,volume,note")
+    for lenient in (True, False):
+        rows = feeds.minute_bars(feeds.read_feed(spark, str(tmp_path), lenient), lenient=lenient).orderBy("ticker").collect()
+        assert [(r["ticker"], r["volume"], r["open"], r["high"], r["low"], r["close"]) for r in rows] == [(t, 10, 1.0, 4.0, 0.5, 1.5) for t in "AB"]
+    write_feed(tmp_path, "2024-01-04", [("C", 1, T0)], "ticker,close,window_start")
+    with pytest.raises(ValueError):
+        feeds.read_feed(spark, str(tmp_path))
+
+
 def test_registry_falls_back_and_rejects(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "old"))
     names = datasets.Datasets({"x": [str(tmp_path / "new"), str(tmp_path / "old")], "none": [str(tmp_path / "no")]})
