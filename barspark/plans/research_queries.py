@@ -137,7 +137,7 @@ _FIT = "coefficient std_error t_stat r_squared adj_r_squared"
 
 # --- factor evaluation ---------------------------------------------------------------------------
 FACTOR_COLUMNS = ["ret_d", "volume"]
-HORIZONS = (1, 5)
+HORIZONS = (1, 5, 10)
 
 
 def factor_rows(s, d) -> DataFrame:
@@ -327,7 +327,7 @@ def _ml(run):
 
 
 def _cv(stage, classify=False):
-    return _ml(lambda s, rows: rounded(ml.cross_validate(rows, ML_FEATURES, stage, ml.folds(rows, 3), classify)))
+    return _ml(lambda s, rows: rounded(ml.cross_validate(rows, ML_FEATURES, stage, ml.folds(rows), classify)))
 
 
 def _importance(s, rows):
@@ -343,7 +343,7 @@ def _saved_model(s, rows):
 
 
 def _trees(s, rows, classify):
-    return rounded(ml.tree_importance(ml.fit_trees(rows, ML_FEATURES, classify, trees=5, depth=4), ML_FEATURES, s))
+    return rounded(ml.tree_importance(ml.fit_trees(rows, ML_FEATURES, classify), ML_FEATURES, s))
 
 
 FOLD_SQL = """WITH {bars}, d AS (SELECT list_sort(list(DISTINCT date)) AS d, count(DISTINCT date) AS n FROM bars),
@@ -603,7 +603,7 @@ QUERIES = {
                curve_sql("reg", "curve", "ticker, regime")], report_sql("curve", "ticker, regime"),
               "ticker regime trading_days", "sharpe_ratio max_drawdown total_return", 6, WILD)),
     "sg10_trade_bootstrap": (
-        lambda s, d: rounded(signals.bootstrap(signals.trades(signals.simulate(signals.macd_signals(daily(s, d)))), 200)), None),
+        lambda s, d: rounded(signals.bootstrap(signals.trades(signals.simulate(signals.macd_signals(daily(s, d)))))), None),
     # --- models ------------------------------------------------------------------------------------
     "ml1_time_folds": (lambda s, d: ml.fold_table(daily(s, d)), FOLD_SQL.format(bars=BARS)),
     "ml2_ml3_linear_cross_validation": (_cv(lambda n: ml.linear_stage(None, rows=n)), None),
@@ -622,7 +622,7 @@ QUERIES = {
     "ml5_regularisation_path": (_ml(lambda s, rows: rounded(ml.tune(rows, ML_FEATURES, "lasso")[1])), None),
     "ml6_tree_classifier": (_ml(lambda s, rows: _trees(s, rows, True)), None),
     "ml6_tree_regressor": (_ml(lambda s, rows: _trees(s, rows, False)), None),
-    "ml7_model_report": (_ml(lambda s, rows: rounded(ml.model_report(rows, ML_FEATURES, "linear", 1.0, "ridge", 2)[1])), None),
+    "ml7_model_report": (_ml(lambda s, rows: rounded(ml.model_report(rows, ML_FEATURES, "linear", 1.0, "ridge")[1])), None),
     "ml8_permutation_importance": (_ml(_importance), None),
     "snk6_saved_model": (_ml(_saved_model), None),
     # --- streams -------------------------------------------------------------------------------------

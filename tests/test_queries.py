@@ -63,3 +63,14 @@ def test_entry(spark):
 
 def test_check_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_registered_queries_run_with_the_default_parameters():
+    import inspect
+    from barspark.operators import factors
+    from barspark.plans import research_queries as plans
+
+    assert plans.HORIZONS == inspect.signature(factors.with_forward).parameters["horizons"].default
+    source = inspect.getsource(plans)
+    for cut in ("ml.folds(rows, ", "classify, trees=", '"ridge", 2)', "daily(s, d)))), 200)"):
+        assert cut not in source
