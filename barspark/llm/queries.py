@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, jaccard, pages, passages, pieces, quality, search, secrets, tokens, urls
+from . import contamination, jaccard, negatives, pages, passages, pieces, quality, search, secrets, tokens, transducer, urls, variants
 from .common import table
 
 
@@ -169,6 +169,58 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return transducer.digest(transducer.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", negatives.relabelled(F.col("vec_id"), F.col("label")).alias("label"),
+                                                     search.integers(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, lambda key: key % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group(variants.corpus_words(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+# the CRC-32 of a run comes from a table of 256 remainders, byte by byte
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS rest),
+raw AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS key, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+runs AS (SELECT key, run, count(*) AS n FROM raw GROUP BY ALL),
+sums AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(key || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END)),
+                                        lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM runs, t),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM sums GROUP BY word),
+v AS (SELECT word, CAST(n AS BIGINT) AS n FROM words WHERE n >= 5 AND length(word) >= 6),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, v.word FROM less a JOIN v ON a.rest = v.word UNION SELECT v.word, a.word FROM less a JOIN v ON a.rest = v.word),
+best AS (SELECT a AS word, count(*) OVER (PARTITION BY a) AS n_near, b, v.n AS bn FROM near JOIN v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+forms AS (SELECT v.word, CASE WHEN bn >= 5 * v.n THEN b END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * v.n THEN bn END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS d FROM forms UNION ALL SELECT chain.word, forms.form, d + 1 FROM chain JOIN forms ON forms.word = chain.here WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, d) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
 QUERIES: dict = {
     "op1_exact_topk_search": (op1, OP1_SQL),
     "op2_quality_rules": (op2, None),
@@ -180,6 +232,9 @@ QUERIES: dict = {
     "op8_decontamination": (op8, OP8_SQL),
     "op9_ngram_jaccard": (op9, OP9_SQL),
     "op10_html_extraction": (op10, None),
+    "op11_byte_bpe_transducer": (op11, None),
+    "op12_hard_negatives": (op12, OP12_SQL),
+    "op13_spelling_variants": (op13, OP13_SQL),
 }
 
 
