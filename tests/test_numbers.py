@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day
+from builders import day
 from pyspark.sql import functions as F
 
 from barspark.functions.ewm import ewm

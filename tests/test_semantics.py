@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from conftest import bars, column, day
+from builders import bars, column, day
 from pyspark.sql import functions as F
 
 from barspark.functions.predicates import apply_filters, compile_filters

@@ -100,13 +100,16 @@ def test_unknown_codec(spark, tmp_path):
 
 def test_shared_folder_is_used_where_the_cluster_names_one():
     from types import SimpleNamespace
-    def session(**conf):
+    def session(master="local[8]", **conf):
         settings = {k.replace("_", "."): v for k, v in conf.items()}
-        return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
-    cluster = session(spark_checkpoint_dir="hdfs://shared/work")
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(master=master))
+    cluster = session("yarn", spark_checkpoint_dir="hdfs://shared/work")
     assert work_folder(cluster, "x").startswith("hdfs://shared/work/x-")
     assert work_folder(cluster, "x") != work_folder(cluster, "x")
     assert "barspark-" in work_folder(session(), "x")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            work_folder(session(master), "x")
 
 
 def test_ingest_takes_only_new_files(spark, tmp_path):
