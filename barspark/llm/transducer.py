@@ -91,14 +91,17 @@ class Ranks:
     def splitter(self):
         """The pre-tokens of a text."""
         usual = regex.compile(self.pattern).findall
-        if not self.odd:
-            return usual
         own = self.pattern
         for name, members in self.classes.items():
             own = own.replace(name, members)
         # inside a class the negated letters stand as they are: a set of sets needs the newer syntax
-        special, unusual = regex.compile("(?V1)" + own).findall, re.compile(f"[{self.odd}]").search
-        return lambda text: usual(text) if text.isascii() and not unusual(text) else special(text) if unusual(text) else usual(text)
+        special, unusual = regex.compile("(?V1)" + own).findall, self.unusual()
+        return lambda text: special(text) if unusual(text) else usual(text)
+
+    def unusual(self):
+        """Whether a text has a code point that the library and Python put into different classes."""
+        search = re.compile(f"[{self.odd}]").search if self.odd else lambda text: None
+        return lambda text: not text.isascii() and search(text)
 
 
 def _ranges(points: Iterable[int]) -> str:
@@ -123,6 +126,8 @@ def _differences() -> tuple[str, dict[str, str]]:
         probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=single, special_tokens={})
         theirs, ours = set(probe.decode(probe.encode_ordinary(every))), set(regex.findall(name, every))
         odd |= {ord(c) for c in theirs ^ ours}
+        if name == r"\p{L}":  # str.isalpha finds words without the pattern
+            odd |= {ord(c) for c in theirs ^ {c for c in every if c.isalpha()}}
         members = f"[[{name}--[{_ranges(map(ord, ours - theirs))}]]{_ranges(map(ord, theirs - ours))}]" if ours - theirs else f"[{name}{_ranges(map(ord, theirs - ours))}]"
         if theirs != ours:
             classes[name] = members
@@ -232,6 +237,17 @@ class Transducer:
         out: list[int] = []
         lasts: list[int] = []
         state = self.start
+        if len(data) <= _AHEAD:
+            for byte in data:
+                state, last = state[byte]
+                lasts.append(last)
+            end, length = len(data), self.length
+            while end:
+                last = lasts[end - 1]
+                out.append(last)
+                end -= length[last]
+            out.reverse()
+            return out
         for at in range(0, len(data), _AHEAD):
             for byte in data[at:at + _AHEAD]:
                 state, last = state[byte]
@@ -261,19 +277,19 @@ class Encoder:
     """Ids of whole texts as bytes of 32-bit numbers; pieces of texts are remembered."""
 
     def __init__(self, ranks: Ranks):
-        self.machine, self.split = Transducer(ranks), ranks.splitter()
+        self.machine, self.split, self.unusual = Transducer(ranks), ranks.splitter(), ranks.unusual()
         self.spaced: dict[str, bytes | None] = _Known(self.piece)
         self.plain: dict[str, bytes] = _Known(lambda t: array("i", self.machine.tokens(t.encode())).tobytes())
 
     def piece(self, piece: str) -> bytes | None:
         """What stands between two spaces, with the space before it; None if white space at its edges joins the spaces outside."""
-        if piece.isalpha() and piece.isascii():
+        if piece.isalpha() and not self.unusual(piece):
             return array("i", self.machine.tokens(b" " + piece.encode())).tobytes()
         return None if not piece or piece[0].isspace() or piece[-1].isspace() else self.exact(" " + piece)
 
     def exact(self, text: str) -> bytes:
         """By pre-tokens; words with a space before them are remembered with the pieces."""
-        return b"".join([self.spaced[t[1:]] if t[0] == " " and t[1:].isalpha() and t.isascii() else self.plain[t] for t in self.split(text)])
+        return b"".join([self.spaced[t[1:]] if t[0] == " " and t[1:].isalpha() and not self.unusual(t) else self.plain[t] for t in self.split(text)])
 
     def text(self, text: str) -> bytes:
         if len(self.spaced) + len(self.plain) > _PIECES:
