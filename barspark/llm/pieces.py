@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 MARK = "▁"
 #: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark, and none has a line feed.
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: Remembered words of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 400_000, 400_000, 1_000_000
+#: Remembered pieces of text of a worker, remembered pairs, and characters that are split into words at a time.
+_WORDS, _PAIRS, _BLOCK = 700_000, 400_000, 1_000_000
 _NEVER = float("-inf")
 
 
@@ -72,7 +73,10 @@ class Model:
 
 
 class Encoder(dict):
-    """Ids of marked words, as bytes of 32-bit numbers.
+    """Ids of what stands between two spaces (with the mark before it), as bytes of 32-bit numbers.
+
+    ``wrong`` has the pieces of text whose ids don't give them again. A text is the sequence of its pieces, and every piece
+    is encoded and decoded by itself, so the round trip of a text is right if those of its pieces are.
 
     The forward pass keeps, for every prefix of a word, the last piece of its best path. A piece may follow another only if the
     merges on both together leave them as they are; under that rule each prefix has exactly one path, the one that the
@@ -83,9 +87,11 @@ class Encoder(dict):
 
     def __init__(self, model: Model):
         self.m, self.pairs, self.known = model, {}, 0
+        self.wrong: set[str] = set()
 
-    def learn(self, words: list[str]) -> None:
-        """Adds the words that are not yet known, in one traversal of their trie."""
+    def words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of marked words, in one traversal of their trie."""
+        out = {}
         m, pairs, alone, tails = self.m, self.pairs, self.m.alone, self.m.tails
         last: list[str] = [""]  # last piece of the path to each prefix of the current word
         before = ""
@@ -128,18 +134,48 @@ class Encoder(dict):
             while end:
                 path.append(last[end])
                 end -= len(last[end])
-            self[word] = np.array([i for p in reversed(path) for i in m.ids(p)], np.int32).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; the marks stand for spaces, and one is put before a text that is not empty."""
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+            out[word] = array("i", [i for p in reversed(path) for i in m.ids(p)]).tobytes()
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Adds pieces of text that are not yet known, each with the mark before it, and proves their round trip."""
+        split = {p: _WORD.findall(MARK + p) for p in pieces}
+        ids = self.words({w for words in split.values() for w in words})
+        output = self.m.output
+        for p, words in split.items():
+            self[p] = found = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
+            if b"".join(map(output.__getitem__, memoryview(found).cast("i"))) != b" " + p.replace(MARK, " ").encode():
+                self.wrong.add(p)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, and whether they give it again; the marks stand for spaces, and one is put before a text that is not empty."""
         if len(self) > _WORDS:
             self.clear()
+            self.wrong.clear()
         if self.known > _PAIRS:
             self.pairs.clear()
             self.known = 0
-        self.learn([w for w in {w for words in split for w in words} if w not in self])
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        split = [_pieces(t) if t else [] for t in texts]
+        self.learn({p for pieces in split for p in pieces if p not in self})
+        found = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        return found, [self.wrong.isdisjoint(pieces) if self.wrong else True for pieces in split]
+
+
+def _pieces(text: str) -> list[str]:
+    """What stands between two spaces or marks; of several in a row all but one belong to the piece after them."""
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    pieces = text.split(" ")
+    if "" in pieces:
+        out, spaces = [], ""
+        for p in pieces[:-1]:
+            if p:
+                out.append(spaces + p)
+                spaces = ""
+            else:
+                spaces += MARK
+        return [*out, spaces + pieces[-1]]
+    return pieces
 
 
 _WORKER: dict = {}
@@ -174,11 +210,11 @@ def _with_ids(df: DataFrame, path: str, text: str, added: list[T.StructField]) -
                 while at + len(block) < len(batch) and size < _BLOCK:
                     block.append(batch.column(place)[at + len(block)].as_py())
                     size += len(block[-1] or "")
-                found = _WORKER[path].encode(block)
+                found, same = _WORKER[path].encode(block)
                 ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in found]))).astype(np.int32)
                 columns = [*batch.slice(at, len(block)).columns, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))]
                 if len(added) > 1:
-                    columns.append(pa.array([_text(np.frombuffer(b, np.int32).tolist(), model.value.output) == (t or "").replace(MARK, " ") for t, b in zip(block, found)], pa.bool_()))
+                    columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, labels)
                 at += len(block)
 
@@ -204,7 +240,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``ids``, ``n_pieces`` and ``same``: whether decoding gives the text again (marks in it become spaces).
 
-    Rows are handled as by :func:`encode` and :func:`decode`, both in one worker, so that a task holds the pieces once.
+    Rows are handled as by :func:`encode` and :func:`decode`, both in one worker, so that a task holds the pieces once; each distinct piece of text
+    is decoded once.
     """
     out = _with_ids(df.drop("n_pieces"), path, text, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
