@@ -21,20 +21,45 @@ _BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol
 _ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Elements and words of class, id and role that mark what is not the article.
+#: Elements that are not the article, whatever they hold.
 _APART = frozenset("head nav footer aside form script style noscript template iframe button select textarea title svg canvas object audio video dialog menu".split())
-_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side footer "
+#: Roles of the page's own parts (fixed names of the format).
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Nouns that name a part that is not the article: they count as a whole class, as its last word ("cookie-notice"), or before one of the words for a place.
+_NOUNS = frozenset("ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar footer "
                    "header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
-                   "social related recommended breadcrumb breadcrumbs pagination pager widget toolbar comment comments commentlist respond reply replies disqus "
-                   "contentinfo complementary search dialog".split())
+                   "social related recommended breadcrumb breadcrumbs pagination pager widget toolbar comment comments commentlist respond replies disqus search dialog".split())
+_PLACES = frozenset("area list box wrap wrapper container block section bar item items slot unit inner links buttons icons posts articles form thread panel row column group widget body "
+                    "content text".split())
+#: First words that only say what else the page has.
+_SAYS = frozenset("has with without no is not hide show after before".split())
+#: First words with which a header is the article's own.
+_OWN = frozenset("post entry article story content section card".split())
+#: Whole ids of containers that name such a part; other ids are names of sections and headings.
+_IDS = frozenset("comments respond disqus_thread sidebar footer header nav navigation menu navbar newsletter cookie-banner cookie-notice".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = frozenset("body article main section div td blockquote center".split())
 
 
+def names_part(token: str) -> bool:
+    """Whether a class names a part of the page that is not the article."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
+    if not words or words[0] in _SAYS or words[0] in _OWN and words[-1] == "header":
+        return False
+    return words[-1] in _NOUNS or len(words) > 1 and words[0] in _NOUNS and words[-1] in _PLACES
+
+
 class Page:
-    """Elements and text blocks of a page, in page order; damaged markup is closed as browsers do for these elements."""
+    """Elements and text blocks of a page, in page order; damaged markup is closed as browsers do for these elements.
+
+    What is apart from the article: elements that never hold it, and containers that a role, a whole class or one of few ids names so. A name
+    doesn't count on a heading or on an element that stands around the main part (the first article without one) or around the title in it; where a page has
+    none of these, on one that holds most of the text outside links.
+    """
 
     def __init__(self, source: str):
         self.parent, self.name, self.apart = [-1], ["#"], [False]
+        self.named = [0]  # 1: named as a part, 2: as the head or menu of the site
         self.tags, self.links = ["#"], 0
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters within links
         self.anchors: list[int] = []  # links of each block
@@ -65,6 +90,41 @@ class Page:
             else:
                 self._open(stack, tag, m[3])
         self._flush(stack[-1])
+        self._settle()
+
+    def _settle(self) -> None:
+        """Elements that are apart only by name are so unless they stand around the article; what is below them follows."""
+        if not any(self.named):
+            return
+        places = [(self.tags[e], e) for e in range(1, len(self.tags)) if not self.apart[e]]
+        key = next((e for t, e in places if t == "main"), 0) or next((e for t, e in places if t == "article"), 0)
+        title = next((e for t, e in places if t == "h1"), 0)
+        around = self._upwards(key)
+        if title and (not key or self._below(title, key)):
+            around |= {e for e in self._upwards(title) if key or self.named[e] < 2}
+        total, weight = 0, [0] * len(self.tags)
+        if not key and not title:
+            for element, text, linked in self.blocks:
+                if not self.apart[element]:
+                    weight[element] += max(0, len(text) - linked)
+            total = sum(weight)
+            for e in reversed(range(1, len(self.tags))):  # children come after their parents
+                weight[self.parent[e]] += weight[e]
+        for e in range(1, len(self.tags)):
+            by_name = self.named[e] and e not in around and 2 * weight[e] <= total
+            self.apart[e] = self.apart[e] or bool(by_name) or self.apart[self.parent[e]]
+
+    def _upwards(self, element: int) -> set[int]:
+        out = set()
+        while element > 0:
+            out.add(element)
+            element = self.parent[element]
+        return out
+
+    def _below(self, element: int, top: int) -> bool:
+        while element > top:
+            element = self.parent[element]
+        return element == top
 
     def _text(self, element: int, text: str) -> None:
         self._pieces.append(text)
@@ -108,16 +168,20 @@ class Page:
                 self._close(stack, "p")
             for same in _SAME.get(tag, ()):
                 self._close(stack, same)
-        parent, classes, apart = stack[-1], "", self.apart[stack[-1]] or tag in _APART
+        parent, classes, apart, named = stack[-1], "", self.apart[stack[-1]] or tag in _APART, 0
         if attributes and not attributes.isspace():
-            words: list[str] = []
             for k, *v in _CLASS.findall(attributes):
-                value = "".join(v).lower()
-                words += re.split(r"[^a-z]+", value)
-                if k.lower() == "class":
-                    classes = "".join("." + c for c in sorted(set(re.sub(r"\d+", "#", value).split())))
-            if tag not in ("html", "body", "article", "main") and not _WORDS.isdisjoint(words):
-                apart = True
+                value, kind = "".join(v), k.lower()
+                if kind == "class":
+                    classes = "".join("." + c for c in sorted(set(re.sub(r"\d+", "#", value.lower()).split())))
+                    if tag not in _HEADINGS and any(map(names_part, value.split())):
+                        named = max(named, 2 if re.search("(?i)header|masthead|banner|nav|menu", value) else 1)
+                elif kind == "role":
+                    named = max(named, 2 * (value.strip().lower() in _ROLES and tag not in _HEADINGS))
+                elif tag in ("div", "ul", "ol") and value.strip().lower() in _IDS:
+                    named = max(named, 2 if re.search("(?i)header|nav|menu", value) else 1)
+        if tag in ("html", "body", "article", "main") or tag == "header":
+            named = 0
         if tag == "header" and not any(self.tags[e] in ("article", "main") for e in stack):
             apart = True  # the head of the site, not of the article
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
@@ -126,6 +190,7 @@ class Page:
         self.name.append(tag + classes)
         self.tags.append(tag)
         self.apart.append(apart)
+        self.named.append(named)
         stack.append(len(self.tags) - 1)
         self.links += tag == "a"
         self._anchors += tag == "a"

@@ -202,6 +202,41 @@ def test_contamination_of_odd_rows(spark):
     assert contamination.find(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and contamination.find(docs.limit(0), bench).count() == 0
 
 
+def brute_hits(texts, items, n):
+    def words(t):
+        return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = {}
+    for name, t in items:
+        w = words(t)
+        for i in range(max(len(w) - n + 1, 1) if w else 0):
+            windows.setdefault(tuple(w[i:i + n]), set()).add(str(name))
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i:i + size]) in windows:
+                    hit |= set(range(i, i + size))
+                    found |= windows[tuple(w[i:i + size])]
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_contamination_equals_a_search_of_all_windows(spark, monkeypatch, limit):
+    """Letters whose lower case depends on their neighbours, or has another length: final sigma, dotted I, Cherokee, Greek marks."""
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", limit)
+    rng = random.Random(9)
+    words = ["ΟΑΣ", "ΑΕ", "οασ", "İstanbul", "ISTANBUL", "ıI", "ᎠᎡ", "Ꭰ", "ΌΣ", "ǅ", "ẞ", "ß", "plain", "Words", "ΣΑΣ"]
+    marks = [" ", ".", ":", "'", " - ", "_", "\n"]
+    text = lambda k: "".join(rng.choice(words) + rng.choice(marks) for _ in range(k))
+    items = [(1, "ΟΑΣ"), (2, "ΟΑΣ ΑΕ"), (3, "İstanbul ᎠᎡ"), (4, "Plain words ΣΑΣ ẞ"), *[(10 + i, text(rng.randrange(1, 9))) for i in range(30)], (99, "plain " * 30)]
+    texts = ["ΟΑΣ ΑΕ", "ΟΑΣ.ΑΕ", "ΟΑΣ:ΑΕ", "plain " * 20_000, *[text(rng.randrange(1, 60)) for _ in range(120)], *[rng.choice(items)[1] for _ in range(20)]]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(5)
+    got = by_id(contamination.find(df, spark.createDataFrame(items, "item_id long, text string"), 4), "n_words", "n_hit", "items")
+    assert [got[i] for i in range(len(texts))] == brute_hits(texts, items, 4)
+
+
 # ---- op9
 
 def brute_groups(texts, n, percent):
@@ -279,6 +314,38 @@ def test_pages_keep_what_stands_outside_the_largest_container(spark):
     assert len(got) == 15 and all(r["main_text"] == want[r["name"]] for r in got)
 
 
+LONG = "A long sentence of the article, which goes on for a while. " * 8
+#: Pages whose class or id has a word that elsewhere names a part of the page, and what has to be read.
+NAMED = [
+    (f"<body><div class='content has-sidebar'><p>{LONG}</div><div class='sidebar'><p>side</div>", [LONG]),
+    (f"<body><article><header class='entry-header'><h1>Title</h1></header><p>{LONG}</article>", ["Title", LONG]),
+    (f"<body><article><div class='post-header'><h1>Title</h1></div><p>{LONG}<h2 id='social-impact'>Social</h2><p>{LONG}<h2 id='search' class='search'>Search</h2><p>Short.</article>",
+     ["Title", LONG, "Social", LONG, "Search", "Short."]),
+    (f"<body><article><section id='comment-syntax' class='comment-syntax'><h2>Comments</h2><p>{LONG}</section><section id='comments'><p>More</section></article>", ["Comments", LONG, "More"]),
+    (f"<body class='with-menu'><div class='site-header'><h1>Site</h1></div><div class='widget-area'><p>w</div><div class='main-menu'><div><h1>T</h1><p>{LONG}</div></div>", []),
+    (f"<body><div class='modal'><main><h1>T</h1><p>{LONG}<div class='share-buttons'>Share</div></main><div class='comments-area'><article class='comment'><p>{LONG}{LONG}</article></div></div>",
+     ["T", LONG]),
+    (f"<body><div id='comments'><p>A reader</div><div class='siteFooter'>f</div><div class='story'><h1>T</h1><p>{LONG}<div class='cookie-notice'>c</div><div role='complementary'>r</div></div>", ["T", LONG]),
+    (f"<body><div class='notice'><p>{LONG}</div>", [LONG]),
+]
+
+
+def test_pages_with_names_of_parts(spark):
+    rows = [(i, f"http://h{i}.example/x", h) for i, (h, _) in enumerate(NAMED)]
+    got = {r["page_id"]: r["main_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i, (h, parts) in enumerate(NAMED):
+        if parts:
+            assert got[i] == "\n".join(p.strip() for p in parts), h
+
+
+def test_a_tie_of_votes_goes_to_the_first_path_and_a_clashing_column_is_replaced(spark):
+    rows = [(1, "http://h.example/1", f"<body><div class='b'><p>{LONG}</div><ul><li><a href='x'>x</a><li><a href='y'>y</a></ul>", "old"),
+            (2, "http://h.example/2", f"<body><div class='a'><p>{LONG}</div><ul><li><a href='x'>x</a><li><a href='y'>y</a></ul>", "old")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, main_text string")
+    assert [r["path"].rpartition(">")[2] for r in pages.winning_paths(df).collect()] == ["div.a"]
+    assert {r["main_text"] for r in pages.extract(df).collect()} == {LONG.strip()}
+
+
 # ---- pipeline
 
 def test_pipeline_by_stage(spark):
