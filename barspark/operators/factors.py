@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.frames import DAILY, Series, following
 from ..functions.numeric import change, ratio
 from ..sources.folders import written
-from .ranking import average_ranks, fits_one_task, quantiles
+from .ranking import average_ranks, quantiles
 
 MIN_NAMES = 10
 _BY_DAY = ["factor", "horizon", "date"]
@@ -50,18 +50,11 @@ def rank_correlation(a: str, b: str) -> Column:
     return ratio(cross, F.sqrt(spread_x) * F.sqrt(spread_y))
 
 
-def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = (),
-             small_groups: bool | None = None) -> DataFrame:
-    """Rank correlation of value and forward return per factor, horizon and date (and ``by``).
-
-    Unless told, the size of the groups is looked up first (see ``ranking``).
-    """
+def daily_ic(pairs: DataFrame, min_names: int = MIN_NAMES, by: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation of value and forward return per factor, horizon and date (and ``by``)."""
     group = [*_BY_DAY, *by]
-    if small_groups is None:
-        # counted before the forward returns, which are not needed for it
-        small_groups = fits_one_task(pairs, group)
-    valid = pairs.filter(F.col("fwd").isNotNull())
-    ranked = average_ranks(valid, group, {"value": "_rv", "fwd": "_rf"}, small_groups)
+    valid = pairs.filter(F.col("fwd").isNotNull()).select(*group, "value", "fwd")
+    ranked = average_ranks(valid, group, {"value": "_rv", "fwd": "_rf"})
     return (ranked.groupBy(*group).agg(rank_correlation("_rv", "_rf").alias("ic"), F.count(F.lit(1)).alias("names"))
             .filter(F.col("names") >= min_names))
 
@@ -75,18 +68,15 @@ def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("t_stat", F.coalesce(t, F.lit(0.0)))
 
 
-def quantile_bins(rows: DataFrame, q: int = 5, small_groups: bool | None = None) -> DataFrame:
+def quantile_bins(rows: DataFrame, q: int = 5) -> DataFrame:
     """Add the 1-based quantile of ``value`` within its factor and date.
 
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
     date whose values are all equal has none.
     """
     group = ["factor", "date"]
-    if small_groups is None:
-        small_groups = fits_one_task(rows, group)
-    if not small_groups:
-        rows = written(rows, "quantiles")  # read for the edges and again for the rows
-    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", small_groups)
+    rows = written(rows, "quantiles")  # read for the edges and again for the rows
+    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", stored=True)
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     df = rows.join(edges, group)
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
@@ -110,9 +100,8 @@ def spread(by_quantile: DataFrame) -> DataFrame:
 def evaluate(table: DataFrame, factors: Sequence[str], horizons: Sequence[int] = (1, 5, 10), q: int = 5) -> DataFrame:
     """IC summary and spread of every factor and horizon, best mean IC first."""
     rows = factor_rows(table, factors)
-    small = fits_one_task(rows, ["factor", "date"])  # a date's rows per horizon are no more than that
-    pairs = with_forward(quantile_bins(rows, q, small), horizons)
-    out = ic_summary(daily_ic(pairs, small_groups=small)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
+    pairs = with_forward(quantile_bins(rows, q), horizons)
+    out = ic_summary(daily_ic(pairs)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
     return out.orderBy(F.desc("mean_ic"), "factor", "horizon")
 
 
@@ -132,9 +121,9 @@ def cumulative_factor_returns(daily: DataFrame, gross: float = 1.0) -> DataFrame
     return daily.withColumn("cumulative_return", growth - 1.0)
 
 
-def ranked(rows: DataFrame, small_groups: bool | None = None) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     """Rank of each name on its date and the rank it had on its row before."""
-    df = average_ranks(rows, ["factor", "date"], {"value": "rank"}, small_groups)
+    df = average_ranks(rows, ["factor", "date"], {"value": "rank"})
     series = Series(("factor", "ticker"), "date", DAILY.max_rows)
     return df.withColumn("rank_before", F.lag("rank").over(series.ordered()))
 

@@ -1,98 +1,98 @@
-"""Exact average ranks and quantiles inside groups of any size.
-
-``rank() over (partition by date order by x)`` sorts a whole group in one task.  Here
-equal values are counted first, the distinct values of a group are spread over value
-buckets, bucket sizes are accumulated over the few buckets, and only the distinct
-values of one bucket are ordered together.  Ties, however many, are one counted row.
-All steps are deterministic, so recomputed tasks agree with the lost ones.
+"""Exact average ranks and quantiles inside groups of any size, by one plan.
+
+``rank() over (partition by date order by x)`` sorts a whole group in one task.  Here a
+mergeable quantile sketch of each group gives range splitters, more of them for larger
+groups; the rows between two splitters are ordered together, and the sizes of the ranges
+are accumulated over the few ranges of a group.  Rows that equal a splitter (a value that
+many rows share is one) need no order: their rank follows from the sizes alone, so they are
+spread over tasks.  Splitters come from a sketch, ranks are exact whatever they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.folders import written
 
-BUCKETS = 512
-TASK_ROWS = 5_000_000
-
-
-def fits_one_task(df: DataFrame, group: Sequence[str], rows: int = TASK_ROWS) -> bool:
-    """Is every group small enough to be ordered by one task?  One counting job over the group columns."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= rows
-
-
-def _squash(value: Column, scale: Column) -> Column:
-    """Non-decreasing in ``value``; spreads heavy tails on a log scale."""
-    return F.signum(value) * F.log1p(F.coalesce(F.try_divide(F.abs(value), scale), F.abs(value)))
-
-
-def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row per distinct non-null value: ``_n`` copies, ``_below`` rows under it, ``_total`` rows in the group."""
-    group = list(group)
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
-              .agg(F.count(F.lit(1)).alias("_n")))
-    spans = counts.groupBy(*group).agg(
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.avg(F.abs(F.col(value))).alias("_scale"), F.sum("_n").alias("_total"))
-    low, high, at = (_squash(F.col(c), F.col("_scale")) for c in ("_min", "_max", value))
-    share = F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))
-    placed = (counts.join(spans, group)
-              .withColumn("_bucket", F.floor(share * F.lit(buckets)).cast("int"))
-              .select(*group, value, "_n", "_total", "_bucket"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_size"))
-               .select(*group, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")))
-    inside = (Window.partitionBy(*group, "_bucket").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.join(offsets, [*group, "_bucket"])
-            .withColumn("_below", F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .select(*group, value, "_n", "_below", "_total"))
-
-
-def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], small_groups: bool | None = None) -> DataFrame:
-    """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL.
-
-    Groups that fit one task take plain windows, with one exchange for all ranks
-    together; larger ones take ``value_ranks``.  ``small_groups`` answers which it is,
-    otherwise ``fits_one_task`` looks.
+#: Ranges of a group at most, rows of a range about, and the sketch's accuracy.
+RANGES, RANGE_ROWS, ACCURACY = 64, 100_000, 1_000
+_SPREAD = 64
+_HASHED = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "date", "timestamp", "boolean")
+
+
+def splitters(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """One row per group with the ascending range splitters ``_cuts_<i>`` of the i-th value; none for a group of one range."""
+    points = [i / RANGES for i in range(1, RANGES)]
+    sketched = df.groupBy(*group).agg(*[c for i, v in enumerate(values) for c in (
+        F.count(v).alias(f"_count_{i}"), F.percentile_approx(v, points, ACCURACY).alias(f"_points_{i}"))])
+
+    def thinned(i: int) -> Column:
+        ranges = F.least(F.lit(RANGES), F.ceil(F.col(f"_count_{i}") / rows))
+        step = F.ceil(F.lit(RANGES) / F.greatest(ranges, F.lit(1)))
+        some = F.filter(f"_points_{i}", lambda p, at: (at + 1) % step == 0)
+        return F.array_distinct(F.coalesce(some, F.array().cast(sketched.schema[f"_points_{i}"].dataType)))
+
+    return written(sketched.select(*group, *[thinned(i).alias(f"_cuts_{i}") for i in range(len(values))]), "splitters")
+
+
+def _range(value: Column, cuts: Column) -> Column:
+    """Even numbers for what lies between two splitters, odd ones for a splitter's own rows, NULL for NULL."""
+    return F.when(value.isNotNull(), 2 * F.size(F.filter(cuts, lambda c: c < value)) + F.array_contains(cuts, value).cast("int"))
+
+
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL; the other side's keys go."""
+    other = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    return df.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]), how).drop(*[f"_other_{k}" for k in keys])
+
+
+def placed(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS, stored: bool = False) -> DataFrame:
+    """The rows with, for the i-th value, ``_below_<i>`` (rows of the group under it), ``_n_<i>`` (rows with that value) and ``_total_<i>`` (rows with any).
+
+    NULL has none of them.  The rows are written once (unless ``stored`` already) and read for the sketch, the sizes of the ranges and the ranks; each value
+    takes one exchange of the rows, by group, range and, for a splitter's own rows, a hash.
     """
-    group = list(group)
-    if small_groups is None:
-        small_groups = fits_one_task(df, group)
-    if small_groups:
-        def rank(value: str) -> Column:
-            # NULLs sort last, so they never shift the rank of a value
-            w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-            return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
-        return df.withColumns({out: rank(value) for value, out in columns.items()})
-    # read several times below: computed once and kept in the shared work folder
-    df = written(df, "ranking")
-    tables = {value: value_ranks(df, group, value).select(
-        *group, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out)) for value, out in columns.items()}
-    for value, ranks in tables.items():
-        df = df.join(ranks, [*group, value], "left")
-    return df
+    group, values = list(group), list(values)
+    salted = [c for c, t in df.dtypes if t in _HASHED]
+    df = df if stored else written(df, "ranking")
+    cuts = splitters(df, group, values, rows)
+    ranged = _same(df, cuts, group).withColumns({f"_range_{i}": _range(F.col(v), F.col(f"_cuts_{i}")) for i, v in enumerate(values)})
+    out = ranged.drop(*[f"_cuts_{i}" for i in range(len(values))])
+    for i, v in enumerate(values):
+        at = f"_range_{i}"
+        whole = Window.partitionBy(*group)
+        sizes = (ranged.where(F.col(at).isNotNull()).groupBy(*group, at).agg(F.count(F.lit(1)).alias("_size"))
+                 .withColumns({"_before": F.coalesce(F.sum("_size").over(whole.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                               f"_total_{i}": F.sum("_size").over(whole)}))
+        own = F.col(at) % 2 == 1
+        out = (_same(out, sizes, [*group, at], "left")
+               .withColumn("_salt", F.when(own | F.col(at).isNull(), F.pmod(F.xxhash64(*salted), F.lit(_SPREAD))).otherwise(F.lit(-1))))
+        inside = Window.partitionBy(*group, at, "_salt")
+        out = out.withColumns({f"_below_{i}": F.col("_before") + F.when(own, 0).otherwise(F.rank().over(inside.orderBy(v)) - 1),
+                               f"_n_{i}": F.when(own, F.col("_size")).when(F.col(v).isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*group, at, "_salt", v)))})
+        out = out.drop("_size", "_before", "_salt", at)
+    return out
+
+
+def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], rows: int = RANGE_ROWS) -> DataFrame:
+    """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL."""
+    out = placed(df, group, list(columns), rows)
+    return out.select(*df.columns, *[(F.col(f"_below_{i}") + (F.col(f"_n_{i}") + 1) / 2.0).alias(name) for i, name in enumerate(columns.values())])
 
 
 def _at(index: Column, value: str) -> Column:
-    return F.max(F.when((F.col("_below") <= index) & (index < F.col("_below") + F.col("_n")), F.col(value)))
+    return F.max(F.when((F.col("_below_0") <= index) & (index < F.col("_below_0") + F.col("_n_0")), F.col(value)))
 
 
-def quantiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], out: str,
-              small_groups: bool | None = None) -> DataFrame:
-    """One row per group with an array of exact, linearly interpolated quantiles (see ``average_ranks``)."""
-    if fits_one_task(df, group) if small_groups is None else small_groups:
-        return (df.filter(F.col(value).isNotNull()).groupBy(*group)
-                .agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in points])).alias(out)))
-    ranked = value_ranks(df, group, value)
+def quantiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], out: str, rows: int = RANGE_ROWS, stored: bool = False) -> DataFrame:
+    """One row per group with an array of exact, linearly interpolated quantiles; a group without values has none."""
+    ranked = placed(df.filter(F.col(value).isNotNull()).select(*group, value), group, [value], rows, stored)
     aggs, picks = [], []
     for i, q in enumerate(points):
-        h = F.lit(float(q)) * (F.col("_total") - 1)
+        h = F.lit(float(q)) * (F.col("_total_0") - 1)
         lo = F.floor(h)
         aggs += [_at(lo, value).alias(f"_lo{i}"), _at(F.ceil(h), value).alias(f"_hi{i}"),
                  F.max(h - lo).alias(f"_f{i}")]

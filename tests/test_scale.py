@@ -39,15 +39,39 @@ def test_average_rank_of_hot_groups(spark):
     pdf = pd.concat([hot, rest, pd.DataFrame({"g": ["hot"], "v": [None]})], ignore_index=True)
     pdf["id"] = range(len(pdf))
     want = pdf.groupby("g")["v"].rank()
-    for small in (False, True):
+    for rows in (200, ranking.RANGE_ROWS):
         got = ranking.average_ranks(spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))), ["g"],
-                                    {"v": "rank"}, small).orderBy("id").toPandas()
+                                    {"v": "rank"}, rows).orderBy("id").toPandas()
         assert len(got) == len(pdf) and np.allclose(got["rank"].astype(float), want, equal_nan=True)
 
 
-def test_path_follows_the_measured_group_size(spark):
-    df = spark.range(100).withColumn("g", F.lit(1))
-    assert ranking.fits_one_task(df, ["g"]) and not ranking.fits_one_task(df, ["g"], 99)
+def test_ranking_has_one_plan_at_all_sizes(spark):
+    shapes = set()
+    for n in (3, 300_000):
+        df = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") % 1000).cast("double").alias("v"), F.col("id").cast("double").alias("w"))
+        optimized = ranking.average_ranks(df, ["g"], {"v": "a", "w": "b"})._jdf.queryExecution().optimizedPlan().toString()
+        shapes.add(tuple(re.findall(r"^[\s:+-]*(\w+)", optimized, re.M)))
+    assert len(shapes) == 1
+
+
+def test_outliers_leave_the_ranges_even(spark):
+    r = np.random.default_rng(1)
+    values = np.concatenate([r.normal(size=199_995), [1e300, -1e300, 1e12, -1e9, 1e8]])
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values}))
+    cuts = ranking.splitters(df, ["g"], ["v"], 4_000)
+    ranged = df.crossJoin(cuts.select("_cuts_0")).groupBy(ranking._range(F.col("v"), F.col("_cuts_0")).alias("r")).count().toPandas()
+    inner = ranged[ranged["r"] % 2 == 0]
+    assert len(inner) >= 30 and inner["count"].max() < 2 * 200_000 / 32
+    got = ranking.average_ranks(df, ["g"], {"v": "rank"}, 4_000).orderBy("v").toPandas()
+    assert got["rank"].tolist() == pd.Series(np.sort(values)).rank().tolist()
+
+
+def test_a_hot_value_is_spread_and_ranked_exactly(spark):
+    df = spark.range(60_000).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") - 30_000.5).alias("v"), "id")
+    got = ranking.average_ranks(df, ["g"], {"v": "rank"}, 1_000)
+    pdf = got.orderBy("id").toPandas()
+    assert np.allclose(pdf["rank"], pdf["v"].rank())
+    assert "_salt" in plan(got)
 
 
 def test_numbering_without_a_series_sort(spark):
