@@ -26,23 +26,28 @@ def day_bars(minute: DataFrame) -> DataFrame:
         F.max_by("close", "dt").alias("close"), F.sum("volume").alias("volume"))
 
 
-def history(bars: DataFrame, ticker: str, limit: int = 100, rows_per_day: float | None = 1.5) -> DataFrame:
-    """A ticker's newest ``limit`` daily bars, rolled up when it has more than ``rows_per_day`` rows a day.
+def history(bars: DataFrame, ticker: str, limit: int = 100, rows_per_day: float | None = None) -> DataFrame:
+    """A ticker's newest ``limit`` rows of a daily, weekly or minute table, newest first.
 
-    With ``rows_per_day=None`` the rows are returned as they are.
+    With ``rows_per_day`` a table of dates is rolled up to one bar a day where the ticker has more rows a day than that on average; open and close are by
+    ``dt`` where the table has it, and ``ret_d`` and ``abs_ret_d`` are those of the day's last row.
     """
+    day = next(c for c in ("date", "week_start") if c in bars.columns)
     mine = bars.filter(F.col("ticker") == ticker)
-    if rows_per_day is None:
-        return mine.orderBy(F.desc("date")).limit(limit)
+    newest = [F.desc(day), *([F.desc("dt")] if "dt" in bars.columns else [])]
+    if rows_per_day is None or day != "date":
+        return mine.orderBy(*newest).limit(limit)
+    at = "dt" if "dt" in bars.columns else "date"
+    extra = [c for c in ("ret_d", "abs_ret_d") if c in bars.columns]
     rolled = mine.groupBy("ticker", "date").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.min_by("open", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "dt").alias("close"), F.sum("volume").alias("volume"))
+        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"), *[F.max_by(c, at).alias(c) for c in extra])
     # the ticker's days are few (see functions.frames), its raw rows may be many
     rolled = rolled.withColumn("_density", F.avg("_rows").over(DAILY.whole()))
     dense = rolled.filter(F.col("_density") > rows_per_day)
     thin = mine.join(rolled.filter(F.col("_density") <= rows_per_day), ["ticker", "date"], "left_semi")
-    columns = ["ticker", "date", "open", "high", "low", "close", "volume"]
+    columns = ["ticker", "date", "open", "high", "low", "close", "volume", *extra]
     return dense.select(*columns).unionByName(thin.select(*columns)).orderBy(F.desc("date")).limit(limit)
 
 

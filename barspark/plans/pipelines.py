@@ -5,6 +5,7 @@ the hand-off and no step holds data on the driver.  Layout under ``root``:
 
     daily_all, weekly_all, daily_prefiltered, minute, minute_features, macd_day_features,
     events, technical_features, scoring_index, daily_filtered_scored   (all ``.parquet`` or folders)
+    commits/<table>: the dates that are finished, see ``sources.increments``
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import indicators, intraday, labels, macd, returns, scoring, screens
-from ..sources import bars as feeds, datasets, sinks
+from ..sources import bars as feeds, increments, sinks
 
 YEAR_MONTH = ("year", "month")
 
@@ -50,29 +51,34 @@ def build_prefiltered(spark: SparkSession, root: str, price_min: float = 1.0, pr
     sinks.write_parquet(df, f"{root}/daily_prefiltered.parquet", YEAR_MONTH)
 
 
-def _pending(spark: SparkSession, root: str, source: DataFrame, target: str) -> DataFrame:
-    """Source rows of dates the target table does not have yet."""
-    done = datasets.read_if_there(spark, f"{root}/{target}.parquet")
-    return source if done is None else datasets.not_yet_done(source, done)
+def _increment(spark: SparkSession, root: str, target: str, write: Callable[[DataFrame], None]) -> None:
+    """Computes the dates of the minute table that the log of a target lacks, or has with another content."""
+    increments.run(spark, f"{root}/minute.parquet", f"{root}/{target}.parquet", f"{root}/commits/{target}", write)
 
 
 def build_minute_features(spark: SparkSession, root: str, band: tuple[float, float] | None = (1.0, 9.99),
                           days: int = 20) -> None:
     """Only dates without features are computed; the daily table supplies the volume history."""
-    minute = _pending(spark, root, _read(spark, root, "minute"), "minute_features")
-    out = intraday.minute_features(minute, _read(spark, root, "daily_all"), days, band)
-    sinks.write_parquet(_with_year_month(out), f"{root}/minute_features.parquet", ("date",), tradable=False)
+    def write(minute: DataFrame) -> None:
+        out = intraday.minute_features(minute, _read(spark, root, "daily_all"), days, band)
+        sinks.write_parquet(_with_year_month(out), f"{root}/minute_features.parquet", ("date",), tradable=False)
+
+    _increment(spark, root, "minute_features", write)
 
 
 def build_macd_day(spark: SparkSession, root: str) -> None:
-    minute = _pending(spark, root, _read(spark, root, "minute"), "macd_day_features")
-    out = macd.daily_macd_features(minute, intraday.resample(minute))
-    sinks.write_parquet(_with_year_month(out), f"{root}/macd_day_features.parquet", ("date",), tradable=False)
+    def write(minute: DataFrame) -> None:
+        out = macd.daily_macd_features(minute, intraday.resample(minute))
+        sinks.write_parquet(_with_year_month(out), f"{root}/macd_day_features.parquet", ("date",), tradable=False)
+
+    _increment(spark, root, "macd_day_features", write)
 
 
 def build_events(spark: SparkSession, root: str, move: float = 0.008, ahead: int = 30) -> None:
-    minute = _pending(spark, root, _read(spark, root, "minute"), "events")
-    sinks.write_by_date(labels.macd_events(minute, intraday.resample(minute), move, ahead), f"{root}/events.parquet")
+    def write(minute: DataFrame) -> None:
+        sinks.write_by_date(labels.macd_events(minute, intraday.resample(minute), move, ahead), f"{root}/events.parquet")
+
+    _increment(spark, root, "events", write)
 
 
 def build_technical(spark: SparkSession, root: str) -> None:

@@ -8,7 +8,7 @@ from ..functions.numeric import rounded
 from ..functions.predicates import apply_filters
 from ..functions.tickers import is_tradable, tradable_only, with_chart_links
 from ..operators import intraday, labels, returns, screens
-from ..sources import bars as feeds, datasets, sinks
+from ..sources import bars as feeds, datasets, increments, sinks
 from ..sources.folders import work_folder
 from .oracle import check
 from .tables import (BARS, FIVES, MINUTES, RETS, bars_daily as daily, bars_minute as minute, table)
@@ -67,6 +67,37 @@ def raw_minutes(s, d, broken: bool = False) -> DataFrame:
                      F.col("user_id").cast("string").alias("volume"))
 
 
+def as_files(s, raw: DataFrame, name: str) -> str:
+    """A feed as gzip CSV files of two layouts: the published order, and another one with the other names and a further column."""
+    folder = work_folder(s, name)
+    rows = raw.withColumnsRenamed({a: n for a, n in feeds.ALIASES.items() if a in raw.columns}).withColumn("half", F.pmod(F.xxhash64("ticker", "window_start"), F.lit(2)))
+    first = rows.filter("half = 0").select("ticker", "volume", "open", "close", "high", "low", "window_start")
+    other = rows.filter("half = 1").select("low", "close", F.lit("x").alias("note"), F.col("window_start").alias("timestamp"), "high", "volume", F.col("ticker").alias("symbol"), "open")
+    first.write.csv(f"{folder}/2024", header=True, compression="gzip")
+    other.write.csv(f"{folder}/2025/late [2]", header=True, compression="gzip")
+    return folder
+
+
+def read_files(s, raw: DataFrame, name: str, lenient: bool = False) -> DataFrame:
+    return feeds.read_feed(s, as_files(s, raw, name), lenient)
+
+
+def minutes_as_feed(s, d) -> DataFrame:
+    """Minute bars in the shape of the feed."""
+    return minute(s, d).select("ticker", (F.unix_micros("dt") * 1000).cast("string").alias("window_start"), *[F.col(c).cast("string").alias(c) for c in (*feeds.PRICES, "volume")])
+
+
+def _increments(s, d):
+    """Days summed up from a minute table that grows: two deliveries, and a third run with nothing to do."""
+    root = work_folder(s, "increments")
+    source, target, log = f"{root}/minute", f"{root}/days", f"{root}/commits"
+    bars = minute(s, d)
+    for number, some in enumerate((F.dayofmonth("date") <= 15, F.dayofmonth("date") > 15, F.lit(False))):
+        sinks.write_by_date(bars.filter(some), source)
+        increments.run(s, source, target, log, lambda part: sinks.write_by_date(intraday.day_bars(part).withColumn("run", F.lit(number + 1)), target))  # noqa: B023
+    return s.read.parquet(target).groupBy("date", "run").agg(F.count(F.lit(1)).alias("tickers"), F.sum("volume").alias("volume"))
+
+
 RAW_MINUTES = """raw AS (SELECT upper(event_type) AS ticker, date_trunc('minute', ts) AS dt, value, user_id AS volume FROM events)"""
 READABLE = "readable AS (SELECT * FROM raw WHERE ticker <> 'ERROR')"
 
@@ -202,30 +233,30 @@ def _exported(s, d, kind):
 QUERIES = {
     # --- sources -----------------------------------------------------------------
     "src1_daily_feed": (
-        lambda s, d: feeds.daily_bars(raw_feed(s, d)).drop("open", "high", "low"),
+        lambda s, d: feeds.daily_bars(read_files(s, raw_feed(s, d), "daily-feed")).drop("open", "high", "low"),
         """SELECT CAST(l_shipdate AS DATE) AS date, concat('S', l_suppkey) AS ticker, floor(l_extendedprice) AS close,
            CAST(l_quantity AS BIGINT) AS volume, CAST(year(l_shipdate) AS INTEGER) AS year,
            CAST(month(l_shipdate) AS INTEGER) AS month FROM lineitem"""),
     "src2_minute_feed": (
-        lambda s, d: feeds.minute_bars(raw_minutes(s, d))
+        lambda s, d: feeds.minute_bars(read_files(s, raw_minutes(s, d), "minute-feed"))
         .groupBy("ticker", "date", "hour").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"),
                                                F.max("minute").alias("last_minute")),
         f"""WITH {RAW_MINUTES} SELECT ticker, CAST(dt AS DATE) AS date, CAST(hour(dt) AS INTEGER) AS hour,
             count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume, CAST(max(minute(dt)) AS INTEGER) AS last_minute
             FROM raw GROUP BY 1, 2, 3"""),
     "src3_lenient_day_reader": (
-        lambda s, d: rounded(feeds.minute_bars(raw_minutes(s, d, True), lenient=True, tradable=True)
+        lambda s, d: rounded(feeds.minute_bars(read_files(s, raw_minutes(s, d, True), "lenient-feed", True), lenient=True, tradable=True)
                              .groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("bars"),
                                                             F.max("close").alias("top"))),
         f"""WITH {RAW_MINUTES}, {READABLE} SELECT ticker, CAST(dt AS DATE) AS date, count(*) AS bars, round(max(value), 6) AS top
             FROM readable WHERE {tradable_sql('ticker')} GROUP BY 1, 2"""),
     "src4_minute_scan_years": (
-        lambda s, d: feeds.minute_bars(raw_minutes(s, d, True), lenient=True).groupBy("ticker", "year", "month")
+        lambda s, d: feeds.minute_bars(read_files(s, raw_minutes(s, d, True), "years-feed", True), lenient=True).groupBy("ticker", "year", "month")
         .agg(F.count(F.lit(1)).alias("bars"), F.min("dt").alias("first_dt")),
         f"""WITH {RAW_MINUTES}, {READABLE} SELECT ticker, CAST(year(dt) AS INTEGER) AS year, CAST(month(dt) AS INTEGER) AS month,
             count(*) AS bars, min(dt) AS first_dt FROM readable GROUP BY 1, 2, 3"""),
     "src5_minute_ohlcv_scan": (
-        lambda s, d: rounded(minute(s, d).select("ticker", "dt", "date", "open", "high", "low", "close", "volume")),
+        lambda s, d: rounded(feeds.minute_bars(read_files(s, minutes_as_feed(s, d), "ohlcv-feed")).select("ticker", "dt", "date", "open", "high", "low", "close", "volume")),
         check([MINUTES], "SELECT * FROM mins", "ticker dt date volume", "open high low close")),
     "src6_table_scan": (
         lambda s, d: feeds.read_tables(s, [f"{d}/nation.parquet"]),
@@ -249,6 +280,10 @@ QUERIES = {
             table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"))),
         f"""WITH {BARS} SELECT date, count(*) AS bars FROM bars
             WHERE date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders) GROUP BY date"""),
+    "src10_increments": (
+        _increments,
+        f"""WITH {MINUTES} SELECT date, CAST(CASE WHEN day(date) <= 15 THEN 1 ELSE 2 END AS INTEGER) AS run, count(DISTINCT ticker) AS tickers,
+            CAST(sum(volume) AS BIGINT) AS volume FROM mins GROUP BY 1, 2"""),
     "src10_needs_rebuild": (
         lambda s, d: datasets.needs_rebuild(daily(s, d), table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"))),
         f"""WITH {BARS} SELECT a AS input_date, b AS output_date, a > b AS rebuild FROM
@@ -375,9 +410,17 @@ QUERIES = {
         lambda s, d: rounded(intraday.resample(minute(s, d))),
         check([MINUTES, FIVES], "SELECT * FROM fives", "ticker dt date volume", "open high low close")),
     "agg3_ticker_history": (
-        lambda s, d: rounded(intraday.history(minute(s, d), "click", 20)),
+        lambda s, d: rounded(intraday.history(minute(s, d), "click", 20, 1.5)),
         check([MINUTES, DAYBARS], "SELECT * FROM days WHERE ticker = 'click' ORDER BY date DESC LIMIT 20",
               "ticker date volume", "open high low close")),
+    "agg3_daily_history": (
+        lambda s, d: rounded(intraday.history(with_returns(s, d), "S7", 50, 1.5)),
+        check([BARS, DERIVED], "SELECT * FROM derived WHERE ticker = 'S7' ORDER BY date DESC LIMIT 50",
+              "ticker date volume", "open high low close ret_d abs_ret_d")),
+    "agg3_weekly_history": (
+        lambda s, d: rounded(intraday.history(returns.weekly_returns(daily(s, d)), "S7", 30)),
+        check([BARS, WEEKS], "SELECT * FROM weeks WHERE ticker = 'S7' ORDER BY week_start DESC LIMIT 30",
+              "ticker week_start year week", "close_w ret_w abs_ret_w abs_change_w")),
     "agg3_day_bars": (
         lambda s, d: rounded(intraday.day_bars(minute(s, d))),
         check([MINUTES, DAYBARS], "SELECT * FROM days", "ticker date volume", "open high low close")),

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.tickers import tradable_only
@@ -51,46 +53,84 @@ def normalise(raw: DataFrame, unit: str = "ns", lenient: bool = False) -> DataFr
     return df.withColumn("dt", epoch_to_timestamp(F.col("window_start"), unit))
 
 
-def _layouts(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """The files under some paths, those with the same header together."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").text(paths)
-             .select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("_at", F.monotonically_increasing_id()))
-    first = (lines.filter((F.col("file_block_start") == 0) & (F.trim("value") != ""))
-             .groupBy("file_path").agg(F.min_by("value", "_at").alias("header")))
-    files = defaultdict(list)
-    for row in first.orderBy("file_path").collect():
-        # a file's name is no pattern
-        files[row["header"].strip()].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["file_path"])))
-    return list(files.values())
+#: Bytes of a file within which its header has to end, and files that are looked at together.
+_HEADER_BYTES, _TOGETHER = 1 << 16, 16
+#: Columns that a feed file must have.
+REQUIRED = ("ticker", "window_start", *PRICES, "volume")
 
 
-def read_feed(spark: SparkSession, path: str | Sequence[str], lenient: bool = False) -> DataFrame:
-    """Raw CSV rows as strings; no type inference pass.
+def _header(spark: SparkSession, name: str) -> str:
+    """The first line with text in the first block of a file, read through the file system and codec that Spark itself uses."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        opened = codec.createInputStream(stream) if codec else stream
+        some = jvm.com.google.common.io.ByteStreams.limit(opened, _HEADER_BYTES)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(some, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+        return (line or "").removeprefix("\ufeff").strip()
+    finally:
+        stream.close()
+
+
+def headers(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """The header of each file ("" of an empty or unreadable one); one short read of each file, several at a time."""
+    def read(name: str) -> str:
+        try:
+            return _header(spark, name)
+        except Py4JJavaError:
+            return ""
+
+    with ThreadPoolExecutor(_TOGETHER) as pool:
+        return dict(zip(files, pool.map(read, files)))
+
+
+def columns_of(header: str) -> list[str]:
+    """Names in a header, known by their usual names."""
+    names = [n.strip().strip('"') for n in header.split(",")]
+    return [ALIASES[n] if n in ALIASES and ALIASES[n] not in names else n for n in names]
+
 
-    One pass over the lines finds each file's header. Files of several layouts are read layout by layout and put together by the
-    known names of their columns; a further column is NULL where a layout lacks it, a missing feed column raises.
+def read_files(spark: SparkSession, files: Sequence[str], lenient: bool = False, known: dict[str, str] | None = None) -> DataFrame:
+    """CSV files as rows of strings, each layout by its own header and all put together by the known names of their columns.
+
+    A further column is NULL where a layout lacks it; a feed column that only some layouts have raises. ``known`` has headers read before.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = (spark.read
-              .option("header", True)
-              .option("enforceSchema", False)
-              .option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "*.csv*")
+    known = known if known is not None else headers(spark, files)
+    layouts = defaultdict(list)
+    for name in sorted(files):
+        layouts[known[name]].append(name)
+    feed = {c for header in layouts for c in columns_of(header)} & set(REQUIRED)
+    reader = (spark.read.option("header", True).option("enforceSchema", False)
               .option("mode", "PERMISSIVE" if lenient else "FAILFAST"))
-    layouts = _layouts(spark, paths)
-    if len(layouts) < 2:
-        return reader.csv(paths)
     parts = []
-    for files in layouts:
-        raw = reader.csv(files)
+    for header, names in layouts.items():
+        if lacks := sorted(feed - set(columns_of(header))):
+            raise ValueError(f"{names[0]} lacks the columns {lacks} of other files")
+        # a file's name is no pattern
+        raw = reader.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names])
         parts.append(raw.withColumnsRenamed({a: n for a, n in ALIASES.items() if a in raw.columns and n not in raw.columns}))
-    known = {c for part in parts for c in part.columns} & {f.name for f in FEED_SCHEMA}
-    for part, files in zip(parts, layouts):
-        if lacks := sorted(known - set(part.columns)):
-            raise ValueError(f"{files[0]} lacks the columns {lacks} of other files")
     return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
 
 
+def feed_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Names of the CSV files under some paths; nothing is read."""
+    listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").text([path] if isinstance(path, str) else list(path))
+    return [unquote(f) for f in listed.inputFiles()]
+
+
+def read_feed(spark: SparkSession, path: str | Sequence[str], lenient: bool = False) -> DataFrame:
+    """Raw CSV rows as strings; no type inference pass and no pass over the rows to find the layouts, see :func:`read_files`."""
+    files = feed_files(spark, path)
+    if not files:
+        raise FileNotFoundError(f"no CSV file under {path}")
+    return read_files(spark, files, lenient)
+
+
 def daily_bars(raw: DataFrame, unit: str = "ns") -> DataFrame:
     df = normalise(raw, unit).withColumn("date", F.to_date("dt"))
     keep = [c for c in ("date", "ticker", *PRICES, "volume") if c in df.columns]

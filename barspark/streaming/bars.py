@@ -18,25 +18,49 @@ from ..sources import bars as feeds
 from ..sources.sinks import write_by_date
 
 
-def feed_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """New CSV files of the flat-file feed, all columns as text."""
-    return (spark.readStream.schema(feeds.FEED_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.csv*").option("maxFilesPerTrigger", files_per_batch).csv(path))
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+REJECTED_SCHEMA = "path string, header string, reason string, batch long"
+
+
+def feed_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The names of new CSV files of the flat-file feed as they come; their content is not read."""
+    return (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.csv*").option("maxFilesPerTrigger", files_per_batch).load(path).select("path"))
+
+
+def _unfit(header: str) -> str | None:
+    """Why a file cannot be read by its header."""
+    names = feeds.columns_of(header)
+    if not header:
+        return "no readable header"
+    if lacks := sorted(set(feeds.REQUIRED) - set(names)):
+        return f"lacks {', '.join(lacks)}"
+    return "repeats a column" if len({n.lower() for n in names}) < len(names) else None
 
 
 def ingest_days(spark: SparkSession, source: str, target: str, checkpoint: str, unit: str = "ns",
-                files_per_batch: int = 100) -> None:
+                files_per_batch: int = 100, rejected: str | None = None) -> None:
     """Append new feed files to a minute table in folders ``date=…/batch=…``.
 
-    A batch that is retried after a failure replaces what it wrote before and nothing
-    else, so files of one date may arrive in any number of batches.
+    The stream is one of file names. Every batch looks at the headers of its files and reads them layout by layout, columns by name; files
+    that lack a feed column or have no readable header are set aside: their names, headers and reasons go to ``rejected`` (beside the target
+    unless given), in a folder for each batch. A batch that is retried after a failure replaces what it wrote before and nothing else, so files of one date
+    may arrive in any number of batches.
     """
-    stream = feed_stream(spark, source, files_per_batch)
+    aside = rejected or f"{target.rstrip('/')}_rejected"
 
     def write(batch: DataFrame, number: int) -> None:
-        write_by_date(feeds.minute_bars(batch, unit, lenient=True, tradable=True), target, batch=number)
-
-    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        known = feeds.headers(spark, [r["path"] for r in batch.collect()])  # files_per_batch at most
+        unfit = {name: reason for name, header in known.items() if (reason := _unfit(header))}
+        if unfit:
+            rows = [(name, known[name], reason, number) for name, reason in sorted(unfit.items())]
+            spark.createDataFrame(rows, REJECTED_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{aside}/batch={number}")
+        files = [name for name in known if name not in unfit]
+        if files:
+            raw = feeds.read_files(spark, files, lenient=True, known=known)
+            write_by_date(feeds.minute_bars(raw, unit, lenient=True, tradable=True), target, batch=number)
+
+    query = (feed_files(spark, source, files_per_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
 

@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.sources import bars as feeds, datasets, sinks
+from barspark.sources import bars as feeds, datasets, increments, sinks
 from barspark.sources.folders import work_folder
 from barspark.streaming import bars as streams
 
@@ -50,6 +50,68 @@ def test_feed_of_mixed_layouts(spark, tmp_path):
         feeds.read_feed(spark, str(tmp_path))
 
 
+def test_headers_are_read_from_the_first_block_only(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("\n \n\ufeffticker,volume\n" + "A,1\n" * 400_000)
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "broken.csv.gz").write_bytes(b"no gzip")
+    (tmp_path / "one line.csv").write_text("x" * 1_000_000)
+    files = feeds.feed_files(spark, str(tmp_path))
+    assert len(files) == 4
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = {name.rpartition("/")[2]: header for name, header in feeds.headers(spark, files).items()}
+    assert got == {"long.csv": "ticker,volume", "none.csv": "", "broken.csv.gz": "", "one line.csv": "x" * 65_536}
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before  # no pass over rows
+
+
+def test_the_published_column_order_is_read_by_name(spark, tmp_path):
+    write_feed(tmp_path, "2024-01-02", [("A", 10, 200.05, 200.1, 200.63, 200.01, T0)], "ticker,volume,open,close,high,low,window_start")
+    target = str(tmp_path / "out")
+    streams.ingest_days(spark, str(tmp_path), target, str(tmp_path / "cp"))
+    r = spark.read.parquet(target).first()
+    assert (r["open"], r["close"], r["high"], r["low"]) == (200.05, 200.1, 200.63, 200.01)
+
+
+def test_ingest_of_mixed_layouts_sets_unfit_files_aside(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    write_feed(source, "2024-01-02", [("A", 10, 1, 4, 0.5, 1.5, T0)])
+    write_feed(source / "sub [1]", "2024-01-03", [(1.5, 0.5, 4, 1, "B", T1, 10, "x"), (1.5, 0.5, 4, 1, "C", "oops", 10, "x")], "close,low,high,open,symbol,timestamp,volume,note")
+    write_feed(source, "2024-01-04", [("C", 1, T0)], "ticker,close,window_start")
+    (source / "blank.csv").write_text("\n \n")
+    (source / "broken.csv.gz").write_bytes(b"no gzip")
+    for _ in range(2):
+        streams.ingest_days(spark, str(source), target, str(tmp_path / "cp"))
+    rows = spark.read.parquet(target).orderBy("ticker").collect()
+    assert [(r["ticker"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows] == [(t, 1.0, 4.0, 0.5, 1.5, 10) for t in "AB"]
+    aside = {r["path"].rpartition("/")[2]: r["reason"] for r in spark.read.schema(streams.REJECTED_SCHEMA).json(f"{target}_rejected/*").collect()}
+    assert aside == {"2024-01-04.csv.gz": "lacks high, low, open, volume", "blank.csv": "no readable header", "broken.csv.gz": "no readable header"}
+
+
+def test_increments_read_new_dates_only(spark, tmp_path):
+    source, target, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    def rows(d, n, price=1.0):
+        return spark.range(n).select(F.lit("A").alias("ticker"), F.lit(d).cast("date").alias("date"), (F.col("id") + price).alias("x"))
+    seen = []
+    def step(part):
+        seen.append((part.inputFiles(), part._jdf.queryExecution().executedPlan().toString()))
+        sinks.write_by_date(part.filter("x > 1"), target)  # a date of one row gives no output
+    sinks.write_by_date(rows("2024-01-01", 5).union(rows("2024-01-02", 1)), source)
+    assert [str(d) for d in increments.run(spark, source, target, log, step)] == ["2024-01-01", "2024-01-02"]
+    assert increments.run(spark, source, target, log, step) == [] and len(seen) == 1
+    sinks.write_by_date(rows("2024-01-03", 4), source)
+    assert [str(d) for d in increments.run(spark, source, target, log, step)] == ["2024-01-03"]
+    files, plan = seen[-1]
+    assert files and all("date=2024-01-03" in f for f in files) and "PartitionFilters: [isnotnull(date" in plan
+    # a date with another content is done again, and what it had before goes
+    sinks.write_by_date(rows("2024-01-01", 1), source)
+    assert [str(d) for d in increments.run(spark, source, target, log, step)] == ["2024-01-01"]
+    assert {str(r["date"]): r["count"] for r in spark.read.parquet(target).groupBy("date").count().collect()} == {"2024-01-03": 3}
+    # a run that fails is done again
+    sinks.write_by_date(rows("2024-01-04", 4), source)
+    with pytest.raises(RuntimeError):
+        increments.run(spark, source, target, log, lambda part: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert [str(d) for d in increments.run(spark, source, target, log, step)] == ["2024-01-04"]
+
+
 def test_registry_falls_back_and_rejects(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "old"))
     names = datasets.Datasets({"x": [str(tmp_path / "new"), str(tmp_path / "old")], "none": [str(tmp_path / "no")]})
