@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import DAILY, Series
 from ..functions.numeric import TRADING_DAYS, ratio
-from ..functions.student import p_value, t_975, two_sided
+from ..functions.student import p_value, t_975
 
 MIN_ROWS = 30
 
@@ -104,7 +104,7 @@ def capm_report(pairs: DataFrame, rows: int = 60, inference: bool = True) -> Dat
 
 
 _FIT_SCHEMA = ("ticker string, model string, n_observations long, term string, coefficient double, std_error double, "
-               "t_stat double, p_value double, r_squared double, adj_r_squared double")
+               "t_stat double, r_squared double, adj_r_squared double")
 
 
 def _solver(model: str, names: tuple[str, ...]):
@@ -139,7 +139,7 @@ def _solver(model: str, names: tuple[str, ...]):
                     yield pd.DataFrame({
                         "ticker": b["ticker"], "model": model, "n_observations": b["n"], "term": term,
                         "coefficient": coefficient, "std_error": error, "t_stat": t,
-                        "p_value": two_sided(t, freedom), "r_squared": r2, "adj_r_squared": adjusted})
+                        "r_squared": r2, "adj_r_squared": adjusted})
 
     return solve
 
@@ -163,7 +163,10 @@ def factor_exposures(returns: DataFrame, factors: DataFrame, model: str = "3-fac
         aggs += [F.avg(a).alias(f"m_{i}"), F.covar_pop("y", a).alias(f"y_{i}")]
         aggs += [F.covar_pop(a, names[j]).alias(f"c_{i}_{j}") for j in range(i, len(names))]
     moments = df.groupBy("ticker").agg(*aggs).filter(F.col("n") >= MIN_ROWS)
-    return moments.mapInPandas(_solver(model, names), _FIT_SCHEMA)
+    fits = moments.mapInPandas(_solver(model, names), _FIT_SCHEMA)
+    # NaN (no freedom, singular systems) has no tail
+    tail = p_value(F.col("t_stat"), F.col("n_observations") - (len(names) + 1))
+    return fits.select(*fits.columns[:7], tail.alias("p_value"), *fits.columns[7:])
 
 
 def factor_report(exposures: DataFrame) -> DataFrame:

@@ -130,25 +130,30 @@ def against_benchmark(returns: DataFrame, benchmark: DataFrame, risk_free: float
         "correlation", "benchmark_sharpe")
 
 
+def on_common_dates(returns: DataFrame, series: Series = DAILY) -> DataFrame:
+    """The returns of the dates on which every asset has one."""
+    assets = returns.agg(F.countDistinct("ticker")).scalar()
+    dates = (returns.groupBy(series.order).agg(F.count("ret").alias("_n")).filter(F.col("_n") == assets).select(series.order))
+    return returns.join(dates, series.order, "left_semi")
+
+
 def portfolio_returns(returns: DataFrame, weights: DataFrame | None = None, series: Series = DAILY) -> DataFrame:
-    """Daily return of constant weights (equal unless given as ticker, weight).
+    """Daily return of constant weights (equal unless given as ticker, weight; assets without one weigh nothing).
 
     A date on which any asset has no return is left out.
     """
+    common = on_common_dates(returns, series)
+    value = F.avg("ret")
     if weights is not None:
-        returns = returns.join(weights, "ticker")
-        value = F.sum(F.col("ret") * F.col("weight"))
-    else:
-        value = F.avg("ret")
-    assets = returns.agg(F.countDistinct("ticker")).scalar()
-    return (returns.groupBy(series.order).agg(value.alias("ret"), F.count("ret").alias("_n"))
-            .filter(F.col("_n") == assets)
-            .select(F.lit("portfolio").alias("ticker"), series.order, "ret"))
+        common = common.join(weights.select("ticker", "weight"), "ticker", "left")
+        value = F.coalesce(F.sum(F.col("ret") * F.col("weight")), F.lit(0.0))
+    return common.groupBy(series.order).agg(value.alias("ret")).select(F.lit("portfolio").alias("ticker"), series.order, "ret")
 
 
 def asset_report(returns: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    out = report(returns).select("ticker", "total_return", "sharpe_ratio", "max_drawdown")
+    """Figures of each asset over the dates that all of them share, and its weight (0 without one)."""
+    out = report(on_common_dates(returns)).select("ticker", "total_return", "sharpe_ratio", "max_drawdown")
     if weights is not None:
-        return out.join(weights, "ticker", "left")
+        return out.join(weights.select("ticker", "weight"), "ticker", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     assets = returns.agg(F.countDistinct("ticker")).scalar()
     return out.withColumn("weight", ratio(F.lit(1.0), assets))

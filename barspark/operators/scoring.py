@@ -10,12 +10,13 @@ range rows     all                            high > 0 and low > 0
 median         interpolated                   upper middle value
 mean range 0   variation 1.0                  variation 0.0
 volumes        as they are                    truncated to whole shares
+missing bound  0 below and 100 above          a comparison with the other bound
 ============== ============================== ==============================
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
 
@@ -35,6 +36,7 @@ MIN_DAYS = 60
 MIN_AVG_VOLUME = 750_000
 MIN_AVG_VOLUME_SQL = 100_000
 MAX_PRICE = 8.0
+SQL_BOUNDS = (0.0, 100.0)
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,11 @@ def is_default(criteria, months_back: int = MONTHS_BACK, min_days: int = MIN_DAY
             and (months_back, min_days) == (MONTHS_BACK, MIN_DAYS))
 
 
-def normalised(c: Criterion, value: Column) -> Column:
+def normalised(c: Criterion, value: Column, dialect: str = "metrics") -> Column:
     """The criterion value on a 0..1 scale; NULL stays NULL."""
+    if dialect == "sql":
+        low, high = SQL_BOUNDS
+        c = replace(c, min_value=low if c.min_value is None else c.min_value, max_value=high if c.max_value is None else c.max_value)
     if c.min_value is not None and c.max_value is not None:
         if c.max_value > c.min_value:
             x = (value - F.lit(c.min_value)) / F.lit(c.max_value - c.min_value)
@@ -81,16 +86,16 @@ def normalised(c: Criterion, value: Column) -> Column:
     return F.when(value.isNotNull(), x)
 
 
-def score(metrics: DataFrame, criteria=DEFAULT_CRITERIA) -> DataFrame:
+def score(metrics: DataFrame, criteria=DEFAULT_CRITERIA, dialect: str = "metrics") -> DataFrame:
     """Add ``total_score`` and, per criterion, a struct of value, normalised value and score."""
     names = [c.name for c in criteria if c.name in metrics.columns]
     used = [c for c in criteria if c.name in names]
     parts, structs = [], []
     for c in used:
         value = F.col(c.name).cast("double")
-        points = normalised(c, value) * F.lit(float(c.weight))
+        points = normalised(c, value, dialect) * F.lit(float(c.weight))
         parts.append(F.coalesce(points, F.lit(0.0)))
-        structs.append(F.struct(value.alias("value"), normalised(c, value).alias("normalized"),
+        structs.append(F.struct(value.alias("value"), normalised(c, value, dialect).alias("normalized"),
                                 points.alias("score")).alias(c.name))
     total = reduce(add, parts) if parts else F.lit(0.0)
     out = metrics.withColumn("total_score", total)
@@ -216,7 +221,7 @@ def rank_tickers(daily: DataFrame, as_of: Column, months_back: int = MONTHS_BACK
     m = _price_between(m, min_price, max_price)
     if tradability_first and limit is not None:
         m = m.orderBy(F.desc("tradability_score"), F.desc("avg_volume"), "ticker").limit(limit)
-    ranked = score(m, criteria).orderBy(F.desc("total_score"), "ticker")
+    ranked = score(m, criteria, "sql").orderBy(F.desc("total_score"), "ticker")
     return ranked if limit is None or tradability_first else ranked.limit(limit)
 
 

@@ -8,11 +8,12 @@ while invested and an exit while flat do nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ewm import ewm
+from ..functions.ewm import ewm, ewm_short, width
 from ..functions.frames import DAILY, Series, previous
 from ..functions.numeric import ratio
 from . import indicators, risk
@@ -114,7 +115,84 @@ def run_strategy(daily: DataFrame, name: str, fee: float = FEE, slippage: float
 
 # --- walk-forward -------------------------------------------------------------------
 
-_SLICE = DAILY.with_keys("window", "phase", "param")
+_SLICE = ("window", "phase")
+_NUMBERED = "{}_{}".format
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """A strategy whose parameters can be searched.
+
+    ``signals(df, series, sets)`` adds ``entry_<i>`` and ``exit_<i>`` for every set of parameters; what several sets have in common is
+    computed once.
+    """
+
+    parameters: tuple[str, ...]
+    signals: Callable[[DataFrame, Series, Sequence[dict]], DataFrame]
+
+
+def _smoothed(df: DataFrame, means: dict[str, tuple[Column, float]], series: Series) -> DataFrame:
+    """One running sum for spans of which a block covers the series, block sums for the others (short spans in long slices)."""
+    short = {n: m for n, m in means.items() if m[1] <= 1 or width(m[1]) >= series.max_rows}
+    df = ewm_short(df, short, series) if short else df
+    rest = {n: m for n, m in means.items() if n not in short}
+    return ewm(df, rest, series) if rest else df
+
+
+def _macd_sets(df: DataFrame, series: Series, sets: Sequence[dict]) -> DataFrame:
+    """The grid as a prefix tree: spans of the close, lines of two spans, signals of a line; each is smoothed once."""
+    had = df.columns
+    spans = sorted({v for s in sets for v in (s["fast"], s["slow"])})
+    lines = sorted({(s["fast"], s["slow"]) for s in sets})
+    leaves = sorted({(s["fast"], s["slow"], s["signal"]) for s in sets})
+    df = _smoothed(df, {f"_e{spans.index(v)}": (F.col("close"), v) for v in spans}, series)
+    df = df.withColumns({f"_l{i}": F.col(f"_e{spans.index(f)}") - F.col(f"_e{spans.index(w)}") for i, (f, w) in enumerate(lines)})
+    df = _smoothed(df, {f"_g{i}": (F.col(f"_l{lines.index((f, w))}"), g) for i, (f, w, g) in enumerate(leaves)}, series)
+    df = df.withColumns({f"_h{i}": F.col(f"_l{lines.index((f, w))}") - F.col(f"_g{i}") for i, (f, w, _) in enumerate(leaves)})
+    df = df.withColumns({f"_b{i}": previous(f"_h{i}", series) for i in range(len(leaves))})
+    out = {}
+    for n, s in enumerate(sets):
+        i = leaves.index((s["fast"], s["slow"], s["signal"]))
+        out[_NUMBERED("entry", n)] = F.coalesce((F.col(f"_b{i}") <= 0) & (F.col(f"_h{i}") > 0), F.lit(False))
+        out[_NUMBERED("exit", n)] = F.coalesce((F.col(f"_b{i}") >= 0) & (F.col(f"_h{i}") < 0), F.lit(False))
+    return df.withColumns(out).select(*had, *out)
+
+
+def _rsi_sets(df: DataFrame, series: Series, sets: Sequence[dict]) -> DataFrame:
+    """Each period's index once, thresholds on it."""
+    had, periods = df.columns, sorted({s["period"] for s in sets})
+    for p in periods:
+        df = indicators.rsi(df, p, series).withColumnRenamed(f"rsi_{p}", f"_rsi{p}")
+    df = df.withColumns({f"_was{p}": previous(f"_rsi{p}", series) for p in periods})
+    out = {}
+    for n, s in enumerate(sets):
+        now, was = F.col(f"_rsi{s['period']}"), F.col(f"_was{s['period']}")
+        out[_NUMBERED("entry", n)] = F.coalesce((now < s["oversold"]) & (was >= s["oversold"]), F.lit(False))
+        out[_NUMBERED("exit", n)] = F.coalesce((now > s["overbought"]) & (was <= s["overbought"]), F.lit(False))
+    return df.withColumns(out).select(*had, *out)
+
+
+def searched(make: Callable[..., DataFrame], parameters: Sequence[str]) -> Strategy:
+    """Any function (df, series, **parameters) that adds ``entry`` and ``exit``."""
+    def sets_of(df: DataFrame, series: Series, sets: Sequence[dict]) -> DataFrame:
+        for n, s in enumerate(sets):
+            kept = df.columns
+            df = make(df, series, **s).select(*kept, F.col("entry").alias(_NUMBERED("entry", n)), F.col("exit").alias(_NUMBERED("exit", n)))
+        return df
+
+    return Strategy(tuple(parameters), sets_of)
+
+
+SEARCHES = {"macd": Strategy(("fast", "slow", "signal"), _macd_sets), "rsi": Strategy(("period", "oversold", "overbought"), _rsi_sets)}
+
+
+def parameter_grid(**values: Sequence[float]) -> list[dict]:
+    """All combinations of some values of each parameter, the last one changing fastest."""
+    return [dict(zip(values, combination)) for combination in product(*values.values())]
+
+
+def macd_grid(fast: Sequence[int], slow: Sequence[int], signal: Sequence[int]) -> list[dict]:
+    return parameter_grid(fast=fast, slow=slow, signal=signal)
 
 
 def windows(daily: DataFrame, train_months: int = 6, test_months: int = 1) -> DataFrame:
@@ -137,41 +215,84 @@ def windows(daily: DataFrame, train_months: int = 6, test_months: int = 1) -> Da
     return df.withColumn("phase", F.explode(phases)).drop("_first", "_last", "_start", "_split", "_end")
 
 
-def macd_grid(fast: Sequence[int], slow: Sequence[int], signal: Sequence[int]) -> list[tuple[int, int, int]]:
-    return list(product(fast, slow, signal))
-
-
-def walk_forward(daily: DataFrame, grid: Sequence[tuple[int, int, int]], train_months: int = 6, test_months: int = 1,
-                 metric: str = "sharpe_ratio", fee: float = FEE, slippage: float = SLIPPAGE) -> DataFrame:
-    """Per ticker and window: the parameters that were best in training, and their test result.
-
-    All parameter sets and windows run as rows of one plan; smoothing restarts in each slice.
+#: Figures that can decide, as aggregates over a slice: the returns of the account, its drawdown, or the results of trades.
+_ACCOUNT: dict[str, Callable[[str], Column]] = {
+    "total_return": lambda r: F.product(F.lit(1.0) + F.col(r)) - 1.0,
+    "sharpe_ratio": lambda r: risk.sharpe(r), "sortino_ratio": lambda r: risk.sortino(r)}
+_TRADES: dict[str, Callable[[str], Column]] = {
+    "total_trades": lambda t: F.count(t).cast("double"), "win_rate": risk.win_rate,
+    "profit_factor": lambda t: F.when(F.count(t) > 0, F.coalesce(risk.profit_factor(t), F.lit(float("inf")))),  # no losses: unbounded
+    "avg_winning_trade": lambda t: F.avg(F.when(F.col(t) > 0, F.col(t))), "best_trade": lambda t: F.max(t), "worst_trade": lambda t: F.min(t)}
+METRICS = (*_ACCOUNT, "max_drawdown", *_TRADES)
+
+
+def _accounts(df: DataFrame, n: int, metric: str, fee: float, slippage: float, series: Series) -> DataFrame:
+    """``simulate`` for all sets side by side: ``_ret_<i>``, and what the metric needs besides."""
+    cols = range(n)
+    df = df.withColumns({f"_pos_{i}": F.coalesce(F.last(F.when(F.col(f"entry_{i}"), 1).when(F.col(f"exit_{i}"), 0), ignorenulls=True)
+                                                 .over(series.running()), F.lit(0)) for i in cols})
+    df = df.withColumns({"_pc": previous("close", series), **{f"_held_{i}": F.coalesce(previous(f"_pos_{i}", series), F.lit(0)) for i in cols}})
+
+    def opens(i: int) -> Column:
+        return (F.col(f"_pos_{i}") == 1) & (F.col(f"_held_{i}") == 0)
+
+    def closes(i: int) -> Column:
+        return (F.col(f"_pos_{i}") == 0) & (F.col(f"_held_{i}") == 1)
+
+    move = F.coalesce(ratio(F.col("close"), F.col("_pc")), F.lit(1.0))
+    df = df.withColumns({f"_ret_{i}": F.when(F.col(f"_held_{i}") == 1, move).otherwise(1.0)
+                         * F.when(opens(i), (1.0 - fee) / (1.0 + slippage)).otherwise(1.0)
+                         * F.when(closes(i), (1.0 - fee) * (1.0 - slippage)).otherwise(1.0) - 1.0 for i in cols})
+    if metric in _ACCOUNT:
+        return df
+    df = df.withColumns({f"_wealth_{i}": F.product(F.lit(1.0) + F.col(f"_ret_{i}")).over(series.running()) for i in cols})
+    if metric == "max_drawdown":
+        return df.withColumns({f"_fall_{i}": F.col(f"_wealth_{i}") / F.max(f"_wealth_{i}").over(series.running()) - 1.0 for i in cols})
+    start = {f"_start_{i}": F.last(F.when(opens(i), F.col(f"_wealth_{i}") / (F.lit(1.0) + F.col(f"_ret_{i}"))), ignorenulls=True).over(series.running()) for i in cols}
+    df = df.withColumns({**start, "_last": F.col(series.order) == F.max(series.order).over(series.whole())})
+    return df.withColumns({f"_trade_{i}": F.when(closes(i) | (F.col("_last") & (F.col(f"_pos_{i}") == 1)), F.col(f"_wealth_{i}") / F.col(f"_start_{i}") - 1.0) for i in cols})
+
+
+def _figure(metric: str, i: int) -> Column:
+    if metric in _ACCOUNT:
+        return _ACCOUNT[metric](f"_ret_{i}")
+    return F.min(f"_fall_{i}") if metric == "max_drawdown" else _TRADES[metric](f"_trade_{i}")
+
+
+def walk_forward(daily: DataFrame, grid: Sequence[dict], train_months: int = 6, test_months: int = 1, metric: str = "sharpe_ratio",
+                 fee: float = FEE, slippage: float = SLIPPAGE, strategy: str | Strategy = "macd") -> DataFrame:
+    """Per ticker and window: the parameters with the highest ``metric`` in training (a column each), and their test result.
+
+    ``grid`` has a dict for each set of parameters (``parameter_grid``), ``strategy`` is a name of ``SEARCHES`` or a ``Strategy``
+    (``searched`` makes one of any function), ``metric`` one of ``METRICS``. Smoothing and positions restart in each slice. All sets are
+    columns of the same rows, so each bar stands once in a slice and one exchange and sort serve every set.  Among equals (to nine digits) the first
+    set of the grid is taken; a set without a figure in training is not.
     """
-    sets = F.array(*[F.struct(F.lit(i).alias("param"), F.lit(float(f)).alias("fast"), F.lit(float(s)).alias("slow"),
-                              F.lit(float(g)).alias("signal_span")) for i, (f, s, g) in enumerate(grid)])
-    df = windows(daily.select("ticker", "date", "close"), train_months, test_months)
-    df = df.withColumn("_set", F.explode(sets)).select("ticker", "date", "close", "window", "phase", "_set.*")
-    close = F.col("close")
-    df = ewm(df, {"_f": (close, F.col("fast")), "_s": (close, F.col("slow"))}, _SLICE)
-    df = df.withColumn("macd", F.col("_f") - F.col("_s"))
-    df = ewm(df, {"signal": (F.col("macd"), F.col("signal_span"))}, _SLICE)
-    df = crossings(df.withColumn("hist", F.col("macd") - F.col("signal")), _SLICE)
-    df = df.withColumns({"entry": F.col("cross_up") == 1, "exit": F.col("cross_down") == 1})
-    sim = simulate(df, fee, slippage, _SLICE)
-    stats = sim.groupBy(*_SLICE.keys).agg(
-        (F.product(F.lit(1.0) + F.col("ret")) - 1.0).alias("total_return"), risk.sharpe("ret").alias("sharpe_ratio"),
-        F.first("fast").alias("fast"), F.first("slow").alias("slow"), F.first("signal_span").alias("signal_span"))
-    result = F.struct("param", "fast", "slow", "signal_span", "total_return", "sharpe_ratio")
-    # best by metric; among equals (to nine digits) the first set of the grid
-    order = F.struct(F.round(metric, 9), -F.col("param"))
-    both = stats.groupBy("ticker", "window").agg(
-        F.max_by(F.when(F.col("phase") == "train", result), F.when(F.col("phase") == "train", order)).alias("best"),
-        F.collect_list(F.when(F.col("phase") == "test", result)).alias("tests"))  # one entry per parameter set
-    return (both.withColumn("test", F.get(F.filter("tests", lambda t: t["param"] == F.col("best.param")), F.lit(0)))
-            .filter(F.col("best").isNotNull() & F.col("test").isNotNull())
-            .select("ticker", "window", "best.fast", "best.slow", F.col("best.signal_span").alias("signal"),
-                    F.col(f"best.{metric}").alias("train_metric"), F.col("test.total_return").alias("test_return"),
-                    F.col("test.sharpe_ratio").alias("test_sharpe")))
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric}; one of {METRICS}")
+    if isinstance(strategy, str):
+        if strategy not in SEARCHES:
+            raise ValueError(f"strategy {strategy}; one of {sorted(SEARCHES)}")
+        strategy = SEARCHES[strategy]
+    if not grid:
+        raise ValueError("no set of parameters")
+    if wrong := [s for s in grid if set(s) != set(strategy.parameters)]:
+        raise ValueError(f"{wrong[0]}: the parameters are {strategy.parameters}")
+    # one bar a day, bounds inclusive
+    series = DAILY.with_keys(*_SLICE, max_rows=31 * max(train_months, test_months) + 1)
+    df = strategy.signals(windows(daily, train_months, test_months), series, grid)
+    df = _accounts(df, len(grid), metric, fee, slippage, series)
+    sets = F.array(*[F.struct(F.round(_figure(metric, i), 9).alias("by"), F.lit(-i).alias("set"), _figure(metric, i).alias("train"),
+                              _ACCOUNT["total_return"](f"_ret_{i}").alias("total_return"), risk.sharpe(f"_ret_{i}").alias("sharpe_ratio"))
+                     for i in range(len(grid))])
+    slices = df.groupBy(*series.keys).agg(sets.alias("sets"))
+    both = slices.groupBy("ticker", "window").agg(*[F.first(F.when(F.col("phase") == p, F.col("sets")), ignorenulls=True).alias(p) for p in ("train", "test")])
+    both = both.withColumn("best", F.array_max(F.filter("train", lambda x: x["by"].isNotNull())))
+    both = both.withColumn("tested", F.get(F.filter("test", lambda x: x["set"] == F.col("best.set")), F.lit(0)))
+    names = {p: F.element_at(F.array(*[F.lit(float(s[p])) if isinstance(s[p], (int, float)) else F.lit(s[p]) for s in grid]), 1 - F.col("best.set")) for p in strategy.parameters}
+    return (both.filter(F.col("best").isNotNull() & F.col("tested").isNotNull())
+            .select("ticker", "window", *[c.alias(p) for p, c in names.items()], F.col("best.train").alias("train_metric"),
+                    F.col("tested.total_return").alias("test_return"), F.col("tested.sharpe_ratio").alias("test_sharpe")))
 
 
 def walk_forward_summary(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..streaming import bars as streams
 from .oracle import check
 from .series_queries import TECH, days, last, macd_sql
 from .table_queries import DAYBARS, DERIVED, tradable_sql, with_returns
-from .tables import BARS, FACTORS, MARKET, MINUTES, RETS, bars_daily as daily, bars_minute as minute, factor_returns, market
+from .tables import BARS, FACTORS, MARKET, MINUTES, RETS, bars_daily as daily, bars_minute as minute, factor_returns, market, recursive_means
 
 
 def ret(s, d) -> DataFrame:
@@ -131,6 +131,38 @@ def ols_sql(name: str, model: str) -> list[str]:
       {', '.join(f"max(coefficient) FILTER (term = '{t}') AS beta_{t}" for t in capm.MODELS['5-factor'])} FROM {name} GROUP BY ticker, model)"""]
 
 
+# --- tails of t and F, from the continued fraction of the incomplete beta function ------------------
+def _half_sql(x: str, a: str, b: str) -> str:
+    return (f"CASE WHEN {x} > 0 THEN exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} / "
+            f"list_reduce(list_transform(range(300, 0, -1), lambda i: CAST(i AS DOUBLE)), lambda value, m: 1 - ({a} + m - 1) * ({a} + {b} + m - 1) * {x} / (({a} + 2 * m - 2) * ({a} + 2 * m - 1))"
+            f" / (1 + m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m)) / value), 1.0::DOUBLE) ELSE 0.0 END")
+
+
+def beta_sql(x: str, a: str, b: str) -> str:
+    return f"(CASE WHEN {x} > ({a} + 1) / ({a} + {b} + 2) THEN 1 - {_half_sql(f'(1 - {x})', b, a)} ELSE {_half_sql(x, a, b)} END)"
+
+
+def tail_sql(source: str, tails: dict[str, tuple[str, str]]) -> str:
+    """``source`` with the two-sided tail of each statistic: name -> (statistic, degrees of freedom)."""
+    inner = ", ".join(f"({v})::DOUBLE / (({v}) + ({t}) ** 2) AS x_{n}, ({v})::DOUBLE / 2 AS a_{n}" for n, (t, v) in tails.items())
+    outer = ", ".join(f"{beta_sql(f'x_{n}', f'a_{n}', '0.5::DOUBLE')} AS {n}" for n in tails)
+    return f"SELECT * EXCLUDE ({', '.join(f'x_{n}, a_{n}' for n in tails)}), {outer} FROM (SELECT *, {inner} FROM {source}) tails"
+
+
+def quantile_sql(source: str, freedom: str) -> str:
+    """``source`` with ``q``, the upper quantile of 97.5 %, by halving an interval for each number of degrees of freedom."""
+    tail = beta_sql("(v / (v + middle ** 2))", "(v / 2)", "0.5::DOUBLE")
+    return f"""WITH RECURSIVE halved AS (SELECT DISTINCT ({freedom})::DOUBLE AS v, 0.0::DOUBLE AS low, 50.0::DOUBLE AS high, 25.0::DOUBLE AS middle, 0 AS turn FROM {source}
+      UNION ALL SELECT v, CASE WHEN tail > 0.05 THEN middle ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE middle END,
+        CASE WHEN tail > 0.05 THEN (middle + high) / 2 ELSE (low + middle) / 2 END, turn + 1 FROM (SELECT *, {tail} AS tail FROM halved WHERE turn < 45) h)
+      SELECT s.*, middle AS q FROM {source} s JOIN halved ON v = ({freedom}) AND turn = 45"""
+
+
+CAPM_TAILS = [*CAPM, f"capm_p AS ({tail_sql('capm', {'p_value_beta': ('t_stat_beta', 'n_observations - 2'), 'p_value_alpha': ('t_stat_alpha', 'n_observations - 2')})})",
+              f"capm_q AS ({quantile_sql('capm_p', 'n_observations - 2')})",
+              """inferred AS (SELECT p.ticker, p.n AS n_observations, c.* EXCLUDE (ticker, n_observations, q), beta - q * std_error_beta AS beta_ci_lower,
+               beta + q * std_error_beta AS beta_ci_upper, CASE WHEN p.n < 30 THEN 'Insufficient data: ' || p.n || ' observations (need >= 30)' END AS error
+              FROM (SELECT ticker, count(*) AS n FROM pairs GROUP BY ticker) p LEFT JOIN capm_q c ON c.ticker = p.ticker)"""]
 FITS = [BARS, RETS, RET, FACTORS, FROWS_ALIGNED]
 _FIT = "coefficient std_error t_stat r_squared adj_r_squared"
 
@@ -255,6 +287,7 @@ _STATS = "total_return sharpe_ratio sortino_ratio max_drawdown win_rate profit_f
 _STATS_SPECIAL = {"total_return": 5, "profit_factor": 5, "best_trade": 5, "avg_winning_trade": 5}
 REGIMES = [("early", "1995-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998-12-31"), ("late", "1998-07-01", "2001-12-31")]
 GRID = signals.macd_grid((5, 8), (13, 21), (5,))
+RSI_GRID = signals.parameter_grid(period=(9, 14), oversold=(30, 35), overbought=(65,))
 
 
 def technical(s, d) -> DataFrame:
@@ -272,31 +305,61 @@ def _sql(ctes, body):
     return f"WITH {', '.join(ctes)} {body}"
 
 
-def walk_sql() -> list[str]:
-    """Every parameter set smoothed, traded and measured in every slice."""
-    keys = "ticker, win, phase"
-    out = [BARS, """slices AS (SELECT ticker, date, close, CAST(k AS INTEGER) AS win, unnest(CASE WHEN date = mid THEN ['train', 'test']
-       WHEN date < mid THEN ['train'] ELSE ['test'] END) AS phase
-      FROM (SELECT ticker, date, close, k, CAST(first + to_months(k) AS DATE) AS a, CAST(first + to_months(k + 6) AS DATE) AS mid,
-              CAST(first + to_months(k + 7) AS DATE) AS z, final
-            FROM (SELECT *, min(date) OVER (PARTITION BY ticker) AS first, max(date) OVER (PARTITION BY ticker) AS final,
-                    unnest(range(0, 100))::INTEGER AS k FROM bars) b) c WHERE date BETWEEN a AND z AND z <= final)"""]
-    stats = []
-    for i, (fast, slow, span) in enumerate(GRID):
-        out += [macd_sql("slices", f"w{i}", keys, "date", fast, slow, span),
-                f"g{i} AS (SELECT *, cross_up = 1 AS entry, cross_down = 1 AS \"exit\" FROM w{i}x)",
-                simulate_sql(f"g{i}", f"v{i}", keys)]
-        stats.append(f"""SELECT {keys}, {i} AS param, {fast}.0::DOUBLE AS fast, {slow}.0::DOUBLE AS slow, {span}.0::DOUBLE AS signal,
-          product(1.0 + ret) - 1 AS total_return, coalesce(avg(ret) / nullif(stddev(ret), 0), 0.0) * sqrt(252.0) AS sharpe
-          FROM v{i} GROUP BY {keys}""")
-    return [*out, f"wst AS ({' UNION ALL '.join(stats)})",
-            """best AS (SELECT * FROM wst WHERE phase = 'train'
-              QUALIFY row_number() OVER (PARTITION BY ticker, win ORDER BY round(sharpe, 9) DESC, param) = 1)""",
-            """walk AS (SELECT b.ticker, b.win AS "window", b.fast, b.slow, b.signal, b.sharpe AS train_metric,
+# each bar once per window and phase; the windows of a ticker follow from its own first and last day
+SLICES = """slices AS MATERIALIZED (SELECT ticker, date, close, CAST(k AS INTEGER) AS win, unnest(CASE WHEN date = mid THEN ['train', 'test']
+   WHEN date < mid THEN ['train'] ELSE ['test'] END) AS phase
+  FROM (SELECT ticker, date, close, k, CAST(first + to_months(k) AS DATE) AS a, CAST(first + to_months(k + 6) AS DATE) AS mid,
+          CAST(first + to_months(k + 7) AS DATE) AS z, final
+        FROM (SELECT *, CAST(unnest(range(greatest(0, date_diff('month', first, date) - 8), date_diff('month', first, date) + 2)) AS INTEGER) AS k
+              FROM (SELECT *, min(date) OVER (PARTITION BY ticker) AS first, max(date) OVER (PARTITION BY ticker) AS final FROM bars) b) c) d
+  WHERE date BETWEEN a AND z AND z <= final)"""
+_WALK_KEYS = "ticker, win, phase"
+_FIGURES_SQL = {"sharpe_ratio": "coalesce(avg(ret) / nullif(stddev(ret), 0), 0.0) * sqrt(252.0)", "total_return": "product(1.0 + ret) - 1",
+                "win_rate": "count(*) FILTER (trade_return > 0) / nullif(count(trade_return), 0)::DOUBLE"}
+
+
+def walk_sql(sets: list[tuple[list[str], dict]], metric: str = "sharpe_ratio") -> list[str]:
+    """Every set of parameters (with the tables that lead to its signals ``g<i>``) traded and measured in every slice."""
+    keys, names = _WALK_KEYS, list(sets[0][1])
+    out, stats = [BARS, SLICES], []
+    for i, (tables, values) in enumerate(sets):
+        out += [*tables, simulate_sql(f"g{i}", f"v{i}", keys)]
+        own = ", ".join(f"{float(v)}::DOUBLE AS {k}" for k, v in values.items())
+        if metric in ("sharpe_ratio", "total_return"):
+            deciding, joined = _FIGURES_SQL[metric], ""
+        else:
+            out += [f"t{i} AS (SELECT {keys}, trade, product(1 + ret) - 1 AS trade_return FROM v{i} WHERE position = 1 OR closes GROUP BY ALL)",
+                    f"f{i} AS (SELECT {keys}, {_FIGURES_SQL[metric]} AS figure FROM t{i} GROUP BY ALL)"]
+            deciding, joined = "any_value(figure)", f"LEFT JOIN f{i} USING ({keys})"
+        stats.append(f"""SELECT {keys}, {i} AS param, {own}, {deciding} AS figure, {_FIGURES_SQL['total_return']} AS total_return,
+          {_FIGURES_SQL['sharpe_ratio']} AS sharpe FROM v{i} {joined} GROUP BY {keys}""")
+    return [*out, f"wst AS MATERIALIZED ({' UNION ALL '.join(stats)})",
+            """best AS (SELECT * FROM wst WHERE phase = 'train' AND figure IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY ticker, win ORDER BY round(figure, 9) DESC, param) = 1)""",
+            f"""walk AS (SELECT b.ticker, b.win AS "window", {', '.join('b.' + n for n in names)}, b.figure AS train_metric,
               t.total_return AS test_return, t.sharpe AS test_sharpe FROM best b JOIN wst t ON t.ticker = b.ticker
               AND t.win = b.win AND t.param = b.param AND t.phase = 'test')"""]
 
 
+def _macd_walk(metric: str = "sharpe_ratio") -> list[str]:
+    return walk_sql([([macd_sql("slices", f"w{i}", _WALK_KEYS, "date", g["fast"], g["slow"], g["signal"]),
+                       f"g{i} AS MATERIALIZED (SELECT *, cross_up = 1 AS entry, cross_down = 1 AS \"exit\" FROM w{i}x)"], g) for i, g in enumerate(GRID)], metric)
+
+
+def _rsi_walk() -> list[str]:
+    out = []
+    for i, g in enumerate(RSI_GRID):
+        p = g["period"]
+        out.append(([f"""m{i} AS (SELECT *, greatest(step, 0.0) AS gain, greatest(-step, 0.0) AS loss
+                       FROM (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY {_WALK_KEYS} ORDER BY date), 0.0) AS step FROM slices) a)""",
+                     recursive_means(f"m{i}", _WALK_KEYS, "date", {"eg": ("gain", p), "el": ("loss", p)}, "z.* EXCLUDE (p)", f"s{i}"),
+                     f"""g{i} AS MATERIALIZED (SELECT *, coalesce(rsi < {g['oversold']} AND was >= {g['oversold']}, false) AS entry,
+                       coalesce(rsi > {g['overbought']} AND was <= {g['overbought']}, false) AS "exit"
+                       FROM (SELECT *, lag(rsi) OVER (PARTITION BY {_WALK_KEYS} ORDER BY date) AS was
+                             FROM (SELECT *, 100.0 - 100.0 / (1.0 + coalesce(eg / nullif(el, 0), 0.0)) AS rsi FROM s{i}) a) b)"""], g))
+    return walk_sql(out, "total_return")
+
+
 # --- models -----------------------------------------------------------------------------------------
 ML_FEATURES = ["rsi_14", "stoch_d", "roc_10", "adx_14", "bb_pct", "hist_vol_20", "strong_trend"]
 
@@ -369,15 +432,14 @@ def _stream_bars(s, d):
 
 
 def _stream_ingest(s, d):
-    """The events as feed files, ingested twice: the second run finds nothing new."""
-    from .table_queries import raw_minutes
-    source = work_folder(s, "feed")
+    """The events as feed files of two layouts, ingested twice: the second run finds nothing new."""
+    from .table_queries import as_files, raw_minutes
+    source = as_files(s, raw_minutes(s, d, True), "feed")
     target, checkpoint = work_folder(s, "minutes"), work_folder(s, "minutes-checkpoint")
-    feed = raw_minutes(s, d, True).select("ticker", "volume", "open", "high", "low", "close", "window_start")
-    feed.write.csv(source, header=True, compression="gzip")
     for _ in range(2):
         streams.ingest_days(s, source, target, checkpoint)
-    return s.read.parquet(target).groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("bars"))
+    days = s.read.parquet(target)
+    return rounded(days.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"), F.max("high").alias("high"), F.min("low").alias("low")))
 
 
 def _stream_crosses(s, d):
@@ -446,7 +508,8 @@ QUERIES = {
               report_sql("curve"), _REPORT_PLAIN, _REPORT_ROUND, 6, HUGE)),
     "rk11_asset_report": (
         lambda s, d: rounded(risk.asset_report(risk.returns_of(days(s, d))), 6, **WILD),
-        check([MINUTES, DAYBARS, DAYRET, curve_sql("dret", "curve")],
+        check([MINUTES, DAYBARS, DAYRET, """shared AS (SELECT * FROM dret WHERE date IN (SELECT date FROM dret GROUP BY date
+               HAVING count(*) = (SELECT count(DISTINCT ticker) FROM dret)))""", curve_sql("shared", "curve")],
               f"SELECT *, 1.0 / (SELECT count(DISTINCT ticker) FROM dret) AS weight FROM ({report_sql('curve')}) r", "ticker",
               "total_return sharpe_ratio max_drawdown weight", 6, WILD)),
     # --- regressions ---------------------------------------------------------------------
@@ -455,7 +518,10 @@ QUERIES = {
     "fm2_capm": (
         lambda s, d: rounded(capm.capm(pairs(s, d), inference=False).filter(F.col("error").isNull()).drop("error")),
         check(CAPM, "SELECT * FROM capm", "ticker n_observations", _CAPM)),
-    "fm2_capm_inference": (lambda s, d: rounded(capm.capm(pairs(s, d))), None),
+    "fm2_capm_inference": (
+        lambda s, d: rounded(capm.capm(pairs(s, d)), 5),
+        check(CAPM_TAILS, "SELECT * FROM inferred", "ticker n_observations error",
+              f"{_CAPM} p_value_beta p_value_alpha beta_ci_lower beta_ci_upper", 5)),
     "win12_rolling_beta": (
         lambda s, d: rounded(capm.rolling(pairs(s, d)).select("ticker", "date", "rolling_beta", "rolling_alpha")),
         check([BARS, RETS, RET, MARKET, PAIRS, ROLL], "SELECT * FROM roll", "ticker date", "rolling_beta rolling_alpha")),
@@ -477,7 +543,10 @@ QUERIES = {
     "fm4_factor_exposures": (
         lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "5-factor").drop("p_value"), 5),
         check([*FITS, *ols_sql("fit5", "5-factor")], "SELECT * FROM fit5", "ticker model n_observations term", _FIT, 5)),
-    "fm4_factor_inference": (lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor")), None),
+    "fm4_factor_inference": (
+        lambda s, d: rounded(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor"), 5),
+        check([*FITS, *ols_sql("fit3", "3-factor")], tail_sql("fit3", {"p_value": ("t_stat", "n_observations - 4")}),
+              "ticker model term n_observations", f"{_FIT} p_value", 5)),
     "fm5_factor_report": (
         lambda s, d: rounded(capm.factor_report(capm.factor_exposures(ret(s, d), factor_table(s, d), "3-factor")), 5),
         check([*FITS, *ols_sql("fit3", "3-factor")], "SELECT * FROM fit3w", "ticker model n_observations",
@@ -582,10 +651,16 @@ QUERIES = {
         check([*RSI_SIG, *stats_sql()], "SELECT * FROM st", "ticker total_trades", _STATS, 6, _STATS_SPECIAL)),
     "sg7_walk_forward": (
         lambda s, d: rounded(signals.walk_forward(daily(s, d), GRID), 5),
-        check(walk_sql(), "SELECT * FROM walk", 'ticker "window"', "fast slow signal train_metric test_return test_sharpe", 5)),
+        check(_macd_walk(), "SELECT * FROM walk", 'ticker "window"', "fast slow signal train_metric test_return test_sharpe", 5)),
+    "sg7_walk_forward_rsi": (
+        lambda s, d: rounded(signals.walk_forward(daily(s, d), RSI_GRID, metric="total_return", strategy="rsi"), 5),
+        check(_rsi_walk(), "SELECT * FROM walk", 'ticker "window"', "period oversold overbought train_metric test_return test_sharpe", 5)),
+    "sg7_walk_forward_win_rate": (
+        lambda s, d: rounded(signals.walk_forward(daily(s, d), GRID, metric="win_rate"), 5),
+        check(_macd_walk("win_rate"), "SELECT * FROM walk", 'ticker "window"', "fast slow signal train_metric test_return test_sharpe", 5)),
     "sg7_walk_forward_summary": (
         lambda s, d: rounded(signals.walk_forward_summary(signals.walk_forward(daily(s, d), GRID)), 5),
-        check(walk_sql(), """SELECT ticker, count(*) AS num_windows, avg(test_return) AS avg_test_return,
+        check(_macd_walk(), """SELECT ticker, count(*) AS num_windows, avg(test_return) AS avg_test_return,
               stddev_pop(test_return) AS std_test_return FROM walk GROUP BY ticker""", "ticker num_windows",
               "avg_test_return std_test_return", 5)),
     "sg8_position_size": (
@@ -612,12 +687,18 @@ QUERIES = {
                                     .select("feature", "coefficient", "abs_coefficient", "t_stat"), 5)),
         check(ML_FIT, """SELECT term AS feature, coefficient, abs(coefficient) AS abs_coefficient, t_stat FROM mfit WHERE term <> 'alpha'""",
               "feature", "coefficient abs_coefficient t_stat", 5)),
-    "ml3_linear_inference": (_ml(lambda s, rows: rounded(ml.coefficients(ml.fit_linear(rows, ML_FEATURES), ML_FEATURES, s))), None),
+    "ml3_linear_inference": (
+        _ml(lambda s, rows: rounded(ml.coefficients(ml.fit_linear(rows, ML_FEATURES), ML_FEATURES, s), 5)),
+        check([*ML_FIT, f"""tails AS ({tail_sql("(SELECT * FROM mfit WHERE term <> 'alpha')", {"p_value": ("t_stat", f"n_observations - {len(ML_FEATURES) + 1}")})})"""],
+              "SELECT *, term AS feature, abs(coefficient) AS abs_coefficient, p_value < 0.05 AS significant FROM tails",
+              "feature significant", "coefficient abs_coefficient t_stat p_value", 5)),
     "ml3_linear_fit": (
         _ml(lambda s, rows: rounded(ml.fit_summary(ml.fit_linear(rows, ML_FEATURES), s, len(ML_FEATURES)), 5)),
-        check(ML_FIT, f"""SELECT n_observations AS rows, r_squared, adj_r_squared,
+        check([*ML_FIT, f"""whole AS (SELECT n_observations AS rows, r_squared, adj_r_squared, (n_observations - {len(ML_FEATURES) + 1})::DOUBLE AS free,
               r_squared / {len(ML_FEATURES)} / ((1 - r_squared) / (n_observations - {len(ML_FEATURES) + 1})) AS f_statistic
-              FROM mfit WHERE term = 'alpha'""", "rows", "r_squared adj_r_squared f_statistic", 5)),
+              FROM mfit WHERE term = 'alpha')"""],
+              f"""SELECT *, {beta_sql(f"(free / (free + {len(ML_FEATURES)} * f_statistic))", "(free / 2)", f"({len(ML_FEATURES)}::DOUBLE / 2)")} AS f_p_value FROM whole""",
+              "rows", "r_squared adj_r_squared f_statistic f_p_value", 5)),
     "ml4_logistic_cross_validation": (_cv(lambda n: ml.logistic_stage("l2", 1.0, n), True), None),
     "ml5_regularisation_path": (_ml(lambda s, rows: rounded(ml.tune(rows, ML_FEATURES, "lasso")[1])), None),
     "ml6_tree_classifier": (_ml(lambda s, rows: _trees(s, rows, True)), None),
@@ -628,7 +709,8 @@ QUERIES = {
     # --- streams -------------------------------------------------------------------------------------
     "st1_incremental_ingest": (
         _stream_ingest,
-        f"""SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS date, count(*) AS bars FROM events
+        f"""SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS date, count(*) AS bars, CAST(sum(user_id) AS BIGINT) AS volume,
+             round(max(value), 6) AS high, round(min(value), 6) AS low FROM events
            WHERE event_type <> 'error' AND {tradable_sql('event_type')} GROUP BY 1, 2"""),
     "st2_streaming_bars": (
         _stream_bars,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.ewm import ewm
 from barspark.functions.frames import DAILY, Series
-from barspark.functions.student import quantile, two_sided
+from barspark.functions import student
 from barspark.operators import capm, factors, indicators, macd, ml, ranking, risk, signals
 
 
@@ -62,7 +62,7 @@ def test_macd_of_second_bars_and_far_spans(spark):
 
 def test_walk_forward_over_long_windows(spark):
     pdf = walk(1_500, 9)
-    got = signals.walk_forward(spark.createDataFrame(pdf), [(2, 13, 2)], train_months=36, test_months=6, fee=0.0, slippage=0.0).orderBy("window").toPandas()
+    got = signals.walk_forward(spark.createDataFrame(pdf), signals.macd_grid((2,), (13,), (2,)), train_months=36, test_months=6, fee=0.0, slippage=0.0).orderBy("window").toPandas()
     dates, first = pd.to_datetime(pdf["date"]), pd.Timestamp(pdf["date"][0])
     assert len(got) > 1
     for _, row in got.iterrows():
@@ -137,10 +137,26 @@ def test_factor_model_matches_least_squares(spark):
         capm.factor_exposures(ret, spark.createDataFrame(f), "4-factor")
 
 
-def test_student_t_tails():
-    # fixed values from published tables
-    assert quantile(0.975, np.array([1.0, 5.0, 30.0, 250.0])) == pytest.approx([12.7062, 2.5706, 2.0423, 1.9695], abs=1e-4)
-    assert two_sided(np.array([0.0, 2.228, 63.657]), np.array([10.0, 10.0, 1.0])) == pytest.approx([1.0, 0.05, 0.01], abs=1e-4)
+def test_tails_of_t_and_f(spark):
+    """Native tails against the density, summed up, and against table values."""
+    from math import gamma, lgamma, pi
+    def t_tail(t, v):
+        x = np.linspace(0, abs(t), 200_001)
+        y = np.exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / np.sqrt(v * pi) * (1 + x * x / v) ** (-(v + 1) / 2)
+        return float(1 - 2 * np.trapezoid(y, x))
+    rows = [(float(t), float(v), t_tail(t, v)) for t in (0, 0.3, -1.7, 2.228, 5) for v in (1, 2, 10, 61, 900)]
+    rows += [(63.657, 1.0, 0.01), (float("nan"), 5.0, None), (1.0, 0.0, None), (None, 5.0, None), (float("inf"), 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "t double, v double, want double").withColumn("p", student.p_value(F.col("t"), F.col("v")))
+    for r in df.collect():
+        assert (r["p"] is None) if r["want"] is None else r["p"] == pytest.approx(r["want"], abs=1e-5 if r["t"] == 63.657 else 1e-9), r
+    q = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (30.0,), (250.0,), (0.0,)], "v double").select(student.t_975(F.col("v")).alias("q")).collect()
+    assert [r["q"] for r in q[:5]] == pytest.approx([12.7062047, 4.3026527, 2.5705818, 2.0422725, 1.9694982], abs=1e-6) and q[5]["q"] is None
+    # with one degree of freedom above, F is the square of t
+    f = spark.createDataFrame([(2.25, 1.0, 17.0), (4.0, 3.0, 20.0), (0.0, 3.0, 20.0)], "f double, a double, b double")
+    got = [r["p"] for r in f.select(student.f_tail(F.col("f"), F.col("a"), F.col("b")).alias("p")).collect()]
+    x = np.linspace(4.0, 4000.0, 4_000_001)
+    density = gamma(11.5) / gamma(1.5) / gamma(10) * (3 / 20) ** 1.5 * x ** 0.5 * (1 + 3 * x / 20) ** -11.5
+    assert got == pytest.approx([t_tail(1.5, 17), np.trapezoid(density, x), 1.0], abs=1e-7)
 
 
 def test_risk_report_matches_pandas(spark):
@@ -160,9 +176,8 @@ def test_ic_matches_pandas(spark):
                        columns=["ticker", "date", "value", "fwd"])
     pdf["factor"], pdf["horizon"] = "f", 1
     want = pdf.groupby("date").apply(lambda g: g["value"].rank().corr(g["fwd"].rank()), include_groups=False)
-    for small in (True, False, None):
-        got = factors.daily_ic(spark.createDataFrame(pdf), small_groups=small).orderBy("date").toPandas()
-        assert np.allclose(got["ic"], want)
+    got = factors.daily_ic(spark.createDataFrame(pdf)).orderBy("date").toPandas()
+    assert np.allclose(got["ic"], want)
 
 
 def test_walk_forward_against_a_loop(spark):
@@ -171,7 +186,8 @@ def test_walk_forward_against_a_loop(spark):
     got = signals.walk_forward(spark.createDataFrame(pdf), grid, fee=0.0, slippage=0.0).toPandas()
     assert len(got)
 
-    def run(g, fast, slow, span):
+    def run(g, fast, slow, signal):
+        span = signal
         c = g["close"].reset_index(drop=True)
         line = c.ewm(span=fast, adjust=False).mean() - c.ewm(span=slow, adjust=False).mean()
         hist = line - line.ewm(span=span, adjust=False).mean()
@@ -188,8 +204,8 @@ def test_walk_forward_against_a_loop(spark):
         while first + pd.DateOffset(months=k + 7) <= final:
             a, b, c = (first + pd.DateOffset(months=k + m) for m in (0, 6, 7))
             train, test = g[g["date"].between(a, b)], g[g["date"].between(b, c)]
-            best = max(grid, key=lambda p: run(train, *p)[0])
-            rows.append((k, best[0], run(train, *best)[0], run(test, *best)[1]))
+            best = max(grid, key=lambda p: run(train, **p)[0])
+            rows.append((k, best["fast"], run(train, **best)[0], run(test, **best)[1]))
             k += 1
         mine = got[got["ticker"] == ticker].sort_values("window")
         assert mine["window"].tolist() == [r[0] for r in rows]
@@ -197,6 +213,51 @@ def test_walk_forward_against_a_loop(spark):
         assert np.allclose(mine["train_metric"], [r[2] for r in rows]) and np.allclose(mine["test_return"], [r[3] for r in rows])
 
 
+@pytest.mark.parametrize("metric", signals.METRICS)
+def test_walk_forward_decides_by_any_figure(spark, metric):
+    """The training figure of each window is the best of the sets' figures that a run of the strategy itself reports."""
+    pdf = walk(300, 5, "A")
+    grid = signals.parameter_grid(period=(5, 9), oversold=(40,), overbought=(55, 60))
+    df = spark.createDataFrame(pdf)
+    got = signals.walk_forward(df, grid, metric=metric, strategy="rsi").collect()
+    first = pd.Timestamp(pdf["date"].min())
+    for r in got[:1]:
+        a, b = first + pd.DateOffset(months=r["window"]), first + pd.DateOffset(months=r["window"] + 6)
+        part = spark.createDataFrame(pdf[pd.to_datetime(pdf["date"]).between(a, b)])
+        found = []
+        for p in grid:
+            x = signals.strategy_stats(signals.simulate(signals.rsi_signals(part, **p))).first()[metric]
+            found.append(float("inf") if x is None and metric == "profit_factor" else x)
+        best = max(x for x in found if x is not None)
+        assert r["train_metric"] == pytest.approx(best)
+        chosen = grid[next(i for i, x in enumerate(found) if x is not None and round(x, 9) == round(best, 9))]
+        assert (r["period"], r["overbought"]) == (chosen["period"], chosen["overbought"])
+
+
+def test_walk_forward_of_a_function(spark):
+    pdf = walk(300, 6, "A")
+    def dips(df, series, rows):
+        mean = F.avg("close").over(series.last(rows))
+        return df.withColumns({"entry": F.col("close") < mean * 0.98, "exit": F.col("close") > mean * 1.02})
+    grid = signals.parameter_grid(rows=(3, 8))
+    got = signals.walk_forward(spark.createDataFrame(pdf), grid, metric="max_drawdown", strategy=signals.searched(dips, ["rows"])).toPandas()
+    assert len(got) and set(got["rows"]) <= {3.0, 8.0} and (got["train_metric"] <= 0).all()
+    for wrong in (dict(metric="luck"), dict(strategy="none"), dict(grid=[{"fast": 1}])):
+        with pytest.raises(ValueError):
+            signals.walk_forward(spark.createDataFrame(pdf), **({"grid": grid} | wrong))
+
+
+def test_short_means_equal_the_long_form_and_refuse_longer_series(spark):
+    from barspark.functions.ewm import ewm_short, width
+    pdf = walk(400, 2)
+    df = spark.createDataFrame(pdf)
+    both = ewm_short(ewm(df, {"a": (F.col("close"), 12), "one": (F.col("close"), 1)}, DAILY), {"b": (F.col("close"), 12), "two": (F.col("close"), 1)}, DAILY).toPandas()
+    assert np.allclose(both["a"], both["b"], rtol=1e-12) and np.array_equal(both["one"], both["two"])
+    assert width(2) < 3000
+    with pytest.raises(Exception):
+        ewm_short(spark.createDataFrame(walk(3000, 2)), {"b": (F.col("close"), 2)}, DAILY).agg(F.max("b")).collect()
+
+
 @pytest.fixture(scope="module")
 def features(spark):
     r = np.random.default_rng(42)
@@ -255,6 +316,6 @@ def test_daily_macd_is_pandas_macd(spark):
 def test_quantiles_match_numpy(spark):
     v = np.random.default_rng(2).normal(size=999) ** 3
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": v}))
-    for small in (True, False):
-        got = ranking.quantiles(df, ["g"], "v", [0, 0.2, 0.5, 1], "q", small).first()["q"]
+    for rows in (ranking.RANGE_ROWS, 50):
+        got = ranking.quantiles(df, ["g"], "v", [0, 0.2, 0.5, 1], "q", rows).first()["q"]
         assert np.allclose(got, np.quantile(v, [0, 0.2, 0.5, 1]))

@@ -150,6 +150,36 @@ def test_criteria(spark, criterion, value, expected):
     assert scoring.score(df, (criterion,)).first()["total_score"] == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("criterion, value, expected", [
+    (scoring.Criterion("x", 2.0, min_value=50.0), 75.0, 1.0), (scoring.Criterion("x", 2.0, max_value=50.0), 25.0, 1.0),
+    (scoring.Criterion("x", 2.0), 50.0, 1.0), (scoring.Criterion("x", 2.0, min_value=100.0), 7.0, 1.0), (scoring.Criterion("x", 2.0, invert=True), 150.0, 0.0)])
+def test_criteria_with_missing_bounds_in_the_sql_dialect(spark, criterion, value, expected):
+    df = spark.createDataFrame([("A", value)], "ticker string, x double")
+    assert scoring.score(df, (criterion,), "sql").first()["total_score"] == pytest.approx(expected)
+
+
+def test_history_of_daily_weekly_and_minute_tables(spark):
+    daily = returns.daily_derivatives(bars(spark, [1.0, 2.0, 3.0, 4.0]), 1.0, 9.99)
+    for rows_per_day in (None, 1.5):
+        got = intraday.history(daily, "A", 2, rows_per_day).collect()
+        assert [(r["close"], round(r["ret_d"], 6)) for r in got] == [(4.0, round(1 / 3, 6)), (3.0, 0.5)]
+    weekly = returns.weekly_returns(bars(spark, [float(i) for i in range(1, 30)]))
+    assert [r["close_w"] for r in intraday.history(weekly, "A", 2).collect()] == [29.0, 28.0]
+    minute = minutes(spark, [1.0, 5.0, 2.0])
+    assert [r["close"] for r in intraday.history(minute, "A").collect()] == [2.0, 5.0, 1.0]
+    rolled = intraday.history(minute, "A", rows_per_day=1.5).collect()
+    assert [(r["open"], r["high"], r["close"], r["volume"]) for r in rolled] == [(1.0, 5.0, 2.0, 3)]
+
+
+def test_assets_are_reported_over_their_common_dates(spark):
+    rows = [("A", day(i), 0.01 * i) for i in range(1, 8)] + [("B", day(i), -0.01) for i in range(4, 8)]
+    df = spark.createDataFrame(rows, "ticker string, date date, ret double")
+    got = {r["ticker"]: r for r in risk.asset_report(df, spark.createDataFrame([("A", 0.7), ("Z", 9.0)], "ticker string, weight double")).collect()}
+    assert got["A"]["total_return"] == pytest.approx(1.04 * 1.05 * 1.06 * 1.07 - 1) and got["A"]["weight"] == 0.7 and got["B"]["weight"] == 0.0
+    weighted = risk.portfolio_returns(df, spark.createDataFrame([("A", 0.5)], "ticker string, weight double")).orderBy("date").collect()
+    assert [round(r["ret"], 6) for r in weighted] == [0.02, 0.025, 0.03, 0.035]
+
+
 def test_single_bar_has_metrics(spark):
     df = returns.daily_derivatives(bars(spark, [5.0], spread=0.2), 0.0, 10.0)
     for dialect in ("sql", "metrics"):
