@@ -130,18 +130,36 @@ def fit(sample: DataFrame, trees: int = 12, depth: int = 4, strength: float = 0.
         rows.unpersist()
 
 
+def _scored(df: DataFrame, model: RuleEnsemble, text: str, threshold: float, **fixed: Column) -> tuple[DataFrame, list[str]]:
+    """The table with statistics, score and predicted, and the names of the helper columns."""
+    values = statistics(F.col(text))
+    names = dict(zip(values, fresh(df, *values)))
+    # columns of their own: many rules use each of them
+    out = df.select("*", *[v.alias(names[n]) for n, v in values.items()], *[c.alias(n) for n, c in fixed.items()])
+    out = out.withColumn("score", model.score({n: F.col(c) for n, c in names.items()}))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")), [*names.values(), *fixed]
+
+
 def score(df: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds ``score`` (probability of label 1) and ``predicted`` (1 from the threshold on) to every row, by native expressions.
 
     NULL and empty texts are scored as texts without words. Columns of these names are replaced, other columns stay; repeated rows
     get the same score; an empty table gives an empty one. Nothing is shuffled.
     """
-    values = statistics(F.col(text))
-    names = dict(zip(values, fresh(df, *values)))
-    # columns of their own: many rules use each of them
-    out = df.select("*", *[v.alias(names[n]) for n, v in values.items()])
-    out = out.withColumn("score", model.score({n: F.col(c) for n, c in names.items()}))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*names.values())
+    out, helpers = _scored(df, model, text, threshold)
+    return out.drop(*helpers)
+
+
+def accepted(df: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows that :func:`score` predicts as 1, with their own columns, whatever their names; NULL and empty texts are judged as texts without words.
+
+    A filter on ``predicted`` would be moved below the statistics and write each of them into every rule. A row number stands beside them here
+    and takes part in the condition; filters are not moved below it, so each statistic is computed once a row.
+    """
+    whole, row = fresh(df, "whole", "row")
+    kept = df.select(F.col(text).alias("text"), F.struct("*").alias(whole))
+    out, _ = _scored(kept, model, "text", threshold, **{row: F.monotonically_increasing_id()})
+    return out.where((F.col("predicted") == 1) & (F.col(row) >= 0)).select(f"{whole}.*")
 
 
 def held_out(key: Column) -> Column:
