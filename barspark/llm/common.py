@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,6 +123,15 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(v) - w + 1], out[w - size:]) if len(v) >= w else v[:0]
 
 
+def tidy() -> None:
+    """Gives back memory that earlier work of this Python worker has freed: workers are used again, and both allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The bytes of each string; those of a null are empty."""
     if isinstance(column, pa.ChunkedArray):

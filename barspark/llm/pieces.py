@@ -11,11 +11,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
+
 MARK = "▁"
 #: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark, and none has a line feed.
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Remembered pieces of text of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 700_000, 400_000, 1_000_000
+_WORDS, _PAIRS, _BLOCK = 500_000, 400_000, 1_000_000
 _NEVER = float("-inf")
 
 
@@ -200,6 +202,7 @@ def _with_ids(df: DataFrame, path: str, text: str, added: list[T.StructField]) -
     labels = [*base.columns, *[f.name for f in added]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         if path not in _WORKER:
             _WORKER.clear()
             _WORKER[path] = Encoder(model.value)

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import utf8
+from .common import tidy, utf8
 
 #: Kinds in the order in which spans that start together are listed.
 BASE, ADDED = ("assign", "access", "hex"), "markov"
@@ -156,6 +156,7 @@ def _transitions(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Transition counts of a partition: label 1 values of base spans, label 0 other identifiers."""
+    tidy()
     counts = np.zeros((2, _N * _N), np.int64)
     for batch in batches:
         for data in utf8(batch.column(0)):
@@ -214,6 +215,7 @@ def spans(text: Column, models: Models | None) -> Column:
 
     @F.pandas_udf("string")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         for texts in batches:
             yield pd.Series(["" if t is None else ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans_of(t, models)]) for t in texts], dtype=object)
 
