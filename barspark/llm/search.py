@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import shared_path, written
 
 #: Rows from which pivots are chosen and first thresholds taken, and queries that are sent to the tasks together.
 SAMPLE, PIVOTS, QUERY_BLOCK = 512, 16, 5_000
@@ -124,14 +123,16 @@ def top_k(df: DataFrame, is_query: Callable[[Column], Column], k: int = 5, key:
     Pivots are chosen farthest-first from ``sample`` rows with the lowest hashes (that bound is the only sampling; any pivots give the
     exact result). The table with its distances to all pivots is written once. By the triangle inequality the largest difference of two rows' distances
     to a pivot bounds their distance from below, and so their product from above; each task evaluates candidates in the order of
-    that bound and stops when it falls below the k-th score. Queries are sent to the tasks in blocks of ``query_block``, so
-    nothing that grows with the table is broadcast; the rows of a task for one query are at most k.
+    that bound and stops when it falls below the k-th score. Queries are sent to the tasks in blocks of ``query_block``, one
+    after the other: what a block's tasks found (at most k rows for one query and task) is written and its broadcast destroyed before the next
+    block is collected, so that neither the driver nor a task holds more than one block.
     """
     spark = df.sparkSession
     rows = (df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
             .groupBy("id", "v").agg(F.first(F.size("v")).alias("width")))
     rows = written(rows, "vectors")
-    parts = []
+    partial_schema, out = "query_id long, vec_id long, score long", shared_path(spark, "best-of-tasks")
+    spark.createDataFrame([], partial_schema).write.parquet(out)
     for width in sorted(r["width"] for r in rows.select("width").distinct().collect()):
         of = rows.where(F.col("width") == width).select("id", "v")
         some = of.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
@@ -162,8 +163,9 @@ def top_k(df: DataFrame, is_query: Callable[[Column], Column], k: int = 5, key:
                     best.add(b.column(0).to_numpy(), _matrix(b.column(1), width, np.float64), _matrix(d, len(d.flatten()) // len(d), np.float64))
                 yield best.rows()
 
-            parts.append(table.mapInArrow(partial, "query_id long, vec_id long, score long"))
-    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "query_id long, vec_id long, score long")
+            table.mapInArrow(partial, partial_schema).write.mode("append").parquet(out)
+            sent.destroy()
+    found = spark.read.schema(partial_schema).parquet(out)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
