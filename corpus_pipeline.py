@@ -12,8 +12,7 @@ from barspark.llm.queries import quality_model, tokenizer_file
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labelled ones, doesn't reject."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    (whole,) = fresh(docs, "whole")
-    return quality.score(docs.select("text", F.struct("*").alias(whole)), model).where("predicted = 1").select(f"{whole}.*")
+    return quality.accepted(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
