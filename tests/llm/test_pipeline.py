@@ -29,7 +29,7 @@ def test_a_stage_takes_odd_rows_and_empty_tables(spark, odd, place):
     if name in ("benchmark", "secrets", "pieces"):  # these leave clean documents, copies too
         assert len(rows) == odd.count()
     if name == "near_copies":
-        assert sorted((r["doc_id"] or 0) for r in rows) == [0, 1, 1, 3, 4, 5, 6, 7]
+        assert sorted((r["doc_id"] or 0) for r in rows) == [0, 1, 1, 3, 4, 5, 6]  # the last one is a near copy
     if name == "secrets":
         assert [r["text"][-8:] for r in rows if r["doc_id"] == 7] == ["[secret]"]
     assert stage(spark, odd.limit(0), FOLDER).count() == 0
