@@ -92,7 +92,8 @@ def test_increments_read_new_dates_only(spark, tmp_path):
         return spark.range(n).select(F.lit("A").alias("ticker"), F.lit(d).cast("date").alias("date"), (F.col("id") + price).alias("x"))
     seen = []
     def step(part):
-        seen.append((part.inputFiles(), part._jdf.queryExecution().executedPlan().toString()))
+        read = [r["file_path"] for r in part.select("_metadata.file_path").distinct().collect()]
+        seen.append((read, part._jdf.queryExecution().executedPlan().toString()))
         sinks.write_by_date(part.filter("x > 1"), target)  # a date of one row gives no output
     sinks.write_by_date(rows("2024-01-01", 5).union(rows("2024-01-02", 1)), source)
     assert [str(d) for d in increments.run(spark, source, target, log, step)] == ["2024-01-01", "2024-01-02"]
