@@ -330,20 +330,47 @@ def by_regime(returns: DataFrame, regimes: Sequence[tuple[str, str, str]]) -> Da
     return risk.report(df, series=DAILY.with_keys("regime"))
 
 
+# Multipliers and shifts of a published 32-bit integer mixer, here on 31 bits.
+_MIX = ((16, 569_420_461), (15, 1_935_289_751))
+_BITS = 31
+
+
+def _mixed(x: Column) -> Column:
+    """A pseudo-random number below 2**31 from one below 2**31, by arithmetic that any SQL engine has."""
+    for shift, factor in _MIX:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)) % F.lit(1 << _BITS)
+    return x
+
+
 def bootstrap(all_trades: DataFrame, simulations: int = 1_000, seed: int = 42) -> DataFrame:
     """Resample each ticker's trades with replacement; spread of the compounded result.
 
-    Every trade slot draws, per simulation, a seeded pseudo-random trade number of its
-    ticker; the draws are counted per trade before they meet the trade returns.
+    A ticker's trades, no more than it has days, become one array on the partition they are
+    on; each simulation multiplies as many drawn growth factors as there are trades, in
+    place.  No draw is a row, so nothing but the trades is shuffled and nothing is joined.
+    A draw depends on ticker, simulation, slot and seed alone.
     """
-    series = Series(("ticker",), "trade", DAILY.max_rows)
-    t = all_trades.select("ticker", "trade", "trade_return").withColumns({
-        "_n": F.count(F.lit(1)).over(series.whole()), "_slot": F.row_number().over(series.ordered())})
-    draws = (t.select("ticker", "_n", F.col("_slot").alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim"))
-             .withColumn("_slot", (F.pmod(F.xxhash64("ticker", "_k", "sim", F.lit(seed)), F.col("_n")) + 1).cast("int"))
-             .groupBy("ticker", "sim", "_slot").agg(F.count(F.lit(1)).alias("_times")))
-    got = draws.join(t.select("ticker", "_slot", F.ln(F.lit(1.0) + F.col("trade_return")).alias("_log")), ["ticker", "_slot"])
-    ends = got.groupBy("ticker", "sim").agg((F.exp(F.sum(F.col("_log") * F.col("_times"))) - 1.0).alias("result"))
+    growth = F.transform(F.array_sort(F.collect_list(F.struct("trade", (F.lit(1.0) + F.col("trade_return")).alias("growth")))),
+                         lambda t: t["growth"])
+    name = F.conv(F.substring(F.md5("ticker"), 1, 7), 16, 10).cast("long")
+    per_ticker = all_trades.filter(F.col("trade_return").isNotNull()).groupBy("ticker").agg(growth.alias("_growth"))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(simulations)),
+                         lambda s: _mixed((name + F.lit(seed) + s.cast("long") * 1_000_003) % F.lit(1 << _BITS)))
+    slots = F.sequence(F.lit(1).cast("long"), F.size("_growth").cast("long"))
+
+    def compounded(held: Column) -> Column:
+        n = F.size(held["growth"]).cast("long")
+
+        def drawn(start: Column, slot: Column) -> Column:
+            at = F.shiftright(_mixed((start + slot) % F.lit(1 << _BITS)) * n, _BITS)
+            return F.get(held["growth"], at.cast("int"))
+
+        return F.transform(held["starts"], lambda start: F.aggregate(
+            held["slots"], F.lit(1.0), lambda result, slot: result * drawn(start, slot)) - 1.0)
+
+    # bound to a variable once, so that no array is built again for each element
+    held = F.array(F.struct(F.col("_growth").alias("growth"), starts.alias("starts"), slots.alias("slots")))
+    ends = per_ticker.select("ticker", F.explode(F.get(F.transform(held, compounded), 0)).alias("result"))
     return ends.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("simulations"), F.percentile("result", F.lit(0.5)).alias("median_return"),
         F.percentile("result", F.lit(0.05)).alias("return_5pct"), F.percentile("result", F.lit(0.95)).alias("return_95pct"),

@@ -285,6 +285,24 @@ def stats_sql(gate: str = "true") -> list[str]:
 
 _STATS = "total_return sharpe_ratio sortino_ratio max_drawdown win_rate profit_factor avg_winning_trade best_trade worst_trade"
 _STATS_SPECIAL = {"total_return": 5, "profit_factor": 5, "best_trade": 5, "avg_winning_trade": 5}
+_DRAWN_SPECIAL = {"return_95pct": 5}
+
+
+def _mixed_sql(x: str, source: str, keep: str) -> str:
+    """``source`` with the mixed number ``m``, one subquery per step as no step may repeat the ones before."""
+    out = f"SELECT {keep}, {x} AS m FROM {source}"
+    for shift, factor in ((16, 569420461), (15, 1935289751)):
+        out = f"SELECT {keep}, (xor(m, m >> {shift}) * {factor}) % 2147483648 AS m FROM ({out}) x"
+    return out
+
+
+BOOTSTRAP_SQL = [
+    "slot AS (SELECT ticker, 1 + trade_return AS growth, row_number() OVER (PARTITION BY ticker ORDER BY trade) - 1 AS at FROM trd)",
+    "size AS (SELECT ticker, count(*) AS n, ('0x' || substr(md5(ticker), 1, 7))::BIGINT AS own FROM slot GROUP BY ticker)",
+    "sims AS (" + _mixed_sql("(own + 42 + sim * 1000003) % 2147483648", "(SELECT *, unnest(range(1, 1001)) AS sim FROM size) z", "ticker, n, sim") + ")",
+    "drawn AS (" + _mixed_sql("(base + k) % 2147483648", "(SELECT ticker, n, sim, m AS base, unnest(range(1, n + 1)) AS k FROM sims) y", "ticker, n, sim") + ")",
+    """ends AS (SELECT d.ticker, sim, product(growth) - 1 AS result FROM drawn d JOIN slot s ON s.ticker = d.ticker AND s.at = (d.m * d.n) >> 31
+      GROUP BY d.ticker, sim)"""]
 REGIMES = [("early", "1995-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998-12-31"), ("late", "1998-07-01", "2001-12-31")]
 GRID = signals.macd_grid((5, 8), (13, 21), (5,))
 RSI_GRID = signals.parameter_grid(period=(9, 14), oversold=(30, 35), overbought=(65,))
@@ -396,7 +414,28 @@ def _cv(stage, classify=False):
 def _importance(s, rows):
     model = ml.fit_linear(rows, ML_FEATURES)
     out = ml.permutation_importance(model, rows, ML_FEATURES)
-    return rounded(s.createDataFrame(out.collect(), out.schema))  # one row per feature
+    return rounded(s.createDataFrame(out.collect(), out.schema), 5)  # one row per feature
+
+
+def _exchanged(s, d):
+    return rounded(ml.exchanged(model_rows(s, d), ["ticker", "date", "rsi_14"]).select(
+        "ticker", "date", F.col("_o_ticker").alias("other_ticker"), F.col("_o_date").alias("other_date"), F.col("_o_rsi_14").alias("other_rsi")))
+
+
+_FOLLOWS = "OVER (ORDER BY md5('42|' || ticker || '|' || CAST(date AS VARCHAR)), ticker, date)"
+EXCHANGED_SQL = f"""mex AS (SELECT *, lead(struct_pack(ticker := ticker, date := date, {', '.join(f'{c} := {c}' for c in ML_FEATURES)})) {_FOLLOWS} AS nxt,
+   row_number() {_FOLLOWS} AS place FROM mrow),
+ mpair AS (SELECT a.*, coalesce(a.nxt, f.me) AS other FROM mex a,
+   (SELECT struct_pack(ticker := ticker, date := date, {', '.join(f'{c} := {c}' for c in ML_FEATURES)}) AS me FROM mex WHERE place = 1) f)"""
+# a linear model's error changes by its coefficient times the exchanged, standardised difference
+IMPORTANCE_SQL = [*ML_FIT, EXCHANGED_SQL,
+                  "msd AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in ML_FEATURES) + " FROM mrow)",
+                  "mco AS (SELECT " + ", ".join(f"max(coefficient) FILTER (term = '{c}') AS c_{c}" for c in ["alpha", *ML_FEATURES]) + " FROM mfit)",
+                  "merr AS (SELECT p.*, msd.*, mco.*, target - c_alpha - " + " - ".join(f"c_{c} * ({c} - m_{c}) / s_{c}" for c in ML_FEATURES)
+                  + " AS err FROM mpair p, msd, mco)",
+                  "mimp AS (" + " UNION ALL ".join(
+                      f"SELECT '{c}' AS feature, avg(pow(err - c_{c} * (other.{c} - {c}) / s_{c}, 2)) AS loss, avg(err * err) AS base FROM merr"
+                      for c in ML_FEATURES) + ")"]
 
 
 def _saved_model(s, rows):
@@ -678,7 +717,11 @@ QUERIES = {
                curve_sql("reg", "curve", "ticker, regime")], report_sql("curve", "ticker, regime"),
               "ticker regime trading_days", "sharpe_ratio max_drawdown total_return", 6, WILD)),
     "sg10_trade_bootstrap": (
-        lambda s, d: rounded(signals.bootstrap(signals.trades(signals.simulate(signals.macd_signals(daily(s, d)))))), None),
+        lambda s, d: rounded(signals.bootstrap(signals.trades(signals.simulate(signals.macd_signals(daily(s, d))))), 6, **_DRAWN_SPECIAL),
+        check([*MACD_SIG, SIM, TRADES, *BOOTSTRAP_SQL], """SELECT ticker, count(*) AS simulations, quantile_cont(result, 0.5) AS median_return,
+              quantile_cont(result, 0.05) AS return_5pct, quantile_cont(result, 0.95) AS return_95pct,
+              count(*) FILTER (result > 0) / count(*)::DOUBLE AS prob_positive FROM ends GROUP BY ticker""",
+              "ticker simulations", "median_return return_5pct return_95pct prob_positive", 6, _DRAWN_SPECIAL)),
     # --- models ------------------------------------------------------------------------------------
     "ml1_time_folds": (lambda s, d: ml.fold_table(daily(s, d)), FOLD_SQL.format(bars=BARS)),
     "ml2_ml3_linear_cross_validation": (_cv(lambda n: ml.linear_stage(None, rows=n)), None),
@@ -704,7 +747,13 @@ QUERIES = {
     "ml6_tree_classifier": (_ml(lambda s, rows: _trees(s, rows, True)), None),
     "ml6_tree_regressor": (_ml(lambda s, rows: _trees(s, rows, False)), None),
     "ml7_model_report": (_ml(lambda s, rows: rounded(ml.model_report(rows, ML_FEATURES, "linear", 1.0, "ridge")[1])), None),
-    "ml8_permutation_importance": (_ml(_importance), None),
+    "ml8_permutation_importance": (
+        _ml(_importance),
+        check(IMPORTANCE_SQL, "SELECT *, loss - base AS importance FROM mimp", "feature", "loss importance", 5)),
+    "ml8_exchanged_rows": (
+        _exchanged,
+        check([*ML_FIT, EXCHANGED_SQL], "SELECT ticker, date, other.ticker AS other_ticker, other.date AS other_date, other.rsi_14 AS other_rsi FROM mpair",
+              "ticker date other_ticker other_date", "other_rsi")),
     "snk6_saved_model": (_ml(_saved_model), None),
     # --- streams -------------------------------------------------------------------------------------
     "st1_incremental_ingest": (

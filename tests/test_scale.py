@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.functions.frames import Series
-from barspark.operators import indicators, intraday, macd, ranking, scoring
+from barspark.operators import indicators, intraday, macd, ml, ranking, scoring, signals
 from barspark.operators.long_series import numbered, over_blocks
 from barspark.plans.tables import bars_daily, bars_minute, table
 
@@ -196,3 +196,54 @@ def test_approximate_counts_are_asked_for(spark):
     df = spark.range(1000)
     assert df.agg(distinct_count("id").alias("n")).first()["n"] == 1000
     assert abs(df.agg(distinct_count("id", True).alias("n")).first()["n"] - 1000) < 150
+
+
+def test_resampling_draws_without_rows_of_draws(spark):
+    r = np.random.default_rng(3)
+    growth = np.exp(r.normal(0.01, 0.05, 400))
+    pdf = pd.DataFrame({"ticker": "A", "trade": range(400), "trade_return": growth - 1})
+    one = pd.DataFrame({"ticker": ["B", "C"], "trade": [1, 1], "trade_return": [0.5, None]})
+    df = signals.bootstrap(spark.createDataFrame(pd.concat([pdf, one])), 2_000)
+    assert "Join" not in plan(df) and exchanges(df) == 1
+    got = {row["ticker"]: row for row in df.collect()}
+    ends = np.log(growth).sum() + np.sqrt(400) * np.log(growth).std() * np.array([-1.645, 0.0, 1.645])
+    drawn = np.log1p([got["A"]["return_5pct"], got["A"]["median_return"], got["A"]["return_95pct"]])
+    assert np.allclose(drawn, ends, atol=0.15 * np.sqrt(400) * np.log(growth).std())
+    assert got["B"]["median_return"] == pytest.approx(0.5) and got["B"]["simulations"] == 2_000
+    assert set(got) == {"A", "B"}
+
+
+def test_draws_are_even_and_independent():
+    def mixed(x):
+        for shift, factor in signals._MIX:
+            x = ((x ^ (x >> shift)) * factor) % (1 << signals._BITS)
+        return x
+
+    n, sims = 50, 2_000
+    starts = mixed((123_456_789 + np.arange(1, sims + 1, dtype=np.int64) * 1_000_003) % (1 << signals._BITS))
+    at = (mixed((starts[:, None] + np.arange(1, n + 1)) % (1 << signals._BITS)) * n) >> signals._BITS
+    counts = np.stack([(at == i).sum(axis=1) for i in range(n)], axis=1)
+    assert abs(counts.mean(axis=0) - 1).max() < 0.12
+    assert counts.var(axis=0).mean() == pytest.approx(1 - 1 / n, rel=0.05)
+    assert abs(np.corrcoef(counts.T)[np.triu_indices(n, 1)].mean() + 1 / (n - 1)) < 0.01
+
+
+def test_exchange_uses_each_value_once_and_not_the_number_of_parts(spark, monkeypatch):
+    rows = [(f"T{i % 7}", datetime.date(2020, 1, 1) + datetime.timedelta(days=i // 7), float(i), None if i % 11 == 0 else 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double, y double").repartition(5)
+    found = []
+    for digits in (0, 1, 4):
+        monkeypatch.setattr(ml, "_PART_DIGITS", digits)
+        found.append({r["x"]: (r["_o_x"], r["_o_y"]) for r in ml.exchanged(df, ["x", "y"]).collect()})
+    assert found[0] == found[1] == found[2]
+    assert sorted(o for o, _ in found[0].values()) == [float(i) for i in range(500)]
+    assert all((y is None) == (o % 11 == 0) for o, y in found[0].values())
+    start, steps = 0.0, 0
+    while steps == 0 or start != 0.0:
+        start, steps = found[0][start][0], steps + 1
+    assert steps == 500  # one round through all rows
+    larger = df.union(spark.createDataFrame([("Z", datetime.date(2021, 1, 1), 500.0, 1.0)], df.schema))
+    more = {r["x"]: r["_o_x"] for r in ml.exchanged(larger, ["x"]).collect()}
+    assert sum(more[x] != o for x, (o, _) in found[0].items()) == 1
+    assert ml.exchanged(df.limit(0), ["x"]).count() == 0
+    assert ml.exchanged(df.filter("x = 3"), ["x"]).first()["_o_x"] == 3.0
