@@ -57,6 +57,10 @@ POSITION = "_pos"
 BLOCK_COLUMN = "_blk"
 
 
+#: Rows from which blocks cost less than a frame that looks at its whole width for each row.
+WIDE = 64
+
+
 def positioned(df: DataFrame, series: Series) -> DataFrame:
     """Add the 0-based row position in the series, once."""
     if POSITION in df.columns:
@@ -80,3 +84,39 @@ def previous(column: str | Column, series: Series, n: int = 1) -> Column:
 
 def following(column: str | Column, series: Series, n: int = 1) -> Column:
     return F.lead(column, n).over(series.ordered())
+
+
+def extremes(df: DataFrame, wanted: dict[str, tuple[str, str]], n: int, series: Series, ahead: bool = False,
+             wide: int = WIDE) -> DataFrame:
+    """Add ``name: (column, "max" or "min")`` over the last ``n`` rows, or the next ``n`` (NULL unless all exist).
+
+    From ``wide`` rows on the work per row doesn't depend on ``n``: the series is cut into
+    blocks of ``n`` rows, and any ``n`` neighbouring rows are the end of one block and the
+    start of the next, so their extreme is that of a running one from the block's end and
+    a running one from the next block's start.
+    """
+    pick = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    if n < wide:
+        rows = series.next(n) if ahead else series.last(n)
+        found = {name: pick[kind][0](column).over(rows) for name, (column, kind) in wanted.items()}
+        there = F.count(F.lit(1)).over(rows) == n
+        return df.withColumns({name: F.when(there, c) for name, c in found.items()} if ahead else found)
+    had_position = POSITION in df.columns
+    df = positioned(df, series)
+    block = f"{BLOCK_COLUMN}_extremes"
+    df = df.withColumn(block, F.floor(F.col(POSITION) / n))
+    inside = Window.partitionBy(*series.keys, block)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    start = inside.orderBy(series.order).rowsBetween(*running)
+    end = inside.orderBy(F.desc(series.order)).rowsBetween(*running)
+    df = df.withColumns({f"_start_{name}": pick[kind][0](c).over(start) for name, (c, kind) in wanted.items()})
+    df = df.withColumns({f"_end_{name}": pick[kind][0](c).over(end) for name, (c, kind) in wanted.items()})
+    out = {}
+    for name, (_, kind) in wanted.items():
+        # a row without n - 1 before it lies in the first block, whose start is all there is
+        both = ((following(f"_end_{name}", series), following(f"_start_{name}", series, n)) if ahead
+                else (previous(f"_end_{name}", series, n - 1), F.col(f"_start_{name}")))
+        value = pick[kind][1](*both)
+        out[name] = F.when(following(POSITION, series, n).isNotNull(), value) if ahead else value
+    df = df.withColumns(out).drop(block, *[f"_{side}_{name}" for name in wanted for side in ("start", "end")])
+    return df if had_position else df.drop(POSITION)

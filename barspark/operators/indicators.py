@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ewm import ewm
-from ..functions.frames import DAILY, POSITION, Series, full, positioned, previous
+from ..functions.frames import DAILY, POSITION, Series, extremes, full, positioned, previous
 from ..functions.numeric import TRADING_DAYS, ratio
 
 INDICATORS = ["rsi_14", "stoch_k", "stoch_d", "roc_10", "adx_14", "bb_upper", "bb_middle", "bb_lower", "bb_pct",
@@ -71,9 +71,7 @@ def _mean(column: str, n: int, series: Series) -> Column:
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3, series: Series = DAILY) -> DataFrame:
     df = positioned(df, series)
-    low = F.min("low").over(series.last(k))
-    high = F.max("high").over(series.last(k))
-    df = df.withColumns({"_lo": low, "_hi": high})
+    df = extremes(df, {"_lo": ("low", "min"), "_hi": ("high", "max")}, k, series)
     df = df.withColumn("stoch_k", full(ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 100.0, k))
     seen = F.count("stoch_k").over(series.last(d)) == d
     return df.withColumn("stoch_d", F.when(seen, F.avg("stoch_k").over(series.last(d)))).drop("_lo", "_hi")
@@ -171,7 +169,7 @@ def chart_range(df: DataFrame, period: str, series: Series = DAILY) -> DataFrame
 
 def williams_r(df: DataFrame, n: int = 14, series: Series = DAILY) -> DataFrame:
     df = positioned(df, series)
-    df = df.withColumns({"_hi": F.max("high").over(series.last(n)), "_lo": F.min("low").over(series.last(n))})
+    df = extremes(df, {"_hi": ("high", "max"), "_lo": ("low", "min")}, n, series)
     return df.withColumn(f"williams_r_{n}", full(
         F.lit(-100.0) * ratio(F.col("_hi") - F.col("close"), F.col("_hi") - F.col("_lo")), n)).drop("_hi", "_lo")
 

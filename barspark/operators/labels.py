@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.frames import DAILY, INTRADAY, Series, following
+from ..functions.frames import DAILY, INTRADAY, Series, extremes, following
 from ..functions.numeric import change, ratio
 from ..functions.tickers import tradable_only, with_chart_links
 from .intraday import in_price_band
@@ -13,12 +13,7 @@ from .macd import crossings, macd
 
 def forward_extremes(df: DataFrame, bars: int, series: Series = INTRADAY) -> DataFrame:
     """Highest high and lowest low of the next ``bars`` rows; NULL unless all of them exist."""
-    ahead = series.next(bars)
-    whole = F.count(F.lit(1)).over(ahead) == bars
-    return df.withColumns({
-        f"fwd_max_high_{bars}": F.when(whole, F.max("high").over(ahead)),
-        f"fwd_min_low_{bars}": F.when(whole, F.min("low").over(ahead)),
-    })
+    return extremes(df, {f"fwd_max_high_{bars}": ("high", "max"), f"fwd_min_low_{bars}": ("low", "min")}, bars, series, ahead=True)
 
 
 def label_moves(df: DataFrame, move: float, bars: int, entry: str = "close") -> DataFrame:

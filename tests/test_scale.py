@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.functions.frames import Series
+from barspark.functions.frames import Series, extremes
 from barspark.operators import indicators, intraday, macd, ml, ranking, scoring, signals
 from barspark.operators.long_series import numbered, over_blocks
 from barspark.plans.tables import bars_daily, bars_minute, table
@@ -247,3 +247,22 @@ def test_exchange_uses_each_value_once_and_not_the_number_of_parts(spark, monkey
     assert sum(more[x] != o for x, (o, _) in found[0].items()) == 1
     assert ml.exchanged(df.limit(0), ["x"]).count() == 0
     assert ml.exchanged(df.filter("x = 3"), ["x"]).first()["_o_x"] == 3.0
+
+
+@pytest.mark.parametrize("n", [2, 7, 30, 256, 900])
+def test_sliding_extremes_by_blocks_equal_frames(spark, n):
+    r = np.random.default_rng(n)
+    pdf = pd.DataFrame({"ticker": ["A"] * 700 + ["B"] * 256 + ["C"], "at": [*range(700), *range(256), 0], "v": r.normal(size=957)})
+    pdf.loc[r.random(957) < 0.1, "v"] = None
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))).repartition(4)
+    series = Series(("ticker",), "at", 1_000)
+    wanted = {"hi": ("v", "max"), "lo": ("v", "min")}
+    for ahead in (False, True):
+        plain, blocks = (extremes(df, wanted, n, series, ahead, wide).orderBy("ticker", "at").collect() for wide in (10_000, 2))
+        assert plain == blocks and any(row["hi"] is not None for row in plain) == (not ahead or n < 700)
+
+
+def test_wide_extremes_take_no_further_exchange(spark):
+    series = Series(("ticker",), "at", 1_000)
+    df = spark.range(1_000).select((F.col("id") % 3).alias("ticker"), F.col("id").alias("at"), F.col("id").alias("v"))
+    assert exchanges(extremes(df, {"hi": ("v", "max")}, 500, series)) == 1
