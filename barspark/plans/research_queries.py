@@ -414,7 +414,7 @@ def _cv(stage, classify=False):
 def _importance(s, rows):
     model = ml.fit_linear(rows, ML_FEATURES)
     out = ml.permutation_importance(model, rows, ML_FEATURES)
-    return rounded(s.createDataFrame(out.collect(), out.schema), 5)  # one row per feature
+    return rounded(s.createDataFrame(out.collect(), out.schema))  # one row per feature
 
 
 def _exchanged(s, d):
@@ -749,7 +749,7 @@ QUERIES = {
     "ml7_model_report": (_ml(lambda s, rows: rounded(ml.model_report(rows, ML_FEATURES, "linear", 1.0, "ridge")[1])), None),
     "ml8_permutation_importance": (
         _ml(_importance),
-        check(IMPORTANCE_SQL, "SELECT *, loss - base AS importance FROM mimp", "feature", "loss importance", 5)),
+        check(IMPORTANCE_SQL, "SELECT *, loss - base AS importance FROM mimp", "feature", "loss importance")),
     "ml8_exchanged_rows": (
         _exchanged,
         check([*ML_FIT, EXCHANGED_SQL], "SELECT ticker, date, other.ticker AS other_ticker, other.date AS other_date, other.rsi_14 AS other_rsi FROM mpair",
