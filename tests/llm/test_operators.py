@@ -273,6 +273,17 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_rows_without_id_and_tells_long_patterned_words_apart(spark):
+    a, b, c = (" ".join(f"w{i}" for i in range(first, first + 60)) for first in (0, 4, 8))  # a and c are linked by b alone
+    pattern = "a"
+    while len(pattern) < 4096:
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(7, a), (None, b), (9, c), (20, pattern), (21, other), (22, "p q r " + pattern), (23, "p q r " + other)], DOCS)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.join(df, 4, 85).collect()}
+    assert got == {(7, 7), (None, 7), (9, 7), (20, 20), (21, 21), (22, 22), (23, 23)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["node"]: r["root"] for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
