@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.frames import DAILY, Series, following
 from ..functions.numeric import change, ratio
 from ..sources.folders import written
-from .ranking import average_ranks, quantiles
+from .ranking import RANGE_ROWS, average_ranks, quantiles
 
 MIN_NAMES = 10
 _BY_DAY = ["factor", "horizon", "date"]
@@ -68,15 +68,15 @@ def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("t_stat", F.coalesce(t, F.lit(0.0)))
 
 
-def quantile_bins(rows: DataFrame, q: int = 5) -> DataFrame:
+def quantile_bins(rows: DataFrame, q: int = 5, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the 1-based quantile of ``value`` within its factor and date.
 
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
-    date whose values are all equal has none.
+    date whose values are all equal has none.  A date of more than ``range_rows`` rows is ordered in ranges.
     """
     group = ["factor", "date"]
     rows = written(rows, "quantiles")  # read for the edges and again for the rows
-    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", stored=True)
+    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", range_rows, stored=True)
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     df = rows.join(edges, group)
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))

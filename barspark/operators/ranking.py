@@ -1,7 +1,8 @@
 """Exact average ranks and quantiles inside groups of any size, by one plan.
 
-``rank() over (partition by date order by x)`` sorts a whole group in one task.  Here a
-mergeable quantile sketch of each group gives range splitters, more of them for larger
+``rank() over (partition by date order by x)`` sorts a whole group in one task, which suits
+groups of up to ``RANGE_ROWS`` rows.  For each of the others, found by counting, a mergeable
+quantile sketch gives range splitters, more of them for larger
 groups; the rows between two splitters are ordered together, and the sizes of the ranges
 are accumulated over the few ranges of a group.  Rows that equal a splitter (a value that
 many rows share is one) need no order: their rank follows from the sizes alone, so they are
@@ -23,14 +24,22 @@ _SPREAD = 64
 _HASHED = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "date", "timestamp", "boolean")
 
 
-def splitters(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per group with the ascending range splitters ``_cuts_<i>`` of the i-th value; none for a group of one range."""
+def crowded(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """The groups in which some value has more than ``rows`` rows, with ``_count_<i>`` of the i-th value."""
+    counts = df.groupBy(*group).agg(*[F.count(v).alias(f"_count_{i}") for i, v in enumerate(values)])
+    return written(counts.where(reduce(Column.__or__, [F.col(f"_count_{i}") > F.lit(int(rows)) for i in range(len(values))])), "crowded")
+
+
+def splitters(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS, found: DataFrame | None = None) -> DataFrame:
+    """One row per crowded group with the ascending range splitters ``_cuts_<i>`` of the i-th value; only the rows of such groups are sketched."""
     points = [i / RANGES for i in range(1, RANGES)]
-    sketched = df.groupBy(*group).agg(*[c for i, v in enumerate(values) for c in (
-        F.count(v).alias(f"_count_{i}"), F.percentile_approx(v, points, ACCURACY).alias(f"_points_{i}"))])
+    found = crowded(df, group, values, rows) if found is None else found
+    counts = [f"_count_{i}" for i in range(len(values))]
+    sketched = _same(df, found, group).groupBy(*group, *counts).agg(
+        *[F.percentile_approx(v, points, ACCURACY).alias(f"_points_{i}") for i, v in enumerate(values)])
 
     def thinned(i: int) -> Column:
-        ranges = F.least(F.lit(RANGES), F.ceil(F.col(f"_count_{i}") / rows))
+        ranges = F.least(F.lit(RANGES), F.ceil(F.col(f"_count_{i}") / max(int(rows), 1)))
         step = F.ceil(F.lit(RANGES) / F.greatest(ranges, F.lit(1)))
         some = F.filter(f"_points_{i}", lambda p, at: (at + 1) % step == 0)
         return F.array_distinct(F.coalesce(some, F.array().cast(sketched.schema[f"_points_{i}"].dataType)))
@@ -49,16 +58,22 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inne
     return df.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]), how).drop(*[f"_other_{k}" for k in keys])
 
 
-def placed(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS, stored: bool = False) -> DataFrame:
-    """The rows with, for the i-th value, ``_below_<i>`` (rows of the group under it), ``_n_<i>`` (rows with that value) and ``_total_<i>`` (rows with any).
+def _whole(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """``placed`` for groups that one task can order: one exchange by group serves all values, each takes a sort."""
+    whole = Window.partitionBy(*group)
+    out = df.repartition(*group)
+    for i, v in enumerate(values):
+        there = F.col(v).isNotNull()
+        nulls = F.count(F.lit(1)).over(whole) - F.count(v).over(whole)  # they come first
+        out = out.withColumns({f"_below_{i}": F.when(there, F.rank().over(whole.orderBy(v)) - 1 - nulls),
+                               f"_n_{i}": F.when(there, F.count(F.lit(1)).over(Window.partitionBy(*group, v))),
+                               f"_total_{i}": F.when(there, F.count(v).over(whole))})
+    return out
 
-    NULL has none of them.  The rows are written once (unless ``stored`` already) and read for the sketch, the sizes of the ranges and the ranks; each value
-    takes one exchange of the rows, by group, range and, for a splitter's own rows, a hash.
-    """
-    group, values = list(group), list(values)
+
+def _in_ranges(df: DataFrame, cuts: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """``placed`` for crowded groups: each value takes one exchange, by group, range and, for a splitter's own rows, a hash."""
     salted = [c for c, t in df.dtypes if t in _HASHED]
-    df = df if stored else written(df, "ranking")
-    cuts = splitters(df, group, values, rows)
     ranged = _same(df, cuts, group).withColumns({f"_range_{i}": _range(F.col(v), F.col(f"_cuts_{i}")) for i, v in enumerate(values)})
     out = ranged.drop(*[f"_cuts_{i}" for i in range(len(values))])
     for i, v in enumerate(values):
@@ -77,6 +92,19 @@ def placed(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int
     return out
 
 
+def placed(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int = RANGE_ROWS, stored: bool = False) -> DataFrame:
+    """The rows with, for the i-th value, ``_below_<i>`` (rows of the group under it), ``_n_<i>`` (rows with that value) and ``_total_<i>`` (rows with any).
+
+    NULL has none of them.  The rows are written once (unless ``stored`` already) and read for the counts and the ranks, those of crowded groups
+    for the sketch and the sizes of the ranges too.
+    """
+    group, values = list(group), list(values)
+    df = df if stored else written(df, "ranking")
+    found = crowded(df, group, values, rows)
+    cuts = splitters(df, group, values, rows, found)
+    return _whole(_same(df, found, group, "left_anti"), group, values).unionByName(_in_ranges(df, cuts, group, values))
+
+
 def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], rows: int = RANGE_ROWS) -> DataFrame:
     """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL."""
     out = placed(df, group, list(columns), rows)

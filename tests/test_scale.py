@@ -54,6 +54,21 @@ def test_ranking_has_one_plan_at_all_sizes(spark):
     assert len(shapes) == 1
 
 
+def test_only_crowded_groups_are_sketched_and_values_share_an_exchange(spark):
+    df = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, F.lit("big")).when(F.col("id") % 3 == 1, F.concat(F.lit("s"), F.col("id") % 100)).alias("g"),
+                                   F.when(F.col("id") % 7 > 0, (F.col("id") * 7 % 101).cast("double")).alias("v"), (-F.col("id")).cast("double").alias("w"), "id")
+    cuts = ranking.splitters(df.where("g IS NOT NULL"), ["g"], ["v"], 500).collect()
+    assert [r["g"] for r in cuts] == ["big"] and ranking.splitters(df, ["g"], ["v"]).isEmpty()
+    pdf = df.toPandas().sort_values("id")
+    for rows in (500, ranking.RANGE_ROWS):  # a NULL group is a group as well
+        got = ranking.average_ranks(df, ["g"], {"v": "a", "w": "b"}, rows).orderBy("id").toPandas()
+        for value, rank in (("v", "a"), ("w", "b")):
+            want = pdf.groupby(pdf["g"].fillna("none"))[value].rank().to_numpy()
+            assert np.allclose(got[rank].astype(float), want, equal_nan=True)
+    whole = ranking._whole(df, ["g"], ["v", "w"])
+    assert exchanges(whole) == 1
+
+
 def test_outliers_leave_the_ranges_even(spark):
     r = np.random.default_rng(1)
     values = np.concatenate([r.normal(size=199_995), [1e300, -1e300, 1e12, -1e9, 1e8]])
