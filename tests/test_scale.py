@@ -69,6 +69,14 @@ def test_only_crowded_groups_are_sketched_and_values_share_an_exchange(spark):
     assert exchanges(whole) == 1
 
 
+def test_rsi_walk_forward_sorts_its_slices_once(spark):
+    df = spark.range(400).select(F.lit("T").alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                                 (F.col("id") * 37 % 23 + 10).cast("double").alias("close"))
+    few = signals.walk_forward(df, signals.parameter_grid(period=(9, 14), oversold=(30,), overbought=(65,)), strategy="rsi")
+    assert len(re.findall(r"Sort \[[^]]*phase#\d+ ASC", plan(few))) == 1
+    assert few.count() > 0
+
+
 def test_outliers_leave_the_ranges_even(spark):
     r = np.random.default_rng(1)
     values = np.concatenate([r.normal(size=199_995), [1e300, -1e300, 1e12, -1e9, 1e8]])
