@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.functions.frames import Series, extremes
+from barspark.functions.ewm import ewm
+from barspark.functions.frames import DAILY, Series, dealt, extremes
 from barspark.operators import indicators, intraday, macd, ml, ranking, scoring, signals
 from barspark.operators.long_series import numbered, over_blocks
 from barspark.plans.tables import bars_daily, bars_minute, table
@@ -289,3 +290,25 @@ def test_wide_extremes_take_no_further_exchange(spark):
     series = Series(("ticker",), "at", 1_000)
     df = spark.range(1_000).select((F.col("id") % 3).alias("ticker"), F.col("id").alias("at"), F.col("id").alias("v"))
     assert exchanges(extremes(df, {"hi": ("v", "max")}, 500, series)) == 1
+
+
+def test_partitions_of_bars_follow_the_number_of_lines(spark, tmp_path):
+    lines = spark.range(120_000).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 400).alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"),
+        (F.col("id") % 97 + 1.0).alias("l_extendedprice"), F.lit(0.01).alias("l_discount"), F.lit(0.02).alias("l_tax"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 400).cast("int")).alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    bars = bars_daily(spark, str(tmp_path))
+    assert bars.rdd.getNumPartitions() == 3 and bars.count() == 120_000
+    grid = signals.macd_grid((5,), (13,), (5,))
+    for df in (ewm(bars, {"e": (F.col("close"), 5)}, DAILY), signals.walk_forward(bars, grid), signals.run_strategy(bars, "rsi")):
+        by_ticker = re.findall(r"Exchange hashpartitioning\(ticker#\d+, (\d+)\)", plan(df))
+        assert by_ticker and set(by_ticker) == {"3"}
+
+
+def test_dealt_rows_keep_their_keys_together(spark):
+    df = dealt(spark.range(1_000).select((F.col("id") % 50).alias("k"), "id"), 1_000, ["k"], 100)
+    assert df.rdd.getNumPartitions() == 10
+    parts = df.select("k", F.spark_partition_id().alias("part")).groupBy("k")
+    assert parts.agg(F.count_distinct("part").alias("n"), F.count("part").alias("rows")).where("n > 1 OR rows <> 20").count() == 0
+    assert dealt(df, 0, ["k"]).count() == 1_000
