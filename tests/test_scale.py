@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.functions.ewm import ewm
+from barspark.functions.ewm import ewm, memory, widths
 from barspark.functions.frames import DAILY, Series, dealt, extremes
 from barspark.operators import indicators, intraday, macd, ml, ranking, scoring, signals
 from barspark.operators.long_series import numbered, over_blocks
@@ -312,3 +312,19 @@ def test_dealt_rows_keep_their_keys_together(spark):
     parts = df.select("k", F.spark_partition_id().alias("part")).groupBy("k")
     assert parts.agg(F.count_distinct("part").alias("n"), F.count("part").alias("rows")).where("n > 1 OR rows <> 20").count() == 0
     assert dealt(df, 0, ["k"]).count() == 1_000
+
+
+def test_spans_share_blocks_and_their_sort(spark):
+    assert widths([5, 50]) == {5: 1479, 50: 1479} and widths([14, 14], [2_048]) == {14: 2_048}
+    apart = widths([2, 5, 50, 1_000])
+    assert len(set(apart.values())) > 1 and all(memory(s) <= w for s, w in apart.items())
+    r = np.random.default_rng(5)
+    pdf = pd.concat([pd.DataFrame({"ticker": t, "date": pd.date_range("1990-01-01", periods=n).date, "close": 50 + np.cumsum(r.normal(size=n))}) for t, n in (("A", 5_000), ("B", 3))])
+    spans = (2, 5, 50, 1_000)
+    df = ewm(spark.createDataFrame(pdf), {f"e{s}": (F.col("close"), s) for s in spans}, DAILY)
+    got = df.toPandas().sort_values(["ticker", "date"])
+    for s in spans:
+        want = np.concatenate([g["close"].ewm(span=s, adjust=False).mean() for _, g in pdf.groupby("ticker")])
+        assert np.allclose(got[f"e{s}"], want, rtol=1e-10)
+    two = ewm(spark.createDataFrame(pdf), {"e5": (F.col("close"), 5), "e50": (F.col("close"), 50)}, DAILY)
+    assert len(re.findall(r"\bSort \[", plan(two))) == 2
