@@ -1,6 +1,7 @@
 """Hot keys and long series give whole, exact results; plans have the shape they were designed for."""
 
 import datetime
+import hashlib
 import re
 
 import numpy as np
@@ -328,3 +329,29 @@ def test_spans_share_blocks_and_their_sort(spark):
         assert np.allclose(got[f"e{s}"], want, rtol=1e-10)
     two = ewm(spark.createDataFrame(pdf), {"e5": (F.col("close"), 5), "e50": (F.col("close"), 50)}, DAILY)
     assert len(re.findall(r"\bSort \[", plan(two))) == 2
+
+
+def test_resampling_multiplies_whole_blocks_of_slots(spark):
+    r = np.random.default_rng(11)
+    pdf = pd.concat([pd.DataFrame({"ticker": t, "trade": range(n), "trade_return": r.normal(0.01, 0.1, n)}) for t, n in (("A", 150), ("B", 64), ("C", 1), (None, 3))])
+    df = signals.bootstrap(spark.createDataFrame(pdf, "ticker string, trade long, trade_return double"), 50, 7)
+    assert "aggregate(" not in plan(df)  # no draw is a call of an interpreted function
+
+    def mixed(x):
+        for shift, factor in signals._MIX:
+            x = ((x ^ (x >> shift)) * factor) % (1 << signals._BITS)
+        return x
+
+    got = {row["ticker"]: row for row in df.collect()}
+    assert set(got) == {"A", "B", "C", None}
+    for ticker, of in pdf.dropna().groupby("ticker"):
+        own, growth, ends = int(hashlib.md5(ticker.encode()).hexdigest()[:7], 16), 1.0 + of["trade_return"].to_numpy(), []
+        for s in range(1, 51):
+            start, end = mixed((own + 7 + s * 1_000_003) % (1 << signals._BITS)), 1.0
+            for slot in range(1, len(growth) + 1):
+                end *= growth[(mixed((start + slot) % (1 << signals._BITS)) * len(growth)) >> signals._BITS]
+            ends.append(end - 1.0)
+        row = got[ticker]
+        assert row["simulations"] == 50 and row["prob_positive"] == np.mean(np.array(ends) > 0)
+        assert np.allclose([row["return_5pct"], row["median_return"], row["return_95pct"]], np.quantile(ends, [0.05, 0.5, 0.95]), rtol=1e-12, atol=1e-12)
+    assert tuple(got[None]) == (None, 50, None, None, None, 0.0)  # nothing to draw by
