@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.frames import DAILY, Series, following
+from ..functions.frames import DAILY, Series, dealt, following
 from ..functions.numeric import change, ratio
 from ..sources.folders import written
-from .ranking import RANGE_ROWS, average_ranks, quantiles
+from .ranking import PART_ROWS, RANGE_ROWS, average_ranks, quantiles
 
 MIN_NAMES = 10
 _BY_DAY = ["factor", "horizon", "date"]
+_BY_NAME = ["factor", "ticker"]
 
 
 def factor_rows(table: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def joined_prices(factor: DataFrame, prices: DataFrame) -> DataFrame:
 
 def with_forward(rows: DataFrame, horizons: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row per horizon with ``fwd``, the return to that many rows ahead (NULL at the end)."""
-    series = Series(("factor", "ticker"), "date", DAILY.max_rows)
+    series = Series(tuple(_BY_NAME), "date", DAILY.max_rows)
     ahead = rows.withColumns({f"_f{h}": change(following("close", series, h), F.col("close")) for h in horizons})
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
     kept = [c for c in rows.columns if c != "close"]
@@ -73,6 +74,7 @@ def quantile_bins(rows: DataFrame, q: int = 5, range_rows: int = RANGE_ROWS) ->
 
     Edges are exact interpolated quantiles, right-closed; equal edges are merged, and a
     date whose values are all equal has none.  A date of more than ``range_rows`` rows is ordered in ranges.
+    The rows are dealt out by factor and name, as the returns that follow need them.
     """
     group = ["factor", "date"]
     rows = written(rows, "quantiles")  # read for the edges and again for the rows
@@ -80,7 +82,8 @@ def quantile_bins(rows: DataFrame, q: int = 5, range_rows: int = RANGE_ROWS) ->
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     df = rows.join(edges, group)
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
-    return df.withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
+    df = df.withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
+    return dealt(df, rows.count(), _BY_NAME, PART_ROWS)
 
 
 def quantile_returns(binned_pairs: DataFrame) -> DataFrame:
@@ -123,8 +126,9 @@ def cumulative_factor_returns(daily: DataFrame, gross: float = 1.0) -> DataFrame
 
 def ranked(rows: DataFrame) -> DataFrame:
     """Rank of each name on its date and the rank it had on its row before."""
-    df = average_ranks(rows, ["factor", "date"], {"value": "rank"})
-    series = Series(("factor", "ticker"), "date", DAILY.max_rows)
+    rows = written(rows, "ranks")
+    df = dealt(average_ranks(rows, ["factor", "date"], {"value": "rank"}, stored=True), rows.count(), _BY_NAME, PART_ROWS)
+    series = Series(tuple(_BY_NAME), "date", DAILY.max_rows)
     return df.withColumn("rank_before", F.lag("rank").over(series.ordered()))
 
 

@@ -16,8 +16,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.frames import dealt
 from ..sources.folders import written
 
+#: Rows of a partition, about, where each value takes one sort.
+PART_ROWS = 250_000
 #: Ranges of a group at most, rows of a range about, and the sketch's accuracy.
 RANGES, RANGE_ROWS, ACCURACY = 64, 100_000, 1_000
 _SPREAD = 64
@@ -58,10 +61,13 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inne
     return df.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]), how).drop(*[f"_other_{k}" for k in keys])
 
 
-def _whole(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
-    """``placed`` for groups that one task can order: one exchange by group serves all values, each takes a sort."""
+def _whole(df: DataFrame, group: list[str], values: list[str], size: int | None = None) -> DataFrame:
+    """``placed`` for groups that one task can order: one exchange by group serves all values, each takes a sort.
+
+    ``size`` is the number of rows; without it the session's number of partitions holds.
+    """
     whole = Window.partitionBy(*group)
-    out = df.repartition(*group)
+    out = df.repartition(*group) if size is None else dealt(df, size, group, PART_ROWS)
     for i, v in enumerate(values):
         there = F.col(v).isNotNull()
         nulls = F.count(F.lit(1)).over(whole) - F.count(v).over(whole)  # they come first
@@ -96,18 +102,18 @@ def placed(df: DataFrame, group: Sequence[str], values: Sequence[str], rows: int
     """The rows with, for the i-th value, ``_below_<i>`` (rows of the group under it), ``_n_<i>`` (rows with that value) and ``_total_<i>`` (rows with any).
 
     NULL has none of them.  The rows are written once (unless ``stored`` already) and read for the counts and the ranks, those of crowded groups
-    for the sketch and the sizes of the ranges too.
+    for the sketch and the sizes of the ranges too.  Their number, which the files have, decides on the number of partitions.
     """
     group, values = list(group), list(values)
     df = df if stored else written(df, "ranking")
     found = crowded(df, group, values, rows)
     cuts = splitters(df, group, values, rows, found)
-    return _whole(_same(df, found, group, "left_anti"), group, values).unionByName(_in_ranges(df, cuts, group, values))
+    return _whole(_same(df, found, group, "left_anti"), group, values, df.count()).unionByName(_in_ranges(df, cuts, group, values))
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], rows: int = RANGE_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], columns: dict[str, str], rows: int = RANGE_ROWS, stored: bool = False) -> DataFrame:
     """Add 1-based ranks (``columns``: value -> rank name), ties sharing their mean; NULL stays NULL."""
-    out = placed(df, group, list(columns), rows)
+    out = placed(df, group, list(columns), rows, stored)
     return out.select(*df.columns, *[(F.col(f"_below_{i}") + (F.col(f"_n_{i}") + 1) / 2.0).alias(name) for i, name in enumerate(columns.values())])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.ewm import ewm, memory, widths
 from barspark.functions.frames import DAILY, Series, dealt, extremes
-from barspark.operators import indicators, intraday, macd, ml, ranking, scoring, signals
+from barspark.operators import factors, indicators, intraday, macd, ml, ranking, scoring, signals
 from barspark.operators.long_series import numbered, over_blocks
 from barspark.plans.tables import bars_daily, bars_minute, table
 
@@ -355,3 +355,20 @@ def test_resampling_multiplies_whole_blocks_of_slots(spark):
         assert row["simulations"] == 50 and row["prob_positive"] == np.mean(np.array(ends) > 0)
         assert np.allclose([row["return_5pct"], row["median_return"], row["return_95pct"]], np.quantile(ends, [0.05, 0.5, 0.95]), rtol=1e-12, atol=1e-12)
     assert tuple(got[None]) == (None, 50, None, None, None, 0.0)  # nothing to draw by
+
+
+def test_partitions_of_ranks_and_quantiles_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(6_000).select(F.lit("f").alias("factor"), F.concat(F.lit("T"), F.col("id") % 20).alias("ticker"),
+                                     F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 20).cast("int")).alias("date"),
+                                     (F.col("id") * 7 % 101 + 1.0).alias("close"), (F.col("id") * 13 % 97).cast("double").alias("value"))
+    wanted = {factors.ranked: "rank_before", lambda df: factors.with_forward(factors.quantile_bins(df)): "fwd"}
+    for make, column in wanted.items():
+        few = make(rows)
+        monkeypatch.setattr(ranking, "PART_ROWS", 1_000)
+        monkeypatch.setattr(factors, "PART_ROWS", 1_000)
+        many = make(rows)
+        sizes = re.findall(r"Exchange hashpartitioning\(factor#\d+, (?:ticker|date)#\d+, (\d+)\), REPARTITION_BY_NUM", plan(many))
+        assert len(sizes) >= 2 and set(sizes) == {"6"}
+        order = [c for c in many.columns if c != column]
+        assert [r[column] for r in many.orderBy(*order).collect()] == [r[column] for r in few.orderBy(*order).collect()]
+        monkeypatch.undo()
