@@ -372,3 +372,33 @@ def test_partitions_of_ranks_and_quantiles_follow_the_rows(spark, monkeypatch):
         order = [c for c in many.columns if c != column]
         assert [r[column] for r in many.orderBy(*order).collect()] == [r[column] for r in few.orderBy(*order).collect()]
         monkeypatch.undo()
+
+
+def test_linear_folds_take_few_passes(spark):
+    from barspark.operators import ml
+
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame(r.normal(50, 20, (2_000, 3)), columns=["a", "b", "c"]).assign(
+        date=[pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=int(i)) for i in r.integers(0, 90, 2_000)], ticker="A")
+    pdf["c"] = (pdf.c > 60).astype("int32")
+    pdf["target"] = 0.3 * pdf.a - 0.1 * pdf.b + 4 * pdf.c + r.normal(0, 30, 2_000)
+    pdf["k"] = pdf.a.where(pdf.date > pd.Timestamp("2024-01-20").date(), 3.0)  # constant in the first fold's training rows
+    df = spark.createDataFrame(pdf)
+    cuts = ml.folds(df, 3)
+    for features, kind, alpha, most in ((["a", "b", "c"], None, 1.0, 12), (["k", "b", "c"], "ridge", 5_000.0, 24)):
+        build = lambda n: ml.linear_stage(kind, alpha, n)
+        spark.sparkContext.setJobGroup(f"folds {features} {kind}", "")
+        got = {x.fold: x for x in ml.cross_validate(df, features, build, cuts).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds {features} {kind}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert jobs <= most
+        for fold in cuts:
+            train = fold.train(df)
+            scored = ml.prepared(features, build(train.count())).fit(train).transform(fold.test(df))
+            want = ml.regression_metrics(scored).first().asDict()
+            assert got[fold.number].train_rows == train.count()
+            for name, value in want.items():
+                assert got[fold.number][name] == pytest.approx(value, rel=1e-9), (features, kind, name)
+    with pytest.raises(Exception):  # as the assembler does
+        ml.cross_validate(df.withColumn("a", F.when(F.col("date") < cuts[0].test_start, F.col("a")).otherwise(float("nan"))), ["a", "b"],
+                          lambda n: ml.linear_stage(None, rows=n), cuts[:1]).collect()
