@@ -402,3 +402,27 @@ def test_linear_folds_take_few_passes(spark):
     with pytest.raises(Exception):  # as the assembler does
         ml.cross_validate(df.withColumn("a", F.when(F.col("date") < cuts[0].test_start, F.col("a")).otherwise(float("nan"))), ["a", "b"],
                           lambda n: ml.linear_stage(None, rows=n), cuts[:1]).collect()
+
+
+def test_wide_means_come_from_narrow_frames(spark):
+    r = np.random.default_rng(7)
+    pdf = pd.DataFrame({"ticker": ["A"] * 300 + ["B"] * 450 + ["C"] * 30, "close": r.normal(50, 5, 780).round(4)})
+    pdf["date"] = [pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=i) for n in (300, 450, 30) for i in range(n)]
+    gone = r.random(780) < 0.2
+    gone[300:520] = True  # a whole window without a value
+    df = spark.createDataFrame(pdf).withColumn("close", F.when(~F.col("ticker").isNull(), F.col("close")))
+    missing = spark.createDataFrame(pdf[gone][["ticker", "date"]]).withColumn("gone", F.lit(True))
+    df = df.join(missing, ["ticker", "date"], "left").withColumn("close", F.when(F.col("gone").isNull(), F.col("close"))).drop("gone")
+    got = indicators.moving_averages(df)
+    assert "-199" not in plan(got) and "_sum" not in " ".join(got.columns)
+    pdf["close"] = pdf.close.where(~gone)
+    for n in (20, 50, 200):
+        mean = pdf.groupby("ticker").close.rolling(n, min_periods=1).mean().reset_index(level=0, drop=True)
+        pdf[f"sma_{n}"] = mean.where(pdf.groupby("ticker").cumcount() >= n - 1)
+    want = pdf.set_index(["ticker", "date"])
+    rows = got.collect()
+    assert len(rows) == 780
+    for x in rows:
+        for n in (20, 50, 200):
+            value = want.loc[(x.ticker, x.date), f"sma_{n}"]
+            assert (x[f"sma_{n}"] is None) == bool(np.isnan(value)) and (np.isnan(value) or abs(x[f"sma_{n}"] - value) < 1e-9)
