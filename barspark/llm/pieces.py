@@ -16,8 +16,8 @@ from .common import tidy
 MARK = "▁"
 #: A marked word: spaces and what follows them. No piece of a fitting model goes on after a letter with a mark, and none has a line feed.
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: Remembered pieces of text of a worker, remembered pairs, and characters that are split into words at a time.
-_WORDS, _PAIRS, _BLOCK = 500_000, 400_000, 1_000_000
+#: Remembered pieces of text of a worker, remembered words in them, pairs of pieces and steps, and characters that are split into words at a time.
+_WORDS, _STEMS, _PAIRS, _BLOCK = 500_000, 250_000, 600_000, 1_000_000
 _NEVER = float("-inf")
 
 
@@ -42,12 +42,10 @@ class Model:
         self.score, self.id = scores, {names[i]: i for i in plain}
         #: Pieces that the merges make of their own letters.
         self.alone = {t for t in scores if len(t) == 1 or len(self.merged(t)) == 1}
-        #: Lengths of longer pieces by their last three characters, longest first.
-        tails: dict[str, set[int]] = {}
-        for t in self.alone:
-            if len(t) > 2:
-                tails.setdefault(t[-3:], set()).add(len(t))
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
+        #: Neighbours in some piece: no merge goes over two other characters, so a word may be cut between them.
+        self.beside = {t[i:i + 2] for t in scores for i in range(len(t) - 1)}
+        #: What such pieces begin with.
+        self.begins = {t[:n] for t in self.alone for n in range(1, len(t) + 1)}
         unknown = " ⁇ ".encode()
         byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.output = [byte.get(i) or (unknown if sp.is_unknown(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode()) for i in range(n)]
@@ -74,7 +72,67 @@ class Model:
         return [found] if found is not None else [self.bytes[b] for b in piece.encode()]
 
 
-class Encoder(dict):
+class _Piece(dict):
+    """The last piece of a path, with what may follow it."""
+
+    __slots__ = ("text", "size", "ids", "owner")
+
+    def __init__(self, text: str, owner: Encoder):
+        self.text, self.size, self.ids, self.owner = text, len(text), owner.m.ids(text), owner
+
+    def __missing__(self, piece: str) -> bool:
+        self.owner.made += 1
+        self[piece] = good = not self.text or self.owner.m.merged(self.text + piece) == [self.text, piece]
+        return good
+
+
+class _State(dict):
+    """The longest end of what was read that begins a piece (or the last character); a character leads to the next state.
+
+    ``ends`` has the pieces that end here, longest first.
+    """
+
+    __slots__ = ("text", "ends", "owner")
+
+    def __init__(self, text: str, owner: Encoder):
+        alone = owner.m.alone
+        self.text, self.owner = text, owner
+        self.ends = tuple((n, text[-n:], owner.piece(text[-n:])) for n in range(len(text), 0, -1) if n == 1 or text[-n:] in alone)
+
+    def __missing__(self, letter: str) -> _State:
+        text, owner = self.text + letter, self.owner
+        while len(text) > 1 and text not in owner.m.begins:
+            text = text[1:]
+        self[letter] = found = owner.state(text)
+        owner.made += 1
+        return found
+
+
+class _Halves:
+    """Remembered ids in two halves: what comes again moves from the old half to the new one, and when the new one is full it takes the place of the old one.
+
+    So frequent entries stay however many rare ones a worker meets.
+    """
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self, most: int) -> bool:
+        full = len(self.new) > most // 2
+        if full:
+            self.old, self.new = self.new, {}
+        return full
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """What neither half has; the rest is in the new one then."""
+        new, old = self.new, self.old
+        absent = [p for p in wanted if p not in new]
+        new.update((p, old[p]) for p in absent if p in old)
+        return [p for p in absent if p not in old]
+
+
+class Encoder:
     """Ids of what stands between two spaces (with the mark before it), as bytes of 32-bit numbers.
 
     ``wrong`` has the pieces of text whose ids don't give them again. A text is the sequence of its pieces, and every piece
@@ -84,82 +142,94 @@ class Encoder(dict):
     merges on both together leave them as they are; under that rule each prefix has exactly one path, the one that the
     merges give, so the pass is Viterbi's with admissibility as the score. Paths of a prefix do not
     depend on what follows, hence words sorted into a trie share them: the pass goes depth-first and starts each word
-    where it leaves the one before.
+    where it leaves the one before. An automaton over all pieces, whose steps are made as words need them, names those that end at a letter.
+
+    Both the pieces of text and the words in them (without a last character that no merge joins, such as a comma) are remembered.
     """
 
     def __init__(self, model: Model):
-        self.m, self.pairs, self.known = model, {}, 0
+        self.m = model
+        self.known, self.stems = _Halves(), _Halves()
         self.wrong: set[str] = set()
+        self._begin()
+
+    def _begin(self) -> None:
+        self.pieces: dict[str, _Piece] = {}
+        self.states: dict[str, _State] = {}
+        self.made = 0
+
+    def piece(self, text: str) -> _Piece:
+        found = self.pieces.get(text)
+        if found is None:
+            self.pieces[text] = found = _Piece(text, self)
+        return found
+
+    def state(self, text: str) -> _State:
+        found = self.states.get(text)
+        if found is None:
+            self.states[text] = found = _State(text, self)
+        return found
 
     def words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of marked words, in one traversal of their trie."""
         out = {}
-        m, pairs, alone, tails = self.m, self.pairs, self.m.alone, self.m.tails
-        last: list[str] = [""]  # last piece of the path to each prefix of the current word
+        last = [self.piece("")]  # last piece of the path to each prefix of the current word
+        states = [self.state("")]
         before = ""
         for word in sorted(words):
             n, shared = len(word), 0
-            top = min(n, len(before))
-            if word[:top] == before[:top]:
-                shared = top
-            else:
-                low, high = 0, top
-                while high - low > 1:  # the last place at which both agree
-                    middle = (low + high) // 2
-                    if word[:middle] == before[:middle]:
-                        low = middle
-                    else:
-                        high = middle
-                shared = low
-            del last[shared + 1:]
-            for end in range(shared + 1, n + 1):
-                for size in (*tails.get(word[end - 3:end], ()), 2, 1) if end > 2 else (2, 1) if end > 1 else (1,):
-                    start = end - size
-                    if start < 0:
-                        continue
-                    piece = word[start:end]
-                    if size == 1 or piece in alone:
-                        if start == 0:
-                            break
-                        follows = pairs.get(last[start])
-                        if follows is None:
-                            pairs[last[start]] = follows = {}
-                        good = follows.get(piece)
-                        if good is None:
-                            follows[piece] = good = m.merged(last[start] + piece) == [last[start], piece]
-                            self.known += 1
-                        if good:
-                            break
+            for a, b in zip(word, before):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1:], states[shared + 1:]
+            state, end = states[shared], shared
+            for letter in word[shared:]:
+                state = state[letter]
+                states.append(state)
+                end += 1
+                for size, text, piece in state.ends:
+                    if last[end - size][text]:
+                        break
                 last.append(piece)
             before = word
             path, end = [], n
             while end:
-                path.append(last[end])
-                end -= len(last[end])
-            out[word] = array("i", [i for p in reversed(path) for i in m.ids(p)]).tobytes()
+                piece = last[end]
+                path.append(piece)
+                end -= piece.size
+            out[word] = array("i", [i for piece in reversed(path) for i in piece.ids]).tobytes()
         return out
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> None:
         """Adds pieces of text that are not yet known, each with the mark before it, and proves their round trip."""
-        split = {p: _WORD.findall(MARK + p) for p in pieces}
-        ids = self.words({w for words in split.values() for w in words})
-        output = self.m.output
+        beside, split = self.m.beside, {}
+        for p in pieces:
+            split[p] = words = []
+            for w in _WORD.findall(MARK + p):
+                if len(w) > 1 and w[-2:] not in beside:
+                    words.append(w[:-1])
+                    w = w[-1]
+                words.append(w)
+        self.stems.turn(_STEMS)
+        ids = self.stems.new
+        ids.update(self.words(self.stems.missing({w for words in split.values() for w in words})))
+        output, known = self.m.output, self.known.new
         for p, words in split.items():
-            self[p] = found = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
+            known[p] = found = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
             if b"".join(map(output.__getitem__, memoryview(found).cast("i"))) != b" " + p.replace(MARK, " ").encode():
                 self.wrong.add(p)
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text, and whether they give it again; the marks stand for spaces, and one is put before a text that is not empty."""
-        if len(self) > _WORDS:
-            self.clear()
-            self.wrong.clear()
-        if self.known > _PAIRS:
-            self.pairs.clear()
-            self.known = 0
+        if self.known.turn(_WORDS):
+            self.wrong.intersection_update(self.known.old)
+        if self.made > _PAIRS:
+            self._begin()
         split = [_pieces(t) if t else [] for t in texts]
-        self.learn({p for pieces in split for p in pieces if p not in self})
-        found = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        self.learn(self.known.missing(set().union(*split)))
+        known = self.known.new
+        found = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         return found, [self.wrong.isdisjoint(pieces) if self.wrong else True for pieces in split]
 
 

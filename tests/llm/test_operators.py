@@ -112,6 +112,22 @@ def test_pieces_equal_the_library(spark):
     assert pieces.round_trip(df.limit(0), path).count() == 0
 
 
+def test_frequent_pieces_stay_remembered_among_rare_ones(monkeypatch):
+    import sentencepiece
+    path = tokenizer_file("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "_WORDS", 200)
+    encoder, rare = pieces.Encoder(pieces.Model(path)), np.random.default_rng(3)
+    seen, words = [], encoder.words
+    monkeypatch.setattr(encoder, "words", lambda some: seen.extend(some) or words(some))
+    for _ in range(30):
+        texts = ["frequent, 日 \nplain. " + " ".join("".join(rare.choice(list("abcdeé.,▁日\n"), 7)) for _ in range(60)) for _ in range(2)]
+        found, same = encoder.encode(texts)
+        for text, ids, right in zip(texts, found, same):
+            assert np.frombuffer(ids, np.int32).tolist() == library.encode(text) and right
+    assert sum(w.startswith("▁frequent") for w in seen) == 1
+
+
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
     path = tokenizer_file("byte_bpe_50k.json")
