@@ -18,9 +18,9 @@ _BY_NAME = ["factor", "ticker"]
 
 def factor_rows(table: DataFrame, factors: Sequence[str]) -> DataFrame:
     """(ticker, date, close, factor, value) without missing values."""
-    typed = table.select("ticker", "date", "close", *[F.col(f).cast("double").alias(f) for f in factors])
-    return typed.unpivot(["ticker", "date", "close"], list(factors), "factor", "value").filter(
-        F.col("value").isNotNull() & F.col("close").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("value")) for f in factors])
+    # an array keeps the table's partitions by ticker, which unpivot gives up
+    return table.select("ticker", "date", "close", F.inline(pairs)).filter(F.col("value").isNotNull() & F.col("close").isNotNull())
 
 
 def joined_prices(factor: DataFrame, prices: DataFrame) -> DataFrame:
@@ -28,23 +28,28 @@ def joined_prices(factor: DataFrame, prices: DataFrame) -> DataFrame:
     return factor.join(prices.select("ticker", "date", "close"), ["ticker", "date"])
 
 
+def _ahead(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """The return to each horizon in a column ``_f<h>`` of its own."""
+    series = Series(tuple(_BY_NAME), "date", DAILY.max_rows)
+    return rows.withColumns({f"_f{h}": change(following("close", series, h), F.col("close")) for h in horizons})
+
+
 def with_forward(rows: DataFrame, horizons: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row per horizon with ``fwd``, the return to that many rows ahead (NULL at the end)."""
-    series = Series(tuple(_BY_NAME), "date", DAILY.max_rows)
-    ahead = rows.withColumns({f"_f{h}": change(following("close", series, h), F.col("close")) for h in horizons})
+    ahead = _ahead(rows, horizons)
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
     kept = [c for c in rows.columns if c != "close"]
     return ahead.withColumn("_h", F.explode(pairs)).select(
         *kept, F.col("_h.horizon").alias("horizon"), F.col("_h.fwd").alias("fwd"))
 
 
-def rank_correlation(a: str, b: str) -> Column:
-    """Aggregate: correlation of two rank columns, NULL when either side is constant.
+def rank_correlation(a: str, b: str, n: Column | None = None) -> Column:
+    """Aggregate: correlation of two rank columns, NULL when either side is constant; ``n`` is the number of pairs, all rows if not given.
 
     Ranks are multiples of one half, so the sums are exact and an unrelated pair gives
     exactly 0; their spread is of the order of their mean, so nothing cancels badly.
     """
-    x, y, n = F.col(a), F.col(b), F.count(F.lit(1))
+    x, y, n = F.col(a), F.col(b), F.count(F.lit(1)) if n is None else n
     cross = n * F.sum(x * y) - F.sum(x) * F.sum(y)
     spread_x = n * F.sum(x * x) - F.sum(x) * F.sum(x)
     spread_y = n * F.sum(y * y) - F.sum(y) * F.sum(y)
@@ -76,14 +81,19 @@ def quantile_bins(rows: DataFrame, q: int = 5, range_rows: int = RANGE_ROWS) ->
     date whose values are all equal has none.  A date of more than ``range_rows`` rows is ordered in ranges.
     The rows are dealt out by factor and name, as the returns that follow need them.
     """
-    group = ["factor", "date"]
     rows = written(rows, "quantiles")  # read for the edges and again for the rows
-    edges = quantiles(rows, group, "value", [i / q for i in range(q + 1)], "_edges", range_rows, stored=True)
-    edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    df = rows.join(edges, group)
+    return dealt(_binned(rows, _edges(rows, q, range_rows)), rows.count(), _BY_NAME, PART_ROWS)
+
+
+def _edges(rows: DataFrame, q: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The merged edges of each factor and date; ``rows`` are stored."""
+    edges = quantiles(rows, ["factor", "date"], "value", [i / q for i in range(q + 1)], "_edges", range_rows, stored=True)
+    return edges.withColumn("_edges", F.array_distinct("_edges"))
+
+
+def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
     below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
-    df = df.withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
-    return dealt(df, rows.count(), _BY_NAME, PART_ROWS)
+    return rows.join(edges, ["factor", "date"]).withColumn("quantile", F.when(F.size("_edges") > 1, F.greatest(F.lit(1), below))).drop("_edges")
 
 
 def quantile_returns(binned_pairs: DataFrame) -> DataFrame:
@@ -100,11 +110,33 @@ def spread(by_quantile: DataFrame) -> DataFrame:
         F.when(F.count(F.lit(1)) >= 2, top).otherwise(0.0).alias("spread"))
 
 
+def _by_horizon(df: DataFrame, keys: Sequence[str], horizons: Sequence[int], names: dict[str, str]) -> DataFrame:
+    """Figures in one column per horizon (``names``: prefix -> name) as a row per horizon."""
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{p}{h}").alias(n) for p, n in names.items()]) for h in horizons])
+    return df.select(*keys, F.inline(rows))
+
+
 def evaluate(table: DataFrame, factors: Sequence[str], horizons: Sequence[int] = (1, 5, 10), q: int = 5) -> DataFrame:
-    """IC summary and spread of every factor and horizon, best mean IC first."""
-    rows = factor_rows(table, factors)
-    pairs = with_forward(quantile_bins(rows, q), horizons)
-    out = ic_summary(daily_ic(pairs)).join(spread(quantile_returns(pairs)), ["factor", "horizon"], "left")
+    """IC summary and spread of every factor and horizon, best mean IC first.
+
+    A row of a factor has the returns to all horizons beside each other, so the rows are written once and dealt out by date once
+    for all of them (and once more, values only, for the edges); names are not needed after the returns.
+    """
+    group = ["factor", "date"]
+    dated = factor_rows(table, factors).filter(F.col("date").isNotNull())
+    rows = written(_ahead(dated, horizons).select(*group, "value", *[f"_f{h}" for h in horizons]), "evaluated")
+    # the edges are written, so that their size is known before the rows meet them
+    binned = _binned(rows, written(_edges(rows.select(*group, "value"), q), "edges")).filter(F.col("quantile").isNotNull())
+    means = binned.groupBy("factor", "quantile").agg(*[F.avg(f"_f{h}").alias(f"_m{h}") for h in horizons])
+    returns = _by_horizon(means, ["factor", "quantile"], horizons, {"_m": "mean_return"})
+
+    valid = rows.select(*group, *[F.when(F.col(f"_f{h}").isNotNull(), F.col("value")).alias(f"_v{h}") for h in horizons], *[f"_f{h}" for h in horizons])
+    ranked = average_ranks(valid, group, {f"_{c}{h}": f"_r{c}{h}" for h in horizons for c in "vf"}, stored=True)
+    ics = ranked.groupBy(*group).agg(
+        *[rank_correlation(f"_rv{h}", f"_rf{h}", F.count(f"_rv{h}")).alias(f"_ic{h}") for h in horizons],
+        *[F.count(f"_rv{h}").alias(f"_n{h}") for h in horizons])
+    ic = _by_horizon(ics, group, horizons, {"_ic": "ic", "_n": "names"}).filter(F.col("names") >= MIN_NAMES)
+    out = ic_summary(ic).join(spread(returns), ["factor", "horizon"], "left")
     return out.orderBy(F.desc("mean_ic"), "factor", "horizon")
 
 

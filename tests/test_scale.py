@@ -426,3 +426,27 @@ def test_wide_means_come_from_narrow_frames(spark):
         for n in (20, 50, 200):
             value = want.loc[(x.ticker, x.date), f"sma_{n}"]
             assert (x[f"sma_{n}"] is None) == bool(np.isnan(value)) and (np.isnan(value) or abs(x[f"sma_{n}"] - value) < 1e-9)
+
+
+def test_factors_are_evaluated_on_rows_written_once(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = [(f"T{i}" if i else None, (pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(d))).date() if d else None, float(r.integers(1, 9)), float(v), int(v) % 3)
+            for i in range(15) for d, v in enumerate(r.integers(0, 12, 30))]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, a double, b int")
+    df = df.withColumns({"a": F.when(F.col("a") > 0, F.col("a")), "close": F.when(F.col("close") > 1, F.col("close"))})
+    pairs = factors.with_forward(factors.quantile_bins(factors.factor_rows(df, ["a", "b"])))
+    want = factors.ic_summary(factors.daily_ic(pairs)).join(factors.spread(factors.quantile_returns(pairs)), ["factor", "horizon"], "left").toPandas()
+    sizes, written = [], factors.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(factors, "written", counted)
+    monkeypatch.setattr(ranking, "written", counted)
+    got = factors.evaluate(df, ["a", "b"]).toPandas()
+    order = ["factor", "horizon"]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True)[want.columns], want.sort_values(order, ignore_index=True))
+    assert len(got) == 6 and got["mean_ic"].notna().all()
+    assert sum(sizes) < 1.5 * factors.factor_rows(df, ["a", "b"]).count()
