@@ -450,3 +450,34 @@ def test_factors_are_evaluated_on_rows_written_once(spark, monkeypatch):
     pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True)[want.columns], want.sort_values(order, ignore_index=True))
     assert len(got) == 6 and got["mean_ic"].notna().all()
     assert sum(sizes) < 1.5 * factors.factor_rows(df, ["a", "b"]).count()
+
+
+def test_logistic_folds_take_few_passes(spark):
+    r = np.random.default_rng(6)
+    pdf = pd.DataFrame(r.normal(50, 20, (2_000, 3)), columns=["a", "b", "c"]).assign(
+        date=[pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=int(i)) for i in r.integers(0, 90, 2_000)], ticker="A")
+    pdf["c"] = (pdf.c > 60).astype("int32")
+    pdf["target"] = 0.3 * (pdf.a - 50) - 0.1 * (pdf.b - 50) + 4 * pdf.c + r.normal(0, 9, 2_000)
+    pdf["k"] = pdf.a.where(pdf.date > pd.Timestamp("2024-02-01").date(), 3.0)  # constant in the first fold's training rows
+    df = spark.createDataFrame(pdf)
+    cuts = ml.folds(df, 3)
+    for features, kind, strength, most in ((["a", "b", "c"], "l2", 1.0, 45), (["a", "b", "c"], None, 1.0, 45), (["k", "b", "c"], "l2", 0.01, 80)):
+        build = lambda n: ml.logistic_stage(kind, strength, n)
+        spark.sparkContext.setJobGroup(f"logistic {features} {kind}", "")
+        got = {x.fold: x for x in ml.cross_validate(df, features, build, cuts, True).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"logistic {features} {kind}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert jobs <= most
+        labelled = ml.with_label(df)
+        stages = [build(fold.train(df).count()) for fold in cuts]
+        fitted = ml._margins(labelled, features, stages, cuts)
+        assert set(fitted) == ({1, 2} if "k" in features else {0, 1, 2})
+        for i, fold in enumerate(cuts):
+            model = ml.prepared(features, stages[i].setTol(1e-12)).fit(fold.train(labelled))
+            scored = model.transform(fold.test(labelled))
+            want = ml.classification_metrics(scored).first().asDict()
+            assert all(got[fold.number][name] == pytest.approx(value, rel=1e-9) for name, value in want.items())
+            assert got[fold.number].auc == pytest.approx(ml.BinaryClassificationEvaluator(labelCol="label").evaluate(scored), rel=1e-9)
+            if i in fitted:
+                beta = fitted[i][1] * np.array(model.stages[1].std.toArray())
+                assert np.allclose(beta, model.stages[2].coefficients.toArray(), atol=1e-6)
