@@ -300,6 +300,30 @@ def test_jaccard_links_through_rows_without_id_and_tells_long_patterned_words_ap
     assert got == {(7, 7), (None, 7), (9, 7), (20, 20), (21, 21), (22, 22), (23, 23)}
 
 
+def test_a_family_of_near_copies_is_sent_to_few_searches(spark, monkeypatch):
+    sent, made = spark.sparkContext.accumulator(0), jaccard._linked
+
+    def counted(percent):
+        links = made(percent)
+        return lambda rows: (sent.add(len(rows)), links(rows))[1]
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if r.random() < 0.985 else f"x{r.randrange(40)}" for w in base[:r.randrange(70, 81)]) for _ in range(300)]
+    found = by_id(jaccard.join(spark.createDataFrame(list(enumerate(texts)), DOCS), 4, 85), "component_id")
+    sets = [{t[i:i + 4] for i in range(len(t) - 3)} for t in (tuple(x.split()) for x in texts)]
+    root = list(range(300))
+    for y in range(300):
+        for x in range(y):
+            both = len(sets[x] & sets[y])
+            if root[x] != root[y] and 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                low, high = sorted((root[x], root[y]))
+                root = [low if v == high else v for v in root]
+    assert {i: (v,) for i, v in enumerate(root)} == found
+    assert 1 < len(set(root)) < 250 and sent.value <= 300
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["node"]: r["root"] for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
